@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, topk
 
-QUERIES = {"op2_mix_sources": mixing.op2_mix_sources}
-ORACLES = {"op2_mix_sources": mixing.OP2_SQL}
+QUERIES = {"op2_mix_sources": mixing.op2_mix_sources, "op9_exact_topk": topk.op9_exact_topk}
+ORACLES = {"op2_mix_sources": mixing.OP2_SQL, "op9_exact_topk": topk.OP9_SQL}
