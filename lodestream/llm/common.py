@@ -131,3 +131,11 @@ def batches(frames: Iterator[pd.DataFrame], column: str, most: int = 4_000_000)
             total += size
         if first < len(frame):
             yield frame.iloc[first:]
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Rows of text that Arrow sends to Python at once; its default of 10,000 is too many for
+    long texts. A session setting, as Spark has no other place for it; smaller ones stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, topk
+from . import mixing, packing, topk
 
-QUERIES = {"op2_mix_sources": mixing.op2_mix_sources, "op9_exact_topk": topk.op9_exact_topk}
+QUERIES = {
+    "op2_mix_sources": mixing.op2_mix_sources,
+    "op8_pack": packing.op8_pack,
+    "op9_exact_topk": topk.op9_exact_topk,
+}
 ORACLES = {"op2_mix_sources": mixing.OP2_SQL, "op9_exact_topk": topk.OP9_SQL}
