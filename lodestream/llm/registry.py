@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, topk, warc
+from . import dartminhash, mixing, packing, topk, warc
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op7_warc_roundtrip": warc.op7_warc_roundtrip,
     "op8_pack": packing.op8_pack,
     "op9_exact_topk": topk.op9_exact_topk,
+    "op10_near_duplicates": dartminhash.op10_near_duplicates,
 }
 ORACLES = {"op2_mix_sources": mixing.OP2_SQL, "op9_exact_topk": topk.OP9_SQL}
