@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import dartminhash, mixing, packing, topk, warc
+from . import dartminhash, mixing, packing, topk, toxicity, warc
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_warc_roundtrip": warc.op7_warc_roundtrip,
     "op8_pack": packing.op8_pack,
     "op9_exact_topk": topk.op9_exact_topk,
