@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, null_safe, n_parts, read, shared_dir, small_batches
+from .common import cut, n_parts, read, shared_dir, small_batches
 
 CHUNKS = "archive string, record_id string, warc_type string, page_id long, refers_to long, chunk long, last boolean, bytes_so_far long, digest_so_far string, declared_digest string, chunk_bytes binary"
 EMPTY_DIGEST = base64.b32encode(hashlib.sha1(b"").digest()).decode()
@@ -68,7 +68,7 @@ def _write(folder: str, chunk: int):
                     payload = (x.html or "").encode("utf-8", "surrogatepass")
                     refers = None if pd.isna(x.refers_to) else int(x.refers_to)
                     headers = [("WARC-Type", x.record_type), ("WARC-Record-ID", record_id(x.page_id)), ("WARC-Target-URI", safe_uri(x.url, x.page_id)), ("WARC-Date", "1970-01-01T00:00:00Z")]
-                    headers += [("WARC-Payload-Digest", f"sha1:{x.payload_digest}"), ("X-Page-ID", str(x.page_id)), ("Content-Type", "text/html; charset=utf-8")]
+                    headers += [("WARC-Payload-Digest", f"sha1:{base64.b32encode(bytes.fromhex(x.payload_hex)).decode()}"), ("X-Page-ID", str(x.page_id)), ("Content-Type", "text/html; charset=utf-8")]
                     if refers is not None:
                         headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers)), ("X-Refers-To-Page-ID", str(refers))]
                         payload = b""
@@ -80,12 +80,9 @@ def _write(folder: str, chunk: int):
     return write
 
 
-def b32_digest(hexes: pd.Series) -> pd.Series:
-    return hexes.map(lambda h: base64.b32encode(bytes.fromhex(h)).decode())
-
-
-def deduplicated(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Adds payload_hex (SHA-1), record_type and refers_to to pages of (page_id, html and others).
+def deduplicated(pages: DataFrame, parts: int, least: int = 0) -> DataFrame:
+    """Adds payload_hex (SHA-1), record_type and refers_to to pages of (page_id, html and others),
+    dealt into ``parts`` by id, which is the one shuffle of the payloads.
 
     Of pages whose payloads of at least ``least`` bytes are equal, the one with the largest id
     is the response and the others revisit it. A digest's largest id is an aggregate, so no group
@@ -96,18 +93,17 @@ def deduplicated(pages: DataFrame, least: int = 0) -> DataFrame:
     ids = keyed.select("page_id", "payload_hex", "__bytes").join(firsts, "payload_hex", "left")
     revisit = (F.col("__bytes") >= least) & (F.col("__first") != F.col("page_id"))
     refers = ids.where(revisit).select("page_id", "payload_hex", F.col("__first").alias("refers_to")).dropDuplicates(["page_id", "payload_hex"])
-    out = null_safe(keyed, refers, ["page_id", "payload_hex"], "left").drop("__bytes")
+    dealt = keyed.drop("__bytes").repartition(parts, "page_id", "payload_hex")
+    out = dealt.join(refers, ["page_id", "payload_hex"], "left")
     return out.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
 def write_archives(pages: DataFrame, folder: str, archives: int, chunk: int = 1 << 18, least: int = 0) -> DataFrame:
     """Write one record per page of (page_id, url, html) to ``archives`` files in ``folder``.
-    Returns (archive, records), one row per file. Null payloads are empty; pages need an id."""
+    Returns (archive, records), one row per file. Null payloads are empty; pages without an id are left out."""
     small_batches(pages.sparkSession, 64)
-    digest = F.pandas_udf(b32_digest, "string")
-    ready = deduplicated(pages.select("page_id", "url", "html"), least).withColumn("payload_digest", digest("payload_hex"))
-    ready = ready.repartition(archives, F.xxhash64("page_id"), F.xxhash64("payload_hex"))
-    return cut(ready.select("page_id", "url", "html", "record_type", "refers_to", "payload_digest").mapInPandas(_write(folder, chunk), "archive string, records long"))
+    ready = deduplicated(pages.select("page_id", "url", "html").where("page_id IS NOT NULL"), archives, least)
+    return cut(ready.select("page_id", "url", "html", "record_type", "refers_to", "payload_hex").mapInPandas(_write(folder, chunk), "archive string, records long"))
 
 
 def inflated(source: IO[bytes], block: int) -> Iterator[bytes]:
@@ -211,7 +207,7 @@ def records(chunked: DataFrame) -> DataFrame:
 
 
 def op7_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages", "page_id", "url", "html").where("page_id IS NOT NULL")
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
     folder = f"{shared_dir(spark)}/warc-{uuid4().hex}"
     files, root = filesystem(folder)
     files.create_dir(root, recursive=True)
