@@ -8,9 +8,8 @@ weighted Jaccard similarity. Only about k ln k + 2k darts of a document are made
 it is. Signatures are cut into bands; documents that agree in a band are compared exactly.
 
 Equal texts are folded before and are members of their class. Bands with many texts are not
-expanded into pairs: a few leaders are compared with the rest, then more, until every text of
-the band is of one class or has been a leader. So no link between classes is lost, and no
-pair is looked at that would not change the result.
+expanded into pairs: a few leaders are compared with the rest, then more, until every text
+outside the band's largest class has been a leader. So no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -157,22 +156,29 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     many = banded.where(F.col("n") > small).drop("n")
     first = many.groupBy("band", "key").agg(F.min("node").alias("leader"))
     star = many.join(first, ["band", "key"]).where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    links = cut(_checked(pairs.unionByName(star).distinct(), docs, threshold, size).distinct())
+    texts = cut(docs.join(banded.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    links = cut(_checked(pairs.unionByName(star).distinct(), texts, threshold, size).distinct())
     labels = components(links)
-    used = cut(first)
+    used = first
     while True:
+        # A pair between classes has an end outside the band's largest class: once all those have
+        # been leaders, nothing is left. Leaders come from there and from the largest class, in
+        # which a text like all others (of which the rest are edited copies) soon turns up.
         now = many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = now.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
-        now = cut(now.join(mixed, ["band", "key"]))
-        waiting = now.join(used.withColumnRenamed("leader", "node"), ["band", "key", "node"], "left_anti")
-        if waiting.isEmpty():
+        main = now.groupBy("band", "key", "label").count().groupBy("band", "key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("classes"))
+        now = now.join(main.where("classes > 1").drop("classes"), ["band", "key"]).withColumn("out", F.col("label") != F.col("main"))
+        waiting = cut(now.join(used.withColumnRenamed("leader", "node"), ["band", "key", "node"], "left_anti"))
+        if waiting.where("out").isEmpty():
             break
         leaders *= 4
-        order = W.partitionBy("band", "key").orderBy("label", "node")
-        lead = cut(waiting.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders).select("band", "key", F.col("node").alias("leader"), F.col("label").alias("lead_label")))
+        order = W.partitionBy("band", "key", "out").orderBy("label", "node")
+        lead = waiting.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders)
+        lead = cut(lead.select("band", "key", F.col("node").alias("leader"), F.col("label").alias("lead_label")))
         more = now.join(lead, ["band", "key"]).where("label <> lead_label").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        links = cut(links.unionByName(_checked(more, docs, threshold, size)).distinct())
-        labels = components(links)
+        fresh = cut(_checked(more, texts, threshold, size))
+        if not fresh.isEmpty():
+            links = cut(links.unionByName(fresh).distinct())
+            labels = components(links)
         used = cut(used.unionByName(lead.drop("lead_label")))
     copies = signed.select("doc_id", "digest").join(members.select("digest", "copy_of"), "digest")
     return copies.join(labels.withColumnRenamed("node", "copy_of"), "copy_of", "left").select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
