@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import dartminhash, mixing, packing, topk, toxicity, warc
+from . import dartminhash, mixing, packing, secrets, topk, toxicity, warc
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_secrets": secrets.op4_secrets,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_warc_roundtrip": warc.op7_warc_roundtrip,
     "op8_pack": packing.op8_pack,
