@@ -8,8 +8,10 @@ weighted Jaccard similarity. Only about k ln k + 2k darts of a document are made
 it is. Signatures are cut into bands; documents that agree in a band are compared exactly.
 
 Equal texts are folded before and are members of their class. Bands with many texts are not
-expanded into pairs: a few leaders are compared with the rest, then more, until every text
-outside the band's largest class has been a leader. So no link between classes is lost.
+expanded into pairs: each text is compared with the band's hub, the one that shares most bands
+with others. Where that leaves a band in several classes, the texts outside the largest class are
+compared with all of the band in blocks, whose exact similarities are one matrix product and
+of which only links that join classes come out. So no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import batches, cut, mix64, read, small_batches
 from .components import components
@@ -132,7 +133,74 @@ def _checked(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
     return two.select("a", "b", "text_a", "text_b").mapInPandas(_verify(threshold, size), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 20, rows: int = 5, small: int = 12, leaders: int = 1) -> DataFrame:
+def _block_links(threshold: float, size: int, columns: int = 4096):
+    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for x in frame.itertuples(index=False):
+                found = block_links([(m["node"], m["label"], m["text"]) for m in x.outs], [(m["node"], m["label"], m["text"]) for m in x.every], threshold, size, columns)
+                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return link
+
+
+def block_links(outs: list[tuple], every: list[tuple], threshold: float, size: int = 5, columns: int = 4096) -> list[tuple[int, int]]:
+    """Links between two blocks of (node, label, text) that join labels: pairs of different labels
+    with similarity ``threshold`` or more, without those that earlier ones already imply."""
+    rows = [weighted_cells([m[2] for m in side], size) for side in (outs, every)]
+    owner, cell = np.concatenate((rows[0][0], rows[1][0] + len(outs))), np.concatenate((rows[0][1], rows[1][1]))
+    weight = np.bincount(owner, minlength=len(outs) + len(every))
+    names, place = np.unique(cell, return_inverse=True)
+    shared = np.bincount(place, minlength=len(names)) > 1
+    at = np.cumsum(shared) - 1
+    owner, place = owner[shared[place]], at[place[shared[place]]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    both = np.zeros((len(outs), len(every)), np.float32)
+    for first in range(0, int(shared.sum()), columns):
+        own = slice(*np.searchsorted(place, (first, first + columns)))
+        matrix = np.zeros((len(weight), columns), np.float32)
+        matrix[owner[own], place[own] - first] = 1
+        both += matrix[: len(outs)] @ matrix[len(outs) :].T
+    union = weight[: len(outs), None] + weight[None, len(outs) :] - both
+    parent: dict = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            v = parent[v]
+        return v
+
+    found = []
+    for i, j in zip(*np.nonzero((both >= threshold * union) & (both > 0)), strict=True):
+        a, b = root(outs[i][1]), root(every[j][1])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            found.append((outs[i][0], every[j][0]))
+    return found
+
+
+def _unsettled(many: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float, size: int, rows: int) -> DataFrame | None:
+    """Links of bands that hold several classes: their texts outside the largest class against all.
+    Bands that share texts are one group, so that a pair is looked at once, not once a band."""
+    now = many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = now.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "key")
+    now = cut(now.join(mixed, ["band", "key"]))
+    if now.isEmpty():
+        return None
+    groups = components(now.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("label", "group")
+    members = now.select("node", "label").distinct().join(groups, "node")
+    main = members.groupBy("group", "label").count().groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("n"), (F.sum("count") - F.max("count")).alias("out"))
+    members = members.join(main, "group").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    item = F.struct("node", "label", "text")
+
+    def blocks(rows_of: DataFrame, count: str, name: str) -> DataFrame:
+        number = F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / rows))
+        return rows_of.groupBy("group", number.alias("block")).agg(F.collect_list(item).alias(name)).drop("block")
+
+    sides = blocks(members.where("label <> main"), "out", "outs").join(blocks(members, "n", "every"), "group")
+    return cut(sides.select("outs", "every").mapInPandas(_block_links(threshold, size), "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 20, rows: int = 5, small: int = 12, block: int = 256) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id (the smallest id of its class)
     and copy_of (the smallest id with the same text).
 
@@ -149,37 +217,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     banded = members.select(F.col("copy_of").alias("node"), F.posexplode("bands").alias("band", "key")).distinct()
     sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     banded = cut(banded.join(sizes, ["band", "key"]))
+    texts = cut(docs.join(banded.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     # Bands of few texts: their pairs, at most small * (small - 1) / 2 of each.
     few = banded.where(F.col("n") <= small)
     pairs = few.select("band", "key", F.col("node").alias("a")).join(few.select("band", "key", F.col("node").alias("b")), ["band", "key"]).where("a < b").select("a", "b")
-    many = banded.where(F.col("n") > small).drop("n")
-    first = many.groupBy("band", "key").agg(F.min("node").alias("leader"))
-    star = many.join(first, ["band", "key"]).where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    texts = cut(docs.join(banded.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    many = banded.where(F.col("n") > small)
+    known = many.groupBy("node").agg(F.sum("n").alias("known"))
+    hubs = many.join(known, "node").groupBy("band", "key").agg(F.max_by("node", F.struct("known", -F.col("node"))).alias("hub"))
+    many = cut(many.drop("n").join(hubs, ["band", "key"]))
+    star = many.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     links = cut(_checked(pairs.unionByName(star).distinct(), texts, threshold, size).distinct())
     labels = components(links)
-    used = first
-    while True:
-        # A pair between classes has an end outside the band's largest class: once all those have
-        # been leaders, nothing is left. Leaders come from there and from the largest class, in
-        # which a text like all others (of which the rest are edited copies) soon turns up.
-        now = many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        main = now.groupBy("band", "key", "label").count().groupBy("band", "key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("classes"))
-        now = now.join(main.where("classes > 1").drop("classes"), ["band", "key"]).withColumn("out", F.col("label") != F.col("main"))
-        waiting = cut(now.join(used.withColumnRenamed("leader", "node"), ["band", "key", "node"], "left_anti"))
-        if waiting.where("out").isEmpty():
-            break
-        leaders *= 4
-        order = W.partitionBy("band", "key", "out").orderBy("label", "node")
-        lead = waiting.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= leaders)
-        lead = cut(lead.select("band", "key", F.col("node").alias("leader"), F.col("label").alias("lead_label")))
-        more = now.join(lead, ["band", "key"]).where("label <> lead_label").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        fresh = cut(_checked(more, texts, threshold, size))
-        if not fresh.isEmpty():
-            links = cut(links.unionByName(fresh).distinct())
-            labels = components(links)
-        used = cut(used.unionByName(lead.drop("lead_label")))
+    more = _unsettled(many, labels, texts, threshold, size, block)
+    if more is not None and not more.isEmpty():
+        labels = components(links.unionByName(more))
     copies = signed.select("doc_id", "digest").join(members.select("digest", "copy_of"), "digest")
     return copies.join(labels.withColumnRenamed("node", "copy_of"), "copy_of", "left").select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
 
