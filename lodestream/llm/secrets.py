@@ -85,7 +85,11 @@ def labelled_samples(docs: DataFrame, secret_docs: int = 4000, plain_docs: int =
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.xxhash64("doc_id").alias("h"), text.alias("text"))
     hints = reduce(lambda a, b: a | b, [F.col("text").rlike(h) for h in HINTS.values()])
-    found = [F.filter(F.regexp_extract_all("text", F.lit(p), F.lit(g)), lambda m, n=n: F.length(m) >= n) for p, g, n in KINDS.values()]
+
+    def long_ones(pattern: str, group: int, least: int) -> Column:
+        return F.filter(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), lambda m: F.length(m) >= least)
+
+    found = [long_ones(*kind) for kind in KINDS.values()]
     secret = docs.where(hints).orderBy("h", F.length("text")).limit(secret_docs).select(F.lit(1).alias("klass"), F.explode(F.concat(*found)).alias("word"))
     digest = F.unhex(F.sha2(F.concat(F.lit("sample:"), F.col("id").cast("string")), 256))
     kinds = F.array(F.lower(F.hex(digest)), F.regexp_replace(F.base64(digest), "=", ""), F.upper(F.regexp_replace(F.base64(digest), "[+/=]", "")))
