@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import dartminhash, mixing, packing, secrets, topk, toxicity, warc
+from . import dartminhash, iblt, mixing, packing, secrets, topk, toxicity, warc
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_secrets": secrets.op4_secrets,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_fingerprints": iblt.op6_fingerprints,
     "op7_warc_roundtrip": warc.op7_warc_roundtrip,
     "op8_pack": packing.op8_pack,
     "op9_exact_topk": topk.op9_exact_topk,
