@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import dartminhash, iblt, mixing, packing, secrets, topk, toxicity, warc
+from . import dartminhash, iblt, mixing, packing, secrets, suffixes, topk, toxicity, warc
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_secrets": secrets.op4_secrets,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_fingerprints": iblt.op6_fingerprints,
