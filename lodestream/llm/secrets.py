@@ -82,21 +82,26 @@ def labelled_samples(docs: DataFrame, secret_docs: int = 4000, plain_docs: int =
     of the smallest hashes of their ids; the bounds are on rows, whose texts are whole.
     """
     spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.xxhash64("doc_id").alias("h"), text.alias("text"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hints = reduce(lambda a, b: a | b, [F.col("text").rlike(h) for h in HINTS.values()])
 
     def long_ones(pattern: str, group: int, least: int) -> Column:
         return F.filter(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), lambda m: F.length(m) >= least)
 
     found = [long_ones(*kind) for kind in KINDS.values()]
-    secret = docs.where(hints).orderBy("h", F.length("text")).limit(secret_docs).select(F.lit(1).alias("klass"), F.explode(F.concat(*found)).alias("word"))
+
+    def chosen(rows: DataFrame, most: int, klass: int) -> DataFrame:
+        return rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("klass", F.lit(klass))
+
+    # At most secret_docs + plain_docs ids: a bounded broadcast, so that no text is shuffled.
+    ids = chosen(docs.where(hints), secret_docs, 1).unionByName(chosen(docs, plain_docs, 0))
+    rows = docs.join(F.broadcast(ids), "doc_id")
     digest = F.unhex(F.sha2(F.concat(F.lit("sample:"), F.col("id").cast("string")), 256))
     kinds = F.array(F.lower(F.hex(digest)), F.regexp_replace(F.base64(digest), "=", ""), F.upper(F.regexp_replace(F.base64(digest), "[+/=]", "")))
     generated = spark.range(made).select(F.lit(1).alias("klass"), F.element_at(kinds, (F.col("id") % 3 + 1).cast("int")).alias("word"))
     words = F.filter(F.split("text", r"[^A-Za-z0-9+/_-]+"), lambda w: (F.length(w) >= 4) & ~w.rlike(r"[0-9a-f]{32}|AKIA|[0-9].*[0-9].*[0-9]"))
-    plain = docs.orderBy("h", F.length("text")).limit(plain_docs).select(F.lit(0).alias("klass"), F.explode(words).alias("word"))
-    return secret.unionByName(generated).unionByName(plain)
+    own = F.when(F.col("klass") == 1, F.concat(*found)).otherwise(words)
+    return rows.select("klass", F.explode(own).alias("word")).unionByName(generated)
 
 
 def ratios(samples: DataFrame, smooth: float = 0.5) -> list[float]:
