@@ -112,7 +112,7 @@ def anchors_of(data: np.ndarray, starts: np.ndarray, length: int, gram: int, fir
     return Anchors(first, data, starts, rolling, anchor, low, high)
 
 
-def shard_anchors(texts: list[str | None], length: int, gram: int, most: int = 2_000_000) -> Iterator[Anchors]:
+def shard_anchors(texts: list[str | None], length: int, gram: int, most: int = 1_000_000) -> Iterator[Anchors]:
     """Anchors of a shard, a few MB of text at a time."""
     first, total = 0, 0
     for i, t in enumerate([*texts, None]):
@@ -228,9 +228,10 @@ def sorted_runs(length: int, gram: int, buckets: int):
             least, most = own[order][opens], own[order][np.append(opens[1:], len(order)) - 1]
             one = order[opens]
             right, left = high[one] + length - at[one], at[one] - low[one]
-            j = np.arange(width)
-            source = np.where(j < right[:, None], at[one][:, None] + j, at[one][:, None] - 1 - (j - right[:, None]))
-            rows = np.where(j < (right + left)[:, None], x.data[np.clip(source, 0, len(x.data) - 1)], 0).astype(np.uint8)
+            rows = np.zeros((len(one), width), np.uint8)
+            for j in range(width):  # by column: no index array as large as the matrix
+                source = np.where(j < right, at[one] + j, at[one] - 1 - (j - right))
+                rows[:, j] = np.where(j < right + left, x.data[np.clip(source, 0, len(x.data) - 1)], 0)
             parts.append((keys[hit][one], rows, right.astype(np.uint8), left.astype(np.uint8), least, most, context[one]))
         if not parts:
             return pd.DataFrame([], columns=columns)
@@ -351,9 +352,11 @@ def merged_windows(length: int, gram: int):
         one = rows[opens]
         right, left = one[:, width].astype(np.int64), one[:, width + 1].astype(np.int64)
         # The bytes of each suffix's windows in order, one after another.
-        sizes, j = right + left, np.arange(width)
-        source = np.where(j < left[:, None], (right + left)[:, None] - 1 - j, j - left[:, None])
-        text = np.take_along_axis(one[:, :width], np.clip(source, 0, width - 1), 1)[j < sizes[:, None]]
+        sizes = right + left
+        line, straight = np.arange(len(one)), np.zeros((len(one), width), np.uint8)
+        for j in range(width):
+            straight[:, j] = one[line, np.clip(np.where(j < left, sizes - 1 - j, j - left), 0, width - 1)]
+        text = straight[np.arange(width) < sizes[:, None]]
         starts = np.concatenate(([0], np.cumsum(sizes)))
         windows = sizes - length + 1
         owner = np.repeat(np.arange(len(opens)), windows)
@@ -436,7 +439,7 @@ def removed_spans(length: int, gram: int, with_spans: bool):
     return run
 
 
-def repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 20, shard_bytes: int = 6_000_000, bucket_bytes: int = 24_000_000, with_spans: bool = False) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 20, shard_bytes: int = 3_000_000, bucket_bytes: int = 6_000_000, with_spans: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text) without each byte that is covered by a string of
     ``length`` bytes which also starts in a document with a smaller id: n_bytes, n_removed,
     n_spans (maximal removed runs), kept_sha256; with ``with_spans`` also ``spans``, start and end
