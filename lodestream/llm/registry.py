@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import dartminhash, iblt, mixing, packing, secrets, suffixes, topk, toxicity, warc
+from . import dartminhash, iblt, mixing, packing, passages, secrets, suffixes, topk, toxicity, warc
 
 QUERIES = {
+    "op1_substring_dedup": passages.op1_substring_dedup,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_secrets": secrets.op4_secrets,
