@@ -59,7 +59,8 @@ class Anchors:
         return np.searchsorted(self.starts, self.at, side="right") - 1
 
     def grams(self, gram: int) -> np.ndarray:
-        return self.rolling.of(self.at, self.at + gram)
+        """Keys of the anchor strings; hashed again, as their hashes are the small ones."""
+        return mix64(self.rolling.of(self.at, self.at + gram), 41)
 
     def contexts(self, length: int) -> np.ndarray:
         """Hash of all bytes of an anchor's windows, and of where the anchor is among them."""
