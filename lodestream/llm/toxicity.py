@@ -9,6 +9,7 @@ then add up to a document's evidence, calibrated to a score, and give the offend
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -264,7 +265,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 4000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: int = 3500) -> Model:
     """Fit a model to a bounded sample of labelled documents: of each label up to so many, those of
     the smallest hashes of their ids, never held-out ones. The bound is on the rows; their texts
     are whole. Of repeated labels the larger counts."""
@@ -275,7 +276,17 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean
         ids = own if ids is None else ids.unionByName(own)
     # At most most_toxic + most_clean rows: a bounded broadcast, so that no text is shuffled.
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic", "doc_id").toPandas().sort_values("doc_id", kind="stable")
-    return fit([t or "" for t in rows["text"]], rows["toxic"].to_numpy())
+    model = fit([t or "" for t in rows["text"]], rows["toxic"].to_numpy())
+    del rows
+    give_back()
+    return model
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: a driver lives on long after its fit."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
