@@ -126,7 +126,22 @@ def shard_anchors(texts: list[str | None], length: int, gram: int, most: int = 1
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
+    """Arrays as compressed bytes, the first bytes of all their items together, then the second ones
+    and so on: those of sorted or small numbers are alike."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b"" for a in arrays]
+    return zstandard.compress(b"".join(planes), 1)
+
+
+def _array(raw: bytes, dtype: type | np.dtype | str, n: int, offset: int = 0) -> np.ndarray:
+    """The array of n items that begins at ``offset`` of decompressed bytes."""
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(raw, np.uint8, n * size, offset).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
+
+
+def _all_keys(blobs: pd.Series) -> np.ndarray:
+    raws = [zstandard.decompress(b) for b in blobs]
+    return np.sort(np.concatenate([_array(r, np.uint64, len(r) // 8) for r in raws]))
 
 
 def _sort_groups(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -166,8 +181,8 @@ def shared_grams(frame: pd.DataFrame) -> pd.DataFrame:
     keys, many, shard = [], [], []
     for x in frame.itertuples(index=False):
         raw = zstandard.decompress(x.blob)
-        keys.append(np.frombuffer(raw, np.uint64, x.n))
-        many.append(np.frombuffer(raw, bool, x.n, 8 * x.n))
+        keys.append(_array(raw, np.uint64, x.n))
+        many.append(_array(raw, bool, x.n, 8 * x.n))
         shard.append(np.full(x.n, x.shard, np.int32))
     keys, many, shard = np.concatenate(keys), np.concatenate(many), np.concatenate(shard)
     order = np.argsort(keys, kind="stable")
@@ -214,7 +229,7 @@ def sorted_runs(length: int, gram: int, buckets: int):
         columns = ["bucket", "shard", "n", "blob"]
         if not len(frame) or not len(shared):
             return pd.DataFrame([], columns=columns)
-        wanted = np.sort(np.concatenate([np.frombuffer(zstandard.decompress(b), np.uint64) for b in shared["blob"]]))
+        wanted = _all_keys(shared["blob"])
         docs = frame["doc"].to_numpy(np.int64)
         parts = []
         for x in shard_anchors(frame["text"].tolist(), length, gram):
@@ -328,8 +343,8 @@ def merged_windows(length: int, gram: int):
         runs = []
         for x in frame.sort_values("shard").itertuples(index=False):
             raw, n = zstandard.decompress(x.blob), x.n
-            lo, hi = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n)
-            right, left, lcp = (np.frombuffer(raw, np.uint8, n, 16 * n + i * n) for i in range(3))
+            lo, hi = _array(raw, np.int64, n), _array(raw, np.int64, n, 8 * n)
+            right, left, lcp = (_array(raw, np.uint8, n, 16 * n + i * n) for i in range(3))
             sizes = right.astype(np.int64) + left
             rows = decoded(lcp, sizes, np.frombuffer(raw, np.uint8, -1, 19 * n), width)
             runs.append((x.shard, lo, hi, right, left, rows))
@@ -399,10 +414,10 @@ def removed_spans(length: int, gram: int, with_spans: bool):
         contexts, counts, sizes, least = ([np.zeros(0, d)] for d in (np.uint64, np.uint8, np.uint8, np.int64))
         for x in found.itertuples(index=False):
             raw, n, r = zstandard.decompress(x.blob), x.n, x.runs
-            contexts.append(np.frombuffer(raw, np.uint64, n))
-            counts.append(np.frombuffer(raw, np.uint8, n, 8 * n))
-            sizes.append(np.frombuffer(raw, np.uint8, r, 9 * n))
-            least.append(np.frombuffer(raw, np.int64, r, 9 * n + r))
+            contexts.append(_array(raw, np.uint64, n))
+            counts.append(_array(raw, np.uint8, n, 8 * n))
+            sizes.append(_array(raw, np.uint8, r, 9 * n))
+            least.append(_array(raw, np.int64, r, 9 * n + r))
         contexts, counts, sizes, least = (np.concatenate(v) for v in (contexts, counts, sizes, least))
         first = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
         order = np.argsort(contexts, kind="stable")
