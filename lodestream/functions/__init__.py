@@ -1 +1 @@
-"""See the README for what lives in `functions`."""
+"""Scalar building blocks: hash families, byte hashes, distances, and lineage cutting."""

@@ -1 +1 @@
-"""See the README for what lives in `operators`."""
+"""Batch operators: DataFrames and parameters in, a DataFrame out, no files and no collected data."""

@@ -1 +1 @@
-"""See the README for what lives in `plans`."""
+"""Queries over the provided tables and their SQL."""

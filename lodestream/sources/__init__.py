@@ -1 +1 @@
-"""See the README for what lives in `sources`."""
+"""Readers with explicit schemas, a sampling stream source, and sinks."""

@@ -1 +1 @@
-"""See the README for what lives in `streaming`."""
+"""Stream sketches: as relations over numbered elements, and with state over streams."""
