@@ -86,8 +86,8 @@ def son_candidates(baskets: DataFrame, share: float) -> DataFrame:
     of all baskets is among them, however they are dealt."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = [list(items) for frame in frames for items in frame["items"]]
-        yield pd.DataFrame({"itemset": [list(s) for s in local_itemsets(own, share * len(own))]})
+        own = [list(items) for frame in frames for items in frame["items"] if items is not None]
+        yield pd.DataFrame({"itemset": pd.Series([list(s) for s in local_itemsets(own, share * len(own))], dtype=object)})
 
     return baskets.select("items").mapInPandas(run, "itemset array<string>").distinct()
 
