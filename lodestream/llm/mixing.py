@@ -73,15 +73,18 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
     at its source's cut shortened to the words that still fit (n_chars follows). Documents
     without words are not in a mix by words and stay out."""
     columns = docs.columns
-    mixed = mix(docs.withColumn("size", word_count(F.col("text"))), **params).where("taken > 0")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*columns).alias("__row"))
+    mixed = mix(sized, **params).where("taken > 0")
     mixed = mixed.withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("taken") / F.col("size")) - 1)))
     words = F.least(F.col("size"), F.col("taken") - F.col("__epoch") * F.col("size"))
-    pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    text = F.col("__row")["text"]
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     short = words < F.col("size")
-    mixed = mixed.withColumn("text", F.when(short, F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        mixed = mixed.withColumn("n_chars", F.when(short, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return mixed.select(*columns)
+    cut_text = F.when(short, F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")).otherwise(text)
+    mixed = mixed.select("__row", short.alias("__short"), cut_text.alias("__text"))
+    n_chars = F.when(F.col("__short"), F.length("__text").cast("long"))
+    own = {"text": F.col("__text"), "n_chars": F.coalesce(n_chars, F.col("__row")["n_chars"]) if "n_chars" in columns else None}
+    return mixed.select(*[own.get(c, F.col("__row")[c]).alias(c) for c in columns])
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 
 from .common import cut, read, small_batches
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 _UNBROKEN = re.compile(r"\S{4096}|\s{4096}")
 
 
@@ -83,7 +83,7 @@ def _tokenise(path: str, end: int, window: int, unit: int):
                     out.append((doc, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids)))
                     start += n
             rows = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield rows.astype({"doc_id": "Int64"})
+            yield rows.astype({"doc_id": object})
 
     return tokenise
 
@@ -93,7 +93,9 @@ def pieces(docs: DataFrame, path: str, end: int = 1, window: int = 2048, unit: i
     little-endian 32-bit, tokens of the whole document with its end id. Null and empty texts are
     the end id alone. Rows with the same id are documents of their own."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_tokenise(path, end, window, unit), PIECES)
+    # Ids as text: pandas would make whole numbers with nulls among them floating ones.
+    cut_up = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(_tokenise(path, end, window, unit), PIECES)
+    return cut_up.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def combinations(units: int, depth: int, largest: int | None = None) -> Iterator[tuple[int, ...]]:
@@ -187,20 +189,20 @@ def pack(rows: DataFrame, window: int = 2048, unit: int = 64, depth: int = 4, ro
     whatever else their rows hold (doc_id, start and length are needed). No piece is dropped."""
     spark = rows.sparkSession
     rows = cut(rows)
-    histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # at most `window` rows
-    table = spark.createDataFrame(plan(histogram, window, unit, depth), "length long, low long, high long, first long, m long, at long")
+    histogram = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most `window` rows
+    table = spark.createDataFrame(plan(histogram, window, unit, depth), "__length long, __low long, __high long, __first long, __m long, __at long")
     buckets = max(least_buckets, -(-sum(histogram.values()) // rows_per_bucket))
     rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
-    counts = rows.groupBy("length", "__bucket").count()
+    counts = rows.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy("length").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select("length", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
-    order = W.partitionBy("length", "__bucket").orderBy(*[F.col(c) for c in rows.columns if c not in ("length", "__bucket")])
+    counts = counts.select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    order = W.partitionBy("length", "__bucket").orderBy("doc_id", "start", *[c for c in ("ids_crc32", "doc_tokens") if c in rows.columns])
     rows = rows.withColumn("__rank", F.row_number().over(order) - 1).join(counts, ["length", "__bucket"])
     rows = rows.withColumn("__rank", F.col("__rank") + F.col("__base")).drop("__base", "__bucket")
     # The plan has no more rows than patterns of at most `window` lengths: a bounded broadcast.
-    placed = rows.join(F.broadcast(table.withColumnRenamed("length", "__length")), (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("low")) & (F.col("__rank") < F.col("high")))
-    nth = F.col("__rank") - F.col("low")
-    return placed.withColumns({"sequence_id": F.col("first") + F.floor(nth / F.col("m")), "offset": F.col("at") + nth % F.col("m") * F.col("length")}).drop("__rank", "__length", "low", "high", "first", "m", "at")
+    placed = rows.join(F.broadcast(table), (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__low")) & (F.col("__rank") < F.col("__high")))
+    nth = F.col("__rank") - F.col("__low")
+    return placed.withColumns({"sequence_id": F.col("__first") + F.floor(nth / F.col("__m")), "offset": F.col("__at") + nth % F.col("__m") * F.col("length")}).drop("__rank", "__length", "__low", "__high", "__first", "__m", "__at")
 
 
 def default_tokenizer() -> str:

@@ -154,7 +154,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **params) -> DataFrame:
     """The documents, in their own columns, with each span (overlapping ones as one) replaced by
     ``mark``; n_chars follows. None is dropped."""
     columns = docs.columns
-    found = scan(docs, **params)
+    found = scan(docs.select("doc_id", "text", F.struct(*columns).alias("__row")), **params)
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -166,9 +166,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **params) -> DataFrame:
     found = found.withColumn("__done", F.when(F.size("spans") > 0, done))
     text = F.when(F.col("__done").isNull(), F.col("text")).otherwise(F.concat(F.col("__done")["out"], F.substr(F.col("text"), (F.col("__done")["at"] + 1).cast("int"))))
     found = found.withColumn("text", text)
-    if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.when(F.col("__done").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return found.select(*columns)
+    n_chars = F.when(F.col("__done").isNotNull(), F.length("text").cast("long"))
+    own = {"text": F.col("text"), "n_chars": F.coalesce(n_chars, F.col("__row")["n_chars"]) if "n_chars" in columns else None}
+    return found.select(*[own.get(c, F.col("__row")[c]).alias(c) for c in columns])
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -300,7 +301,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             scores, spans = score_texts(shared.value, frame["text"].tolist())
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": scores, "predicted": (scores >= threshold).astype(np.int32), "spans": spans})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double, predicted int, spans string")
+    # Ids as text: pandas would make whole numbers with nulls among them floating ones.
+    scored = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, score double, predicted int, spans string")
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -309,11 +312,13 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames, "text"):
-            yield frame[score_texts(shared.value, frame["text"].tolist())[0] < threshold]
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:  # Arrow throughout, so that whatever else a row holds stays as it is
+            rows = pd.DataFrame({"text": table.column("text").to_pylist()}, dtype=object)
+            low = [score_texts(shared.value, part["text"].tolist())[0] < threshold for part in batches(iter([rows]), "text")]
+            yield table.filter(pa.array(np.concatenate(low) if low else np.zeros(0, bool)))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
