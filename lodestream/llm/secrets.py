@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,10 +68,12 @@ def _place(word: Column, i: Column) -> Column:
 
 
 def transitions(words: DataFrame) -> DataFrame:
-    """(klass, a, b, n): how often the character at place b follows that at a in samples (klass, word)."""
-    steps = F.when(F.length("word") > 1, F.sequence(F.lit(1), F.length("word") - 1))
-    at = words.withColumn("i", F.explode(steps))
-    return at.groupBy("klass", _place(F.col("word"), F.col("i")).alias("a"), _place(F.col("word"), F.col("i") + 1).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    """(klass, step, n): in how many distinct samples (klass, word) a character follows another; a step
+    is the places of both as one number. Once a sample, so that a long or repeated one is one voice."""
+    size = len(ALPHABET) + 1
+    at = F.when(F.length("word") > 1, F.sequence(F.lit(1), F.length("word") - 1))
+    steps = F.array_distinct(F.transform(at, lambda i: _place(F.col("word"), i) * size + _place(F.col("word"), i + 1)))
+    return words.distinct().select("klass", F.explode(steps).alias("step")).groupBy("klass", "step").agg(F.count(F.lit(1)).alias("n"))
 
 
 def labelled_samples(docs: DataFrame, secret_docs: int = 4000, plain_docs: int = 500, made: int = 4000) -> DataFrame:
@@ -78,7 +81,8 @@ def labelled_samples(docs: DataFrame, secret_docs: int = 4000, plain_docs: int =
 
     Random strings are what the patterns find in at most ``secret_docs`` documents and ``made``
     digests in hex, base 64 and upper case; identifiers are the words from four characters on of
-    at most ``plain_docs`` documents, without those that look like keys. Documents are those
+    at most ``plain_docs`` documents, without those that look like keys, and ``made`` dates and
+    numbered names. Documents are those
     of the smallest hashes of their ids; the bounds are on rows, whose texts are whole.
     """
     spark = docs.sparkSession
@@ -98,27 +102,29 @@ def labelled_samples(docs: DataFrame, secret_docs: int = 4000, plain_docs: int =
     rows = docs.join(F.broadcast(ids), "doc_id")
     digest = F.unhex(F.sha2(F.concat(F.lit("sample:"), F.col("id").cast("string")), 256))
     kinds = F.array(F.lower(F.hex(digest)), F.regexp_replace(F.base64(digest), "=", ""), F.upper(F.regexp_replace(F.base64(digest), "[+/=]", "")))
-    generated = spark.range(made).select(F.lit(1).alias("klass"), F.element_at(kinds, (F.col("id") % 3 + 1).cast("int")).alias("word"))
+    when = F.date_format(F.timestamp_seconds(F.col("id") * 864_013), "yyyy-MM-dd'T'HH-mm-ss")
+    n = F.col("id").cast("string")
+    plain_kinds = F.array(when, F.concat(F.lit("user_"), n, F.lit("_item"), (F.col("id") % 17).cast("string")), F.concat(F.lit("part-"), (F.col("id") % 97).cast("string"), F.lit("-section-"), n))
+    nth = (F.col("id") % 3 + 1).cast("int")
+    generated = spark.range(made).select(F.explode(F.array(F.struct(F.lit(1).alias("klass"), F.element_at(kinds, nth).alias("word")), F.struct(F.lit(0).alias("klass"), F.element_at(plain_kinds, nth).alias("word")))).alias("s")).select("s.klass", "s.word")
     words = F.filter(F.split("text", r"[^A-Za-z0-9+/_-]+"), lambda w: (F.length(w) >= 4) & ~w.rlike(r"[0-9a-f]{32}|AKIA|[0-9].*[0-9].*[0-9]"))
     own = F.when(F.col("klass") == 1, F.concat(*found)).otherwise(words)
     return rows.select("klass", F.explode(own).alias("word")).unionByName(generated)
 
 
-def ratios(samples: DataFrame, smooth: float = 0.5) -> list[float]:
-    """Log-likelihood ratio of each step, random against ordinary, in rows of the first character.
-    Counts are aggregated by Spark; at most two tables of alphabet by alphabet come here."""
-    import math
-
+def ratios(samples: DataFrame, smooth: float = 0.5, prior: float = 5.0) -> list[float]:
+    """Log-likelihood ratio of each step, random against ordinary, in rows of the first character. A
+    step's probability leans on its second character's by ``prior`` counts, so that characters rare in
+    a class are rare after ones it never has, too. Counts are aggregated by Spark; at most two
+    tables of alphabet by alphabet come here."""
     size = len(ALPHABET) + 1
-    counts = [[0.0] * (size * size), [0.0] * (size * size)]
+    counts = np.zeros((2, size, size))
     for r in transitions(samples).collect():  # at most 2 * 67 * 67 rows
-        counts[r["klass"]][r["a"] * size + r["b"]] += r["n"]
-    out = []
-    for a in range(size):
-        rows = [c[a * size : (a + 1) * size] for c in counts]
-        sums = [sum(r) + smooth * size for r in rows]
-        out += [math.log((rows[1][b] + smooth) / sums[1]) - math.log((rows[0][b] + smooth) / sums[0]) for b in range(size)]
-    return out
+        counts[r["klass"], r["step"] // size, r["step"] % size] += r["n"]
+    single = counts.sum(1) + smooth
+    single /= single.sum(1, keepdims=True)
+    chance = (counts + prior * single[:, None, :]) / (counts.sum(2, keepdims=True) + prior)
+    return np.log(chance[1] / chance[0]).reshape(-1).tolist()
 
 
 def random_spans(text: Column, table: list[float], per_step: float, total: float) -> Column:
@@ -139,7 +145,7 @@ def random_spans(text: Column, table: list[float], per_step: float, total: float
     return F.when(text.rlike(CANDIDATE), spans).otherwise(none)
 
 
-def scan(docs: DataFrame, per_step: float = 0.8, total: float = 15.0, **samples: int) -> DataFrame:
+def scan(docs: DataFrame, per_step: float = 1.5, total: float = 25.0, **samples: int) -> DataFrame:
     """Adds ``base`` and ``spans`` to documents of (doc_id, text and any others): arrays of (start,
     kind, stop) in order, the pattern's spans and those with the models' added. An added span
     overlaps no base span. Null texts are empty and hold nothing."""
