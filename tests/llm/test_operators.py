@@ -20,7 +20,7 @@ from lodestream.llm.shingles import similarities, weighted_cells
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, taken string, base string, h string, label string"
 DRAW = random.Random(11)
-WORDS = ["".join(DRAW.choice("abcdefghij") for _ in range(DRAW.randint(2, 7))) for _ in range(400)]
+WORDS = ["".join(DRAW.choice("eeettaaooinnshrdlucmfwypvbgkqjxz") for _ in range(DRAW.randint(2, 7))) for _ in range(400)]
 
 
 def prose(n, seed):
