@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.lineage import cut
+
 RESULT = ("id_1", "id_2", "similarity")
 
 
@@ -16,24 +18,45 @@ def members(rows: DataFrame, owner: str, element: str) -> DataFrame:
 
 
 def jaccard_pairs(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """(id_1, id_2, similarity) of the given pairs whose sets (id, element) are that similar."""
-    sizes = sets.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    one = pairs.join(sets.withColumnRenamed("id", "id_1"), "id_1")
-    both = one.join(sets.withColumnRenamed("id", "id_2"), ["id_2", "element"]).groupBy("id_1", "id_2").agg(F.count(F.lit(1)).alias("both"))
-    sized = both.join(sizes.select(F.col("id").alias("id_1"), F.col("n").alias("n_1")), "id_1").join(sizes.select(F.col("id").alias("id_2"), F.col("n").alias("n_2")), "id_2")
-    out = sized.withColumn("similarity", F.col("both") / (F.col("n_1") + F.col("n_2") - F.col("both")))
+    """(id_1, id_2, similarity) of the given pairs whose sets (id, element) are that similar. A pair is one
+    row with both sets as arrays, so nothing is multiplied by the sets' sizes."""
+    whole = sets.groupBy("id").agg(F.collect_list("element").alias("items"))
+    one = pairs.join(whole.select(F.col("id").alias("id_1"), F.col("items").alias("a")), "id_1")
+    two = one.join(whole.select(F.col("id").alias("id_2"), F.col("items").alias("b")), "id_2")
+    both = two.select("id_1", "id_2", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("n"))
+    out = both.withColumn("similarity", F.col("both") / (F.col("n") - F.col("both")))
+    return out.where(F.col("similarity") >= least).select(*RESULT)
+
+
+def _counted_join(sets: DataFrame, least: float) -> DataFrame:
+    """By counting how often two sets meet, over all elements."""
+    sized = sets.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("id")))
+    left = sized.select(F.col("id").alias("id_1"), "element", F.col("n").alias("n_1"))
+    met = left.join(sized.select(F.col("id").alias("id_2"), "element", F.col("n").alias("n_2")), "element").where("id_1 < id_2")
+    both = met.groupBy("id_1", "id_2").agg(F.count(F.lit(1)).alias("both"), F.first("n_1").alias("n_1"), F.first("n_2").alias("n_2"))
+    out = both.withColumn("similarity", F.col("both") / (F.col("n_1") + F.col("n_2") - F.col("both")))
     return out.where(F.col("similarity") >= least).select(*RESULT)
 
 
 def jaccard_join(sets: DataFrame, least: float) -> DataFrame:
     """(id_1, id_2, similarity) of all pairs of sets (id, element) with Jaccard similarity ``least`` or
-    more; exact. A set is indexed by its rarest elements only: two sets that similar share one of
-    each one's first n - ceil(least * n) + 1 elements in order of rarity, so frequent elements are
-    never joined on. Candidates whose sizes alone rule them out go before they are counted."""
+    more; exact, by the cheaper of two plans.
+
+    With frequent elements, a set is indexed by its rarest elements only: two sets that similar share
+    one of each one's first n - ceil(least * n) + 1 elements in order of rarity, so frequent ones are
+    never joined on; candidates whose sizes alone rule them out go, the others are compared. Where
+    elements are rare and the threshold low, pairs simply are counted as they meet. The plan is
+    chosen by the pairs that either makes, which the elements' frequencies tell beforehand.
+    """
     df = sets.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = W.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "element")
     sized = sets.join(df, "element", "left").withColumn("place", F.row_number().over(own)).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("id")))
-    prefix = sized.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).where("df IS NOT NULL").select("id", "element", "n")
+    prefix = cut(sized.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).where("df IS NOT NULL").select("id", "element", "n"))
+    meets = lambda of: F.sum(of.cast("double") * (of - 1) / 2)
+    counted = df.agg(meets(F.col("df"))).first()[0] or 0.0
+    first = prefix.groupBy("element").agg(F.count(F.lit(1)).alias("df"), F.avg("n").alias("n")).agg(meets(F.col("df")), F.avg("n")).first()
+    if counted <= (first[0] or 0.0) * (1 + (first[1] or 0.0)):
+        return _counted_join(sets, least)
     other = prefix.select(F.col("id").alias("id_2"), "element", F.col("n").alias("n_2"))
     met = prefix.select(F.col("id").alias("id_1"), "element", F.col("n").alias("n_1")).join(other, "element").where("id_1 < id_2")
     fit = (F.least("n_1", "n_2") + 1e-9) >= F.greatest("n_1", "n_2") * F.lit(least)

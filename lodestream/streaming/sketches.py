@@ -46,7 +46,9 @@ def flajolet_martin(elements: DataFrame, size: int, family: HashFamily, groups:
     aggregate; functions beyond ``groups`` equal parts don't count."""
     parts = len(family.params) // groups
     rows = ticked(elements, size).select("tick", "element").distinct()
-    tails = rows.select("tick", F.transform(hashed(F.col("element"), family), trailing_zeros).alias("tails"))
+    # Each distinct element is hashed once, however many ticks it is in.
+    known = rows.select("element").distinct().withColumn("tails", F.transform(hashed(F.col("element"), family), trailing_zeros))
+    tails = rows.join(known, "element").select("tick", "tails")
     most = [F.max(F.col("tails")[i]).alias(f"m{i}") for i in range(parts * groups)]
     by_tick = tails.groupBy("tick").agg(F.count(F.lit(1)).alias("truth"), *most)
     means = [sum((F.pow(F.lit(2.0), F.col(f"m{i}")) for i in range(g * parts, (g + 1) * parts)), F.lit(0.0)) / parts for g in range(groups)]
@@ -60,7 +62,8 @@ def flajolet_martin_by_element(elements: DataFrame, size: int, family: HashFamil
     each slice one short, divided by its full length."""
     part = len(family.params) // groups
     rows = ticked(elements, size).withColumn("place", (F.col("seq") - 1) % size)
-    own = rows.withColumn("power", F.pow(F.lit(2.0), F.array_max(F.transform(hashed(F.col("element"), family), trailing_zeros))))
+    longest = F.array_max(F.transform(hashed(F.col("element"), family), trailing_zeros))
+    own = rows.join(rows.select("element").distinct().withColumn("power", F.pow(F.lit(2.0), longest)), "element")
     sums = [F.coalesce(F.sum(F.when(F.col("place").between(g * part, (g + 1) * part - 2), F.col("power"))), F.lit(0.0)) / part for g in range(groups)]
     by_tick = own.groupBy("tick").agg(F.count_distinct("element").alias("truth"), F.element_at(F.array_sort(F.array(*sums)), groups // 2 + 1).alias("middle"))
     return by_tick.select("tick", "truth", F.floor("middle").alias("estimate"))
