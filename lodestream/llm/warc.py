@@ -202,7 +202,8 @@ def records(chunked: DataFrame) -> DataFrame:
     last = chunked.where("last").select("page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), F.col("warc_type").alias("record_type"), "refers_to", "declared_digest")
     responses = last.where("record_type = 'response'").drop("declared_digest")
     known = responses.select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("__bytes"), F.col("payload_digest").alias("declared_digest")).dropDuplicates(["refers_to", "declared_digest"])
-    revisits = last.where("record_type = 'revisit'").join(known, ["refers_to", "declared_digest"], "left")
+    # A table read from archives looks as small as the list of their names; it is not to be broadcast.
+    revisits = last.where("record_type = 'revisit'").join(known.hint("merge"), ["refers_to", "declared_digest"], "left")
     return responses.unionByName(revisits.select("page_id", F.col("__bytes").alias("payload_bytes"), F.when(F.col("__bytes").isNotNull(), F.col("declared_digest")).alias("payload_digest"), "record_type", "refers_to"))
 
 
