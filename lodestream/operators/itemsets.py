@@ -3,7 +3,9 @@
 Counting is by level. A row of level k is an itemset of k items that occurs in a basket, with the
 tail of that basket's items after its last one; the next level appends each item of the tail. So a
 basket is dealt out once and no self-join pairs its items: each level is one explode, one
-count that combines before it shuffles, and one semi-join with the sets that stay.
+count that combines before it shuffles, and one semi-join with the sets that stay. Only baskets of
+frequent items and frequent sets are ever written; levels are grown again from those, as growing
+them costs less than keeping them.
 """
 
 from __future__ import annotations
@@ -42,10 +44,10 @@ def frequent_itemsets(baskets: DataFrame, support: float, longest: int | None =
     found, k = singles, 1
     keep = singles.select(F.element_at("itemset", 1).alias("item"))
     rows = baskets.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("items").alias("item"))
-    level = _first_level(rows.join(keep, "item").groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items")))
+    level = _first_level(cut(rows.join(keep, "item").groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))))
     while longest is None or k < longest:
         k += 1
-        level = cut(_next_level(level))
+        level = _next_level(level)
         frequent = cut(_counts(level, support))
         if frequent.isEmpty():
             break
@@ -102,7 +104,6 @@ def son_itemsets(baskets: DataFrame, share: float) -> DataFrame:
     level, found = _first_level(baskets), None
     for k in range(1, longest + 1):
         level = (level if k == 1 else _next_level(level)).join(candidates.where(F.size("itemset") == k), "itemset", "left_semi")
-        level = cut(level)
         counted = _counts(level, support)
         found = counted if found is None else found.unionByName(counted)
     return found if found is not None else baskets.sparkSession.createDataFrame([], RESULT)
