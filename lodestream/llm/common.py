@@ -95,6 +95,13 @@ class Rolling:
             return mix64((self.sums[end] - self.sums[start]) * self.down[start], 5)
 
 
+    def every(self, size: int) -> np.ndarray:
+        """Hashes of all substrings of that size, by where they start: as ``of``, without index arrays."""
+        n = max(len(self.sums) - size, 0)
+        with np.errstate(over="ignore"):
+            return mix64((self.sums[size:] - self.sums[:n]) * self.down[:n], 5)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -74,8 +74,7 @@ def anchors_of(data: np.ndarray, starts: np.ndarray, length: int, gram: int, fir
     if len(data) < length:
         return Anchors(first, data, starts, rolling, none, none, none)
     span = length - gram + 1
-    at = np.arange(len(data) - gram + 1)
-    h = rolling.of(at, at + gram)
+    h = rolling.every(gram)
     least = window_minima(h, span)
     inside = np.zeros(len(data) + 1, np.int32)  # windows that lie within one text
     sizes = np.diff(starts) - 1
@@ -90,11 +89,16 @@ def anchors_of(data: np.ndarray, starts: np.ndarray, length: int, gram: int, fir
     last[:-1] &= fresh[1:] | ~valid[1:]
     high = np.flatnonzero(last)
 
+    halves = []
+    while 1 << len(halves) < span:
+        halves.append(h if not halves else np.minimum(halves[-1][: -(1 << len(halves) - 1)], halves[-1][1 << len(halves) - 1 :]))
+
     def leftmost(p: np.ndarray) -> np.ndarray:
-        out = np.empty(len(p), np.int64)
-        for i in range(0, len(p), 1 << 16):
-            own = p[i : i + (1 << 16)]
-            out[i : i + (1 << 16)] = own + np.argmin(h[own[:, None] + np.arange(span)], axis=1)
+        """Where each window's minimum is first: past every half that doesn't hold it, largest first."""
+        v, out = least[p], p.copy()
+        for j in range(len(halves) - 1, -1, -1):
+            own = halves[j]
+            out += (own[np.minimum(out, len(own) - 1)] > v).astype(np.int64) << j
         return out
 
     anchor = leftmost(low)
