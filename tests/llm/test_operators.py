@@ -214,6 +214,18 @@ def test_every_exact_repeat_of_fifty_words_is_found(spark):
     assert not set(found) & set(range(100, 120))
 
 
+@pytest.mark.parametrize("shard_bytes", [10**7, 9000])
+def test_equal_passages_around_a_frequent_line_are_found(spark, shard_bytes):
+    line, rows = prose(36, 77), []
+    for i in range(40):
+        rows.append((i, f"{prose(60, 3000 + i)} {line} {prose(60, 4000 + i)}"))
+    for i in range(40):
+        passage = f"{prose(7, 5000 + i)} {line} {prose(7, 6000 + i)}"
+        rows += [(100 + i, f"{prose(60, 7000 + i)} {passage} {prose(60, 8000 + i)}"), (200 + i, f"{prose(60, 9000 + i)} {passage} {prose(60, 9500 + i)}")]
+    out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=shard_bytes).collect()
+    assert {(200 + i, 100 + i) for i in range(40)} <= {(r["doc_id"], r["other_id"]) for r in out}
+
+
 # 10 near duplicates
 
 
