@@ -226,6 +226,23 @@ def test_equal_passages_around_a_frequent_line_are_found(spark, shard_bytes):
     assert {(200 + i, 100 + i) for i in range(40)} <= {(r["doc_id"], r["other_id"]) for r in out}
 
 
+def test_every_copy_in_a_document_is_found(spark):
+    two, three, early = prose(60, 41), prose(55, 42), prose(80, 43)
+    texts = {1: f"{prose(30, 44)} {two} {prose(20, 45)} {two} {prose(30, 46)}", 2: f"{three} {three} {three}", 3: f"{prose(30, 47)} {early}", 4: f"{' '.join(early.split()[30:50])} {prose(90, 48)} {early} {prose(9, 49)} {early}", 5: "w " * 300, 6: prose(300, 50)}
+    rows = [*texts.items(), (None, prose(70, 51)), (None, prose(70, 51))]
+    out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=9000, within=True).collect()
+    found = {}
+    for r in out:
+        found.setdefault((r["doc_id"], r["other_id"]), set()).add((r["start_word"], r["end_word"]))
+        if r["doc_id"] == r["other_id"] is not None:
+            assert r["other_end"] <= r["start_word"]
+    words = {k: {w for s, e in v for w in range(s, e)} for k, v in found.items()}
+    assert found[1, 1] == {(110, 170)} and words[2, 2] == set(range(55, 165))
+    assert {*range(110, 190), *range(199, 279)} <= words[4, 3] and set(range(199, 279)) <= words[4, 4]
+    assert set(range(50, 300)) == words[5, 5] and (6, 6) not in found
+    assert found[None, None] == {(0, 70)}
+
+
 # 10 near duplicates
 
 
