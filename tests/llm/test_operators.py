@@ -243,6 +243,18 @@ def test_every_copy_in_a_document_is_found(spark):
     assert found[None, None] == {(0, 70)}
 
 
+def test_passages_with_an_insertion_are_found(spark):
+    rows = []
+    for i, (n, more) in enumerate([(80, 8), (88, 10), (72, 7), (90, 12)] * 12):
+        a, put = prose(n, 20000 + i).split(), prose(more, 21000 + i).split()
+        sides = [" ".join(a), " ".join([*a[: n // 2], *put, *a[n // 2 :]])]
+        sides = sides[:: 1 - 2 * (i // 4 % 2)]
+        rows += [(100 * k + i, f"{prose(60, 22000 + 100 * k + i)} {p} {prose(60, 23000 + 100 * k + i)}") for k, p in enumerate(sides)]
+    out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = {(r["doc_id"], r["other_id"]) for r in out if min(r["end_word"] - r["start_word"], r["other_end"] - r["other_start"]) >= 72}
+    assert len(whole & {(100 + i, i) for i in range(48)}) >= 46
+
+
 # 10 near duplicates
 
 
