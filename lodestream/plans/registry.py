@@ -244,7 +244,7 @@ def hybrid_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("features"))
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
 
 
 def cluster_summaries(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,8 +253,9 @@ def cluster_summaries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nearest_cluster(spark: SparkSession, sf: str) -> DataFrame:
-    """Each vector's nearest summary of the labelled ones, within twice the root of the dimension."""
-    p = _points(spark, sf)
+    """Each vector's nearest summary of the labelled ones, within twice the root of the dimension. Of
+    the first 8 components only, as in its SQL."""
+    p = _points(spark, sf).withColumn("features", F.slice("features", 1, 8))
     return C.nearest_within(p.drop("cluster"), C.summaries(p)).withColumn("distance", F.round("distance", 5))
 
 

@@ -64,6 +64,16 @@ def test_bfr_keeps_every_point_once(spark):
     assert last["ds_points"] + last["cs_points"] + last["rs_points"] == 303
 
 
+def test_clustering_queries_see_whole_vectors(spark, tmp_path):
+    from lodestream.plans import registry
+
+    rows = [(i, i % 4, [0.0] * 8 + [100.0 * (i % 4)] * 8) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {len(r["features"]) for r in registry._points(spark, str(tmp_path)).collect()} == {16}
+    labels = {r["id"]: r["cluster"] for r in registry.bfr_labels(spark, str(tmp_path)).collect()}
+    assert len(labels) == 100 and len({c for c in labels.values() if c >= 0}) == 4
+
+
 @pytest.mark.parametrize("text", ["8812", "é", "", "mixed-日本-ids"])
 def test_bytes_as_one_integer(spark, text):
     p = 1_048_573
