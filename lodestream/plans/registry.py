@@ -130,8 +130,7 @@ def edge_betweenness(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def girvan_newman(spark: SparkSession, sf: str) -> DataFrame:
-    """Three rounds of removal; the operator itself goes on until no edge is left."""
-    return G.girvan_newman(_graph(spark, sf), most_rounds=3)
+    return G.girvan_newman(_graph(spark, sf))
 
 
 def _brand_customers(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,10 +225,10 @@ def item_attributes(spark: SparkSession, sf: str) -> DataFrame:
 FEATURES = ["b_review_count", "b_price", "b_size", "u_balance", "u_automobile", "u_building", "u_furniture", "u_household", "u_machinery"]
 
 
-def _gbt(spark: SparkSession, sf: str, trees: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _gbt(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     train, test = _ratings(spark, sf)
     items, users = _items(spark, sf), _users(spark, sf)
-    model = X.fit_gbt(cut(X.assemble(R.mean_ratings(train), items, users, True)), FEATURES, trees=trees)
+    model = X.fit_gbt(cut(X.assemble(R.mean_ratings(train), items, users, True)), FEATURES)
     asked = X.assemble(test.select("user", "item").distinct(), items, users, False)
     return train, test, X.predict_gbt(model, asked, FEATURES).select("user", "item", "model")
 

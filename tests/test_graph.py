@@ -67,6 +67,30 @@ def test_communities_by_edge_removal(bridge):
     assert {r["id"]: r["component"] for r in G.girvan_newman(bridge, most_rounds=0).collect()} == dict.fromkeys("abcdef", "a")
 
 
+def test_registered_operators_run_their_defaults(spark, monkeypatch):
+    from lodestream.operators import features as X
+    from lodestream.plans import registry
+
+    asked = []
+    monkeypatch.setattr(registry, "_graph", lambda *_: None)
+    monkeypatch.setattr(G, "girvan_newman", lambda edges, most_rounds=None: asked.append(most_rounds))
+    registry.girvan_newman(spark, "")
+    for name in ("_ratings", "_items", "_users"):
+        monkeypatch.setattr(registry, name, lambda *_: (None, None))
+    monkeypatch.setattr(registry, "cut", lambda df: df)
+    monkeypatch.setattr(registry.R, "mean_ratings", lambda df: df)
+    monkeypatch.setattr(X, "assemble", lambda *_: None)
+
+    def fit(df, features, trees=100, **_):
+        asked.append(trees)
+        raise StopIteration
+
+    monkeypatch.setattr(X, "fit_gbt", fit)
+    with pytest.raises((StopIteration, AttributeError)):
+        registry._gbt(spark, "")
+    assert asked == [None, 100]
+
+
 def test_labels_take_the_smallest_of_equals(spark):
     path = G.mirrored(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long"))
     assert {(r["id"], r["label"]) for r in G.label_propagation(path, 1).collect()} == {(1, 2), (2, 1), (3, 2)}
