@@ -80,8 +80,8 @@ def _split(clustered: DataFrame) -> tuple[DataFrame, DataFrame]:
 class BFR:
     """The state of a clustering: summaries of both sets, where their points went, and the retained."""
 
-    def __init__(self, k: int, seed: int = 1, most_small: int = 1000) -> None:
-        self.k, self.seed, self.most_small = k, seed, most_small
+    def __init__(self, k: int, seed: int = 1) -> None:
+        self.k, self.seed = k, seed
         self.discard = self.compressed = self.assigned = self.small = self.retained = None
 
     def start(self, points: DataFrame) -> None:
@@ -95,9 +95,9 @@ class BFR:
 
     def _recluster(self, points: DataFrame) -> None:
         """Cluster loose points; groups of two or more become compression clusters, the rest is retained.
-        There are half as many clusters as points, up to a fixed number."""
+        There are half as many clusters as points."""
         n = points.count()
-        grouped, alone = _split(k_means(points, min(1 + n // 2, self.most_small), self.seed)) if n else (points.withColumn("cluster", F.lit(0)), points.withColumn("cluster", F.lit(0)))
+        grouped, alone = _split(k_means(points, 1 + n // 2, self.seed)) if n else (points.withColumn("cluster", F.lit(0)), points.withColumn("cluster", F.lit(0)))
         first = (self.compressed.agg(F.max("cluster")).first()[0] if self.compressed is not None else None) or 0
         grouped = grouped.withColumn("cluster", F.col("cluster") + F.lit(first + 1))
         self.compressed = cut(summaries(grouped) if self.compressed is None else self.compressed.unionByName(summaries(grouped)))

@@ -64,6 +64,13 @@ def test_bfr_keeps_every_point_once(spark):
     assert last["ds_points"] + last["cs_points"] + last["rs_points"] == 303
 
 
+def test_small_clusters_are_half_as_many_as_loose_points(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(C, "k_means", lambda points, k, seed: (asked.append(k), points.withColumn("cluster", F.col("id")))[1])
+    C.BFR(3)._recluster(spark.range(4000).withColumn("features", F.array(F.lit(0.0))))
+    assert asked == [2001]
+
+
 def test_clustering_queries_see_whole_vectors(spark, tmp_path):
     from lodestream.plans import registry
 
