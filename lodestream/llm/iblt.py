@@ -1,11 +1,13 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 All of it is DataFrame functions. A text's paragraphs (lines that are not empty), each with its
-occurrence number, are digested to 64-bit keys. A sketch has three tables of ``s`` cells; a key
-adds itself to one cell of each: to its count, by exclusive or to its key sum and check sum. A
-sketch is kept sparse, as its cells that are not zero in order. Two texts' sketches subtract
-cell by cell, and peeling cells that hold one key recovers the keys on either side only; where
-that gets stuck, both are sketched again twice as large.
+occurrence number, are digested to 64-bit keys. A sketch has three tables of ``s`` cells, a power of
+two; a key adds itself to one cell of each: to its count, by exclusive or to its key sum and check sum.
+A sketch is kept sparse, as its cells that are not zero in order. Two texts' sketches are compared at the
+size of the smaller, to which the larger one folds by taking its cells modulo that size; they subtract cell by
+cell, and peeling cells that hold one key recovers the keys on either side only. Where that gets
+stuck, both are sketched again at a size for all their keys, then twice as large and so on. Keys and cells are
+made from sorted arrays and the places where their runs begin, so the work is a sort's, whatever a text's length.
 """
 
 from __future__ import annotations
@@ -25,13 +27,25 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def by_runs(items: Column, key, body) -> Column:
+    """``body(items, first place, length)`` of each run of equal ``key`` in an array; places from 1."""
+
+    def runs(own: Column) -> Column:
+        n = F.size(own)
+        opens = F.filter(F.sequence(F.lit(1), n), lambda i: F.coalesce(key(F.element_at(own, i)) != key(F.get(own, i - 2)), F.lit(True)))
+        starts = F.when(n > 0, opens).otherwise(F.array().cast("array<int>"))
+        return let(starts, lambda at: F.transform(at, lambda first, j: body(own, first, F.coalesce(F.get(at, j + 1), n + 1) - first)))
+
+    return let(items, runs)
+
+
 def paragraph_hashes(text: Column) -> Column:
-    return F.array_sort(F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), lambda p: F.xxhash64(p)))
+    return F.sort_array(F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
 def keys(hashes: Column) -> Column:
     """A key for each paragraph and occurrence; equal paragraphs are next to each other in ``hashes``."""
-    return F.transform(hashes, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(hashes, x)))
+    return F.flatten(by_runs(hashes, lambda x: x, lambda own, first, n: F.transform(F.sequence(F.lit(1), n), lambda nth: F.xxhash64(F.element_at(own, first), nth))))
 
 
 def check(k: Column) -> Column:
@@ -46,20 +60,17 @@ def cells_of(k: Column, n: Column, s: Column) -> Column:
 
 def fold(entries: Column) -> Column:
     """Cells by number, entries of one cell added up, without those that are zero."""
-    empty = F.array().cast(f"array<{CELL}>")
-    zero = F.struct(empty.alias("done"), *[F.lit(v).cast("long").alias(a) for a, v in (("cell", -1), ("n", 0), ("k", 0), ("c", 0))])
+    zero = F.struct(*[F.lit(0).cast("long").alias(a) for a in ("n", "k", "c")])
 
-    def flush(acc: Column) -> Column:
-        live = (acc["n"] != 0) | (acc["k"] != 0) | (acc["c"] != 0)
-        return F.when(live, F.concat(acc["done"], F.array(F.struct(*[acc[a].alias(a) for a in ("cell", "n", "k", "c")])))).otherwise(acc["done"])
+    def add(acc: Column, e: Column) -> Column:
+        return F.struct((acc["n"] + e["n"]).alias("n"), acc["k"].bitwiseXOR(e["k"]).alias("k"), acc["c"].bitwiseXOR(e["c"]).alias("c"))
 
-    def step(acc: Column, e: Column) -> Column:
-        same = acc["cell"] == e["cell"]
-        more = F.struct(acc["done"].alias("done"), e["cell"].alias("cell"), (acc["n"] + e["n"]).alias("n"), acc["k"].bitwiseXOR(e["k"]).alias("k"), acc["c"].bitwiseXOR(e["c"]).alias("c"))
-        new = F.struct(flush(acc).alias("done"), *[e[a].alias(a) for a in ("cell", "n", "k", "c")])
-        return F.when(same, more).otherwise(new)
+    def total(own: Column, first: Column, n: Column) -> Column:
+        one = F.element_at(own, first)
+        many = let(F.aggregate(F.slice(own, first, n), zero, add), lambda t: F.struct(one["cell"].alias("cell"), t["n"].alias("n"), t["k"].alias("k"), t["c"].alias("c")))
+        return F.when(n == 1, one).otherwise(many)
 
-    return F.aggregate(F.array_sort(entries), zero, step, flush)
+    return F.filter(by_runs(F.sort_array(entries), lambda e: e["cell"], total), lambda e: (e["n"] != 0) | (e["k"] != 0) | (e["c"] != 0))
 
 
 def signed(k: Column, sign: int, s: Column) -> Column:
@@ -71,8 +82,10 @@ def sketch(k: Column, s: Column) -> Column:
     return fold(signed(k, 1, s))
 
 
-def negated(cells: Column) -> Column:
-    return F.transform(cells, lambda c: F.struct(c["cell"].alias("cell"), (-c["n"]).alias("n"), c["k"].alias("k"), c["c"].alias("c")))
+def smaller(cells: Column, s: Column, to: Column, sign: int = 1) -> Column:
+    """The entries of a sketch of size ``s`` in one of size ``to``, which divides it; not yet added up."""
+    at = lambda c: F.floor(c["cell"] / s).cast("long") * to + F.pmod(F.pmod(c["cell"], s), to)
+    return F.transform(cells, lambda c: F.struct(at(c).alias("cell"), (c["n"] * sign).alias("n"), c["k"].alias("k"), c["c"].alias("c")))
 
 
 def cells_for(n: Column) -> Column:
@@ -112,29 +125,35 @@ def peeled(difference: Column, s: Column) -> Column:
     return let(done, lambda d: F.struct(d["plus"].alias("plus"), d["minus"].alias("minus"), F.size(d["cells"]).alias("left")))
 
 
-def likeness(a: Column, b: Column, size: Column, ready: Column | None = None) -> Column:
-    """Paragraphs that two texts share by paragraphs that either has (0 to 1; 1 for none), from the
-    difference of their keys' sketches of ``size``, then twice, four times ... as large while
-    peeling is stuck. ``ready``: the difference of that size, where there is one. Should all
-    sizes be stuck, the keys themselves are compared."""
+def likeness(a: Column, a_s: Column, b: Column, b_s: Column, a_keys: Column, b_keys: Column) -> Column:
+    """(ratio, tries) of two sketches a and b of sizes a_s and b_s: paragraphs that both texts have by those that
+    either has (0 to 1; 1 for none), from the difference of the sketches at the smaller size; while
+    peeling is stuck, of sketches made again from the keys, at a size for all of them, then twice, four times ...
+    as large. ``tries`` is how many differences were peeled, 0 of equal sketches; should all sizes be
+    stuck, the keys themselves are compared and it is -1."""
 
-    def attempt(s: Column, own: Column | None = None) -> Column:
-        made = fold(F.concat(signed(a, 1, s), signed(b, -1, s)))
-        return let(made if own is None else F.when(own.isNotNull(), own).otherwise(made), lambda d: peeled(d, s))
+    def first(s: Column) -> Column:
+        return let(fold(F.concat(smaller(a, a_s, s), smaller(b, b_s, s, -1))), lambda d: tried(d, s, F.lit(1)))
 
-    larger = F.aggregate(
-        F.sequence(F.lit(1), F.lit(RETRIES)),
-        let(size, lambda s: attempt(s, ready)),
-        lambda acc, t: F.when(acc["left"] == 0, acc).otherwise(let(F.call_function("shiftleft", size, t), lambda s: attempt(s))),
-    )
-    exact = F.size(F.array_except(a, b)).cast("long"), F.size(F.array_except(b, a)).cast("long")
+    def tried(difference: Column, s: Column, nth: Column) -> Column:
+        return let(peeled(difference, s), lambda p: F.struct(p["plus"].alias("plus"), p["minus"].alias("minus"), p["left"].alias("left"), nth.cast("int").alias("tries")))
+
+    def again(acc: Column, t: Column) -> Column:
+        size = F.call_function("shiftleft", cells_for(F.size(a_keys) + F.size(b_keys)), t)
+        return F.when(acc["left"] == 0, acc).otherwise(let(size, lambda s: let(fold(F.concat(signed(a_keys, 1, s), signed(b_keys, -1, s))), lambda d: tried(d, s, t + 2))))
+
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES - 1)), let(F.least(a_s, b_s), first), again)
 
     def ratio(g: Column) -> Column:
-        plus = F.when(g["left"] == 0, g["plus"]).otherwise(exact[0])
-        minus = F.when(g["left"] == 0, g["minus"]).otherwise(exact[1])
-        return F.when(F.size(a) + minus == 0, 1.0).otherwise((F.size(a) - plus) / (F.size(a) + minus))
+        done = g["left"] == 0
+        plus = F.when(done, g["plus"]).otherwise(F.size(F.array_except(a_keys, b_keys)).cast("long"))
+        minus = F.when(done, g["minus"]).otherwise(F.size(F.array_except(b_keys, a_keys)).cast("long"))
+        own = F.size(a_keys)
+        value = F.when(own + minus == 0, 1.0).otherwise((own - plus) / (own + minus))
+        return F.struct(value.alias("ratio"), F.when(done, g["tries"]).otherwise(-1).alias("tries"))
 
-    return F.when(a == b, 1.0).otherwise(let(larger, ratio))
+    same = F.struct(F.lit(1.0).alias("ratio"), F.lit(0).alias("tries"))
+    return F.when((a_s == b_s) & (a == b), same).otherwise(let(found, ratio))
 
 
 def successors(ids: DataFrame) -> DataFrame:
@@ -160,7 +179,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     of the two and that to the next document.
 
     Null texts are empty. Rows with the same id and text are one document in the order, and each
-    gets its row. Texts that differ in empty lines only have the same fingerprint.
+    gets its row. Texts that differ in empty lines only have the same fingerprint. Other columns of ``docs``
+    are not looked at. ``edited_tries`` and ``next_tries`` tell how often the two were sketched to peel.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     ids = rows.select("doc_id", "h", F.floor(F.length("text") / 2).alias("need")).distinct()
@@ -176,17 +196,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both = both.withColumn("n_chars", n.cast("long")).withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     both = both.withColumn("hashes", paragraph_hashes(F.col("edited"))).withColumn("edited_keys", keys(F.col("hashes")))
     k, e, x = F.col("keys"), F.col("edited_keys"), F.col("next_keys")
-    both = both.withColumns({"s": cells_for(F.size(k)), "edited_s": cells_for(F.size(e))})
-    both = both.withColumns({"sketch": sketch(k, F.col("s")), "edited_sketch": sketch(e, F.col("edited_s"))})
-    minus = F.when(F.col("s") == F.col("edited_s"), fold(F.concat("sketch", negated(F.col("edited_sketch")))))
+    both = both.withColumns({"s": cells_for(F.size(k)), "edited_s": cells_for(F.size(e)), "next_s": cells_for(F.size(x))})
+    both = both.withColumns({"sketch": sketch(k, F.col("s")), "edited_sketch": sketch(e, F.col("edited_s")), "next_sketch": sketch(x, F.col("next_s"))})
+    own, edited, following = ((F.col(c), F.col(s)) for c, s in (("sketch", "s"), ("edited_sketch", "edited_s"), ("next_sketch", "next_s")))
+    both = both.withColumns({"to_edited": likeness(*own, *edited, k, e), "to_next": likeness(*own, *following, k, x)})
     return both.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        printed(F.col("sketch"), F.col("s"), F.size(k)).alias("fingerprint"),
-        printed(F.col("edited_sketch"), F.col("edited_s"), F.size(e)).alias("edited_fingerprint"),
-        likeness(k, e, F.greatest("s", "edited_s"), minus).alias("near_edited"),
-        likeness(k, x, cells_for(F.size(k) + F.size(x))).alias("near_next"),
+        printed(*own, F.size(k)).alias("fingerprint"),
+        printed(*edited, F.size(e)).alias("edited_fingerprint"),
+        F.col("to_edited")["ratio"].alias("near_edited"),
+        F.col("to_next")["ratio"].alias("near_next"),
+        F.col("to_edited")["tries"].alias("edited_tries"),
+        F.col("to_next")["tries"].alias("next_tries"),
     )
 
 
