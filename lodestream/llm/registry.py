@@ -16,4 +16,4 @@ QUERIES = {
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_near_duplicates": dartminhash.op10_near_duplicates,
 }
-ORACLES = {"op2_mix_sources": mixing.OP2_SQL, "op9_exact_topk": topk.OP9_SQL}
+ORACLES = {"op2_mix_sources": mixing.OP2_SQL, "op7_warc_roundtrip": warc.OP7_SQL, "op9_exact_topk": topk.OP9_SQL}

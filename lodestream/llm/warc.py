@@ -1,9 +1,11 @@
 """WARC archives, written and read as streams of bounded chunks.
 
-A payload never stands in memory twice: the writer feeds it to a per-record gzip member in
-chunks, and the reader turns archives into a chunked record table, rows of record identifier and
-chunk number that carry the digest and size so far. The last chunk of a record has its totals.
-Archives are written by the executors into a folder that all of them share; each task writes
+Both ways records travel as a chunked record table: rows of record identifier and chunk number. The writer
+is given each payload as rows of at most a chunk, in order, and feeds them to a gzip member per record
+while it carries the size and digest so far, which must end at what the record's head declares;
+the reader turns archives into such rows, each with the digest and size so far. The last chunk of a
+record has its totals. So a Python worker holds a batch of chunks, never a payload. Archives are sized by bytes and
+written by the executors into a folder that all of them share; each task writes
 under a name of its attempt and renames at the end, so a task run again leaves one archive.
 """
 
@@ -14,7 +16,6 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from typing import IO
-from urllib.parse import urlsplit, urlunsplit
 from uuid import NAMESPACE_URL, uuid4, uuid5
 
 import pandas as pd
@@ -40,70 +41,112 @@ def record_id(page_id: int) -> str:
 
 
 def safe_uri(url: str | None, page_id: int) -> str:
-    """The page's address on one header line; what has none gets one from its id."""
-    url = "".join(c if 0x20 < ord(c) < 0x7F else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or "")
-    return urlunsplit(urlsplit(url)) if url and "://" in url else f"urn:page:{page_id}"
-
-
-def write_record(sink: IO[bytes], headers: list[tuple[str, str]], payload: bytes, chunk: int) -> None:
-    """One record as a gzip member, its payload compressed chunk by chunk."""
-    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + f"Content-Length: {len(payload)}\r\n\r\n"
-    gzip = zlib.compressobj(3, zlib.DEFLATED, 31)
-    sink.write(gzip.compress(head.encode()))
-    view = memoryview(payload)
-    for i in range(0, len(payload), chunk):
-        sink.write(gzip.compress(view[i : i + chunk]))
-    sink.write(gzip.compress(b"\r\n\r\n") + gzip.flush())
-
-
-def _write(folder: str, chunk: int):
+    """The page's address on one header line, as it stands but for bytes that an address can't hold, which are
+    percent-encoded; it is never parsed, so a malformed one stays malformed. What has none
+    gets one from its id."""
+    kept = "".join(c if 0x20 < ord(c) < 0x7F else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or "")
+    return kept if "://" in kept else f"urn:page:{page_id}"
+
+
+class RecordWriter:
+    """Records written one after another to a sink, each a gzip member that its chunks are fed to."""
+
+    def __init__(self, sink: IO[bytes]) -> None:
+        self.sink, self.records, self.gzip = sink, 0, None
+
+    def begin(self, headers: list[tuple[str, str]], size: int, digest: str | None) -> None:
+        """``digest`` (SHA-1 in hex), if given, and ``size`` are what the chunks to come must add up to."""
+        if self.gzip is not None:
+            raise ValueError("a record begins before the one before it ends")
+        head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + f"Content-Length: {size}\r\n\r\n"
+        self.gzip, self.left, self.sha, self.digest = zlib.compressobj(3, zlib.DEFLATED, 31), size, hashlib.sha1(), digest
+        self.sink.write(self.gzip.compress(head.encode()))
+
+    def add(self, data: bytes) -> None:
+        self.left -= len(data)
+        self.sha.update(data)
+        self.sink.write(self.gzip.compress(data))
+
+    def end(self) -> None:
+        if self.left or (self.digest is not None and self.sha.hexdigest() != self.digest):
+            raise ValueError("a record's chunks are not the payload that its head declares")
+        self.sink.write(self.gzip.compress(b"\r\n\r\n") + self.gzip.flush())
+        self.gzip = None
+        self.records += 1
+
+
+def _headers(x) -> list[tuple[str, str]]:
+    refers = None if pd.isna(x.refers_to) else int(x.refers_to)
+    out = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", record_id(x.page_id)), ("WARC-Target-URI", safe_uri(x.url, x.page_id)), ("WARC-Date", "1970-01-01T00:00:00Z")]
+    out += [("WARC-Payload-Digest", f"sha1:{base64.b32encode(bytes.fromhex(x.payload_hex)).decode()}"), ("X-Page-ID", str(x.page_id)), ("Content-Type", "text/html; charset=utf-8")]
+    if refers is not None:
+        out += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers)), ("X-Refers-To-Page-ID", str(refers))]
+    return out
+
+
+def _write(folder: str):
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, root = filesystem(folder)
         part = TaskContext.get().partitionId()
         name, trial = f"{root}/part-{part:06d}.warc.gz", f"{root}/.part-{part:06d}-{uuid4().hex}"
-        n = 0
         with files.open_output_stream(trial, compression=None) as sink:
+            out = RecordWriter(sink)
             for frame in frames:
                 for x in frame.itertuples(index=False):
-                    payload = (x.html or "").encode("utf-8", "surrogatepass")
-                    refers = None if pd.isna(x.refers_to) else int(x.refers_to)
-                    headers = [("WARC-Type", x.record_type), ("WARC-Record-ID", record_id(x.page_id)), ("WARC-Target-URI", safe_uri(x.url, x.page_id)), ("WARC-Date", "1970-01-01T00:00:00Z")]
-                    headers += [("WARC-Payload-Digest", f"sha1:{base64.b32encode(bytes.fromhex(x.payload_hex)).decode()}"), ("X-Page-ID", str(x.page_id)), ("Content-Type", "text/html; charset=utf-8")]
-                    if refers is not None:
-                        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers)), ("X-Refers-To-Page-ID", str(refers))]
-                        payload = b""
-                    write_record(sink, headers, payload, chunk)
-                    n += 1
+                    revisit = not pd.isna(x.refers_to)
+                    if x.chunk == 0:
+                        out.begin(_headers(x), 0 if revisit else x.payload_bytes, None if revisit else x.payload_hex)
+                    if not revisit:
+                        out.add(x.bytes)
+                    if x.last:
+                        out.end()
         files.move(trial, name)
-        yield pd.DataFrame({"archive": [name], "records": [n]})
+        yield pd.DataFrame({"archive": [name], "records": [out.records]})
 
     return write
 
 
-def deduplicated(pages: DataFrame, parts: int, least: int = 0) -> DataFrame:
-    """Adds payload_hex (SHA-1), record_type and refers_to to pages of (page_id, html and others),
-    dealt into ``parts`` by id, which is the one shuffle of the payloads.
+def chunked(pages: DataFrame, chunk: int) -> DataFrame:
+    """Pages of (page_id, url, html) as chunk rows: page_id, url (on the first), payload_hex (SHA-1),
+    payload_bytes, record (a number of the row), chunk (from 0), last, bytes. Null payloads are empty; an
+    empty one is one empty chunk."""
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    keyed = pages.select("page_id", "url", payload.alias("payload"), F.monotonically_increasing_id().alias("record"))
+    keyed = keyed.withColumns({"payload_hex": F.sha1("payload"), "payload_bytes": F.length("payload").cast("long")})
+    most = F.greatest(F.ceil(F.col("payload_bytes") / chunk), F.lit(1)) - 1
+    rows = keyed.withColumns({"most": most, "chunk": F.explode(F.sequence(F.lit(0).cast("long"), most))})
+    bytes_ = F.substring("payload", F.col("chunk").cast("int") * chunk + 1, chunk)
+    return rows.select("page_id", F.when(F.col("chunk") == 0, F.col("url")).alias("url"), "payload_hex", "payload_bytes", "record", "chunk", (F.col("chunk") == F.col("most")).alias("last"), bytes_.alias("bytes"))
 
-    Of pages whose payloads of at least ``least`` bytes are equal, the one with the largest id
-    is the response and the others revisit it. A digest's largest id is an aggregate, so no group
-    of equal payloads ever meets in one task; the join back is one that Spark can split.
-    """
-    keyed = pages.withColumns({"__bytes": F.coalesce(F.octet_length("html"), F.lit(0)), "payload_hex": F.sha1(F.coalesce("html", F.lit("")).cast("binary"))})
-    firsts = keyed.where(F.col("__bytes") >= least).groupBy("payload_hex").agg(F.max("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    ids = keyed.select("page_id", "payload_hex", "__bytes").join(firsts, "payload_hex", "left")
-    revisit = (F.col("__bytes") >= least) & (F.col("__first") != F.col("page_id"))
-    refers = ids.where(revisit).select("page_id", "payload_hex", F.col("__first").alias("refers_to")).dropDuplicates(["page_id", "payload_hex"])
-    dealt = keyed.drop("__bytes").repartition(parts, "page_id", "payload_hex")
-    out = dealt.join(refers, ["page_id", "payload_hex"], "left")
-    return out.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
+def revisits(ids: DataFrame, least: int = 0) -> DataFrame:
+    """(page_id, payload_hex, refers_to) of the pages (page_id, payload_hex, payload_bytes) that revisit another: of
+    those whose payloads of at least ``least`` bytes are equal, all but the one with the largest id.
 
-def write_archives(pages: DataFrame, folder: str, archives: int, chunk: int = 1 << 18, least: int = 0) -> DataFrame:
-    """Write one record per page of (page_id, url, html) to ``archives`` files in ``folder``.
-    Returns (archive, records), one row per file. Null payloads are empty; pages without an id are left out."""
-    small_batches(pages.sparkSession, 64)
-    ready = deduplicated(pages.select("page_id", "url", "html").where("page_id IS NOT NULL"), archives, least)
-    return cut(ready.select("page_id", "url", "html", "record_type", "refers_to", "payload_hex").mapInPandas(_write(folder, chunk), "archive string, records long"))
+    A digest's largest id is an aggregate, so no group of equal payloads ever meets in one task;
+    the join back is one that Spark can split.
+    """
+    large = ids.where(F.col("payload_bytes") >= least)
+    firsts = large.groupBy("payload_hex").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return large.join(firsts, "payload_hex").where("refers_to <> page_id").select("page_id", "payload_hex", "refers_to").dropDuplicates(["page_id", "payload_hex"])
+
+
+def write_archives(pages: DataFrame, folder: str, archives: int, chunk: int = 1 << 18, least: int = 0, archive_bytes: int = 1 << 28) -> DataFrame:
+    """Write one record per page of (page_id, url, html) to files in ``folder``: at least ``archives``, and as many
+    more as payloads of ``archive_bytes`` each need. Returns (archive, records), one row per file.
+    Null payloads are empty; pages without an id are left out; repeated rows are records of their own.
+    Whatever an address holds is kept on its line (``safe_uri``)."""
+    spark = pages.sparkSession
+    small_batches(spark, 64)
+    pages = pages.where("page_id IS NOT NULL").select("page_id", "url", "html")
+    payload = F.coalesce("html", F.lit(""))
+    ids = cut(pages.select("page_id", F.sha1(payload.cast("binary")).alias("payload_hex"), F.octet_length(payload).cast("long").alias("payload_bytes")))
+    total = ids.agg(F.sum("payload_bytes")).first()[0] or 0
+    parts = max(1, archives, -(-total // archive_bytes))
+    # The chunks are dealt out once; the join asks for no other dealing, and keeps a record's chunks in one task.
+    dealt = chunked(pages, chunk).repartition(parts, "page_id", "payload_hex")
+    ready = dealt.join(revisits(ids, least), ["page_id", "payload_hex"], "left").sortWithinPartitions("page_id", "payload_hex", "record", "chunk")
+    return cut(ready.select("page_id", "url", "payload_hex", "payload_bytes", "chunk", "last", "refers_to", "bytes").mapInPandas(_write(folder), "archive string, records long"))
 
 
 def inflated(source: IO[bytes], block: int) -> Iterator[bytes]:
@@ -212,7 +255,20 @@ def op7_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid4().hex}"
     files, root = filesystem(folder)
     files.create_dir(root, recursive=True)
-    archives = write_archives(pages, folder, max(n_parts(spark), 8))
+    archives = write_archives(pages, folder, n_parts(spark))
     found = cut(records(read_archives(archives, with_bytes=False)))
     files.delete_dir(root)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The digest's bare base 32 from its 40 hex digits, five at a time.
+OP7_SQL = r"""
+WITH keyed AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages WHERE page_id IS NOT NULL),
+firsts AS (SELECT hex, max(page_id) AS response FROM keyed GROUP BY hex)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS BIGINT)) & 31 AS BIGINT) + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to
+FROM keyed JOIN firsts USING (hex)
+"""
