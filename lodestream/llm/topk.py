@@ -1,8 +1,10 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors are range-partitioned by length, longest first, and packed into blocks. Each query first
-meets the longest blocks; its k-th score there bounds from below what a result can be. Every
-other block is then pruned by the local cosine threshold that this bound implies: skipped whole,
+meets the longest blocks; its k-th score there bounds from below what a result can be, and so, by its own
+length, how long a vector must be to matter. As parts fall in length, that is the last part it has to
+meet; queries are packed in the order of it, and a pack is joined with the parts up to its furthest one only.
+Within a block the local cosine threshold that the bound implies prunes on: the block is skipped whole,
 cut by coordinates where the threshold is high, cut by length where it is not. What is left is
 verified by exact products.
 """
@@ -20,7 +22,8 @@ from pyspark.sql import Window as W
 
 from .common import cut, read
 
-BLOCK_SCHEMA = "part int, ids binary, vecs binary, dim int"
+BLOCK_SCHEMA = "part int, ids binary, vecs binary, dim int, top double"
+PACK_SCHEMA = "q_ids binary, q_vecs binary, q_bounds binary, q_dim int, q_reach int"
 HIT_SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -42,7 +45,9 @@ def _pack(rows: int):
         held: dict[int, list] = {}
 
         def block(dim: int, own: list) -> dict:
-            return {"part": part, "ids": np.array([i for i, _ in own], np.int64).tobytes(), "vecs": np.array([v for _, v in own], np.int64).reshape(len(own), dim).tobytes(), "dim": dim}
+            vecs = np.array([v for _, v in own], np.int64).reshape(len(own), dim)
+            top = float(np.sqrt((vecs.astype(np.float64) ** 2).sum(1).max()))
+            return {"part": part, "ids": np.array([i for i, _ in own], np.int64).tobytes(), "vecs": vecs.tobytes(), "dim": dim, "top": top}
 
         for frame in frames:
             out = []
@@ -51,8 +56,8 @@ def _pack(rows: int):
                 own.append((i, v))
                 if len(own) == rows:
                     out.append(block(len(v), held.pop(len(v))))
-            yield pd.DataFrame(out, columns=["part", "ids", "vecs", "dim"])
-        yield pd.DataFrame([block(d, own) for d, own in held.items()], columns=["part", "ids", "vecs", "dim"])
+            yield pd.DataFrame(out, columns=["part", "ids", "vecs", "dim", "top"])
+        yield pd.DataFrame([block(d, own) for d, own in held.items()], columns=["part", "ids", "vecs", "dim", "top"])
 
     return pack
 
@@ -135,7 +140,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = 4096,
     Repeated ids are repeated candidates.
 
     Blocks of vectors meet blocks of the stated queries, each pair in one row of an equi-join on
-    the block's number, so no task holds more than one of each.
+    the block's number, so no task holds more than one of each; pairs in which no product can reach a
+    query's bound are not made.
     """
     spark = vectors.sparkSession
     vectors, queries = vectors.where("vec_id IS NOT NULL"), queries.where("vec_id IS NOT NULL")
@@ -149,24 +155,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = 4096,
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     first = int((last + 1) ** 0.5)  # the longest parts, which give the bounds
 
-    def asked(with_bounds: DataFrame) -> DataFrame:
+    def meet(with_bounds: DataFrame, reach: Column, low: int) -> DataFrame:
         packs = max(1, -(-n_queries // query_rows))
-        return with_bounds.repartition(packs, "vec_id").mapInPandas(_pack_queries(query_rows), "q_ids binary, q_vecs binary, q_bounds binary, q_dim int")
+        dealt = with_bounds.withColumn("reach", reach.cast("int")).where(F.col("reach") >= low)
+        asked = dealt.repartitionByRange(packs, F.col("reach").desc(), "vec_id").sortWithinPartitions(F.col("reach").desc()).mapInPandas(_pack_queries(query_rows), PACK_SCHEMA)
+        sides = asked.withColumn("part", F.explode(F.sequence(F.lit(low), F.col("q_reach"))))
+        return sides.join(blocks.where(F.col("part") >= low), "part").select("ids", "vecs", "dim", "q_ids", "q_vecs", "q_bounds", "q_dim").mapInPandas(_search(k), HIT_SCHEMA)
 
-    def meet(with_bounds: DataFrame, low: int, high: int) -> DataFrame:
-        sides = asked(with_bounds).withColumn("part", F.explode(F.sequence(F.lit(low), F.lit(high))))
-        return sides.join(blocks.where(F.col("part").between(low, high)), "part").select("ids", "vecs", "dim", "q_ids", "q_vecs", "q_bounds", "q_dim").mapInPandas(_search(k), HIT_SCHEMA)
-
-    start = meet(queries.withColumn("bound", F.lit(float("-inf"))), 0, first - 1)
+    start = meet(queries.withColumn("bound", F.lit(float("-inf"))), F.lit(first - 1), 0)
     if first > last:
         return _top(start, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
     start = cut(_top(start, k))
     bounds = start.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bound")).dropDuplicates(["vec_id"])
     bounded = queries.join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-    rest = meet(bounded, first, last)
+    rest = meet(bounded, reach_of(blocks, last, F.sqrt(length)), first)
     return _top(start.select("query_id", "vec_id", "score").unionByName(rest), k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
+def reach_of(blocks: DataFrame, last: int, length: Column, steps: int = 1024) -> Column:
+    """The last part that a query of ``length`` and ``bound`` has to meet, -1 for none. Parts fall in
+    length; at most ``steps`` runs of them are told apart, by a list of their largest lengths."""
+    width = -(-(last + 1) // steps)
+    runs = blocks.groupBy(F.floor(F.col("part") / width).alias("run")).agg(F.max("top").alias("top")).orderBy("run").collect()  # at most `steps` rows
+    tops = F.split(F.lit(",".join(repr(r["top"] * (1 + 1e-9) + 1e-6) for r in runs)), ",").cast("array<double>")
+    met = F.size(F.filter(tops, lambda t: t * length * (1 + 1e-9) + 1e-6 >= F.col("bound")))
+    return F.when(F.col("bound") > 0, F.least(met * width - 1, F.lit(last))).otherwise(F.lit(last))
+
+
 def _pack_queries(rows: int):
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -175,8 +190,8 @@ def _pack_queries(rows: int):
                 for i in range(0, len(own), rows):
                     x = own.iloc[i : i + rows]
                     vecs = np.array(x["vec"].tolist(), np.int64).reshape(len(x), int(dim))
-                    out.append({"q_ids": x["vec_id"].to_numpy(np.int64).tobytes(), "q_vecs": vecs.tobytes(), "q_bounds": x["bound"].to_numpy(np.float64).tobytes(), "q_dim": int(dim)})
-            yield pd.DataFrame(out, columns=["q_ids", "q_vecs", "q_bounds", "q_dim"])
+                    out.append({"q_ids": x["vec_id"].to_numpy(np.int64).tobytes(), "q_vecs": vecs.tobytes(), "q_bounds": x["bound"].to_numpy(np.float64).tobytes(), "q_dim": int(dim), "q_reach": int(x["reach"].max())})
+            yield pd.DataFrame(out, columns=["q_ids", "q_vecs", "q_bounds", "q_dim", "q_reach"])
 
     return pack
 
