@@ -4,8 +4,10 @@ texts, ties, repeated rows, and columns named like an operator's own."""
 import base64
 import gzip
 import hashlib
+import io
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -431,25 +433,39 @@ def test_peeling_recovers_differences_or_says_it_is_stuck(spark):
     df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.xxhash64(i)).alias("a"), F.transform(F.sequence(F.lit(21), F.lit(90)), lambda i: F.xxhash64(i)).alias("b"))
     for s, stuck in ((64, False), (4, True)):
         size = F.lit(s).cast("long")
-        d = iblt.fold(F.concat(iblt.sketch(F.col("a"), size), iblt.negated(iblt.sketch(F.col("b"), size))))
+        d = iblt.fold(F.concat(iblt.smaller(iblt.sketch(F.col("a"), size * 4), size * 4, size), iblt.smaller(iblt.sketch(F.col("b"), size), size, size, -1)))
         got = df.select(iblt.peeled(d, size).alias("p")).first()["p"]
         assert (got["left"] > 0) == stuck and (stuck or (got["plus"], got["minus"]) == (20, 30))
 
 
+def test_a_text_of_very_many_paragraphs_takes_seconds(spark):
+    lines = [prose(3, i) for i in range(500)]
+    long = "\n".join(f"{lines[i % 500]} {i // 3}" for i in range(100_000))
+    rows = [(1, long), (2, long + "\nmore\nmore"), (3, "\n".join(["same"] * 50_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = time.time()
+    out = {r["doc_id"]: r for r in iblt.fingerprints(docs).collect()}
+    assert time.time() - before < 60
+    for i, after in ((1, 3), (2, 1), (3, 2)):
+        own, nxt = dict(rows)[i], dict(rows)[after]
+        assert out[i]["near_next"] == pytest.approx(paragraph_likeness(own, nxt))
+    assert out[2]["next_tries"] == 1 and out[1]["next_tries"] > 1
+
+
 # 7 WARC
 
 
 def test_archives_round_trip(spark, tmp_path):
     big = "<p>" + "日本" * 200_000
-    rows = [(1, "http://a/b c", "x"), (2, None, None), (3, "", ""), (4, "http://h/\r\nX: y", big), (5, "http://é/", "x"), (6, "u", "a\r\n\r\nWARC/1.1\r\n"), (7, "http://z", big), (None, "http://n", "gone")]
+    rows = [(1, "http://a/b c", "x"), (2, None, None), (3, "", ""), (4, "http://h/\r\nX: y", big), (5, "http://é/", "x"), (6, "u", "a\r\n\r\nWARC/1.1\r\n"), (7, "http://z", big), (None, "http://n", "gone"), (8, "http://[bad", "p"), (9, "http://[::1]:x:y/%zz|^`{}", "q"), (10, "://", "r"), (11, "a\udc80b".encode("utf-8", "ignore").decode() + "://\x00\x7f", "s")]
     pages = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, payload_hex string")
     archives = warc.write_archives(pages, str(tmp_path), 3, chunk=1000)
     chunks = warc.read_archives(archives, chunk=4096)
     assert max(len(r["chunk_bytes"]) for r in chunks.collect()) <= 4096
     out = {r["page_id"]: r for r in warc.records(chunks).collect()}
-    assert sorted(out) == [1, 2, 3, 4, 5, 6, 7]
+    assert sorted(out) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]
     last = {"x": 5, "": 3, big: 7}
-    for i, _, html in rows[:-1]:
+    for i, _, html in [r for r in rows if r[0] is not None]:
         raw = (html or "").encode()
         to = last.get(html or "", i)
         assert (out[i]["payload_bytes"], out[i]["payload_digest"]) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
@@ -461,6 +477,29 @@ def test_archives_round_trip(spark, tmp_path):
     for f in tmp_path.glob("*.warc.gz"):
         assert gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\n") or not f.stat().st_size
     assert not list(tmp_path.glob(".part*"))
+    heads = b"".join(gzip.decompress(f.read_bytes()) for f in tmp_path.glob("*.warc.gz"))
+    for line in ("http://a/b%20c", "http://[bad", "http://[::1]:x:y/%zz|^`{}", "http://h/%0D%0AX:%20y", "http://%C3%A9/", "urn:page:2", "urn:page:6", "://", "ab://%00%7F"):
+        assert f"WARC-Target-URI: {line}\r\n".encode() in heads
+
+
+def test_payloads_larger_than_a_batch_and_repeated_rows(spark, tmp_path):
+    huge = "".join(random.Random(1).choices("abcdefgh <>/", k=3_000_000))
+    rows = [(1, "http://a", huge), (2, "http://b", huge + "."), (3, "http://c", "x"), (3, "http://c", "x"), (4, "http://d", "y"), (4, "http://d", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert pages.transform(lambda p: warc.chunked(p, 10_000)).agg(F.max(F.length("bytes"))).first()[0] == 10_000
+    archives = warc.write_archives(pages, str(tmp_path), 1, chunk=10_000, archive_bytes=1_000_000)
+    assert archives.count() == 7 and archives.agg(F.sum("records")).first()[0] == 6
+    out = warc.records(warc.read_archives(archives, chunk=5000)).collect()
+    expected = sorted((i, len(t), base64.b32encode(hashlib.sha1(t.encode()).digest()).decode(), "response") for i, _, t in rows)
+    assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in out) == expected
+
+
+def test_chunks_that_are_not_the_declared_payload_are_an_error():
+    out = warc.RecordWriter(io.BytesIO())
+    out.begin([], 2, hashlib.sha1(b"ab").hexdigest())
+    out.add(b"ax")
+    with pytest.raises(ValueError, match="declares"):
+        out.end()
 
 
 def test_short_payloads_need_not_be_revisits(spark, tmp_path):
@@ -555,6 +594,23 @@ def test_top_k_equals_brute_force(spark, rows):
     assert {tuple(r) for r in found.collect()} == nearest(vectors)
 
 
+def test_queries_meet_no_part_that_is_too_short_for_them(spark):
+    blocks = spark.createDataFrame([(p, 100.0 / (p + 1)) for p in range(10)], "part int, top double")
+    asked = [(0, 10.0, float("-inf")), (1, 10.0, -5.0), (2, 10.0, 0.0), (3, 10.0, 1000.0), (4, 10.0, 501.0), (5, 10.0, 100.0), (6, 10.0, 1e9), (7, 0.0, 0.0)]
+    df = spark.createDataFrame(asked, "id int, length double, bound double")
+    for steps, expected in ((1024, [9, 9, 9, 0, 0, 9, -1, 9]), (4, [9, 9, 9, 2, 2, 9, -1, 9])):
+        assert [r[0] for r in df.orderBy("id").select(topk.reach_of(blocks, 9, F.col("length"), steps)).collect()] == expected
+
+
+def test_one_hot_vector_and_a_hot_query(spark):
+    draw = random.Random(3)
+    hot = [40, -30, 20, 10]
+    vectors = [(i, hot if i % 3 == 0 else [draw.randint(-90, 90) for _ in range(4)]) for i in range(900)]
+    df = spark.createDataFrame(vectors, "vec_id long, vec array<long>").repartition(7)
+    found = topk.top_k(df, df.where("vec_id % 50 = 0"), rows=16, query_rows=4)
+    assert {tuple(r) for r in found.collect()} == nearest(vectors)
+
+
 def test_top_k_of_nothing_and_of_unusable_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, None]), (50, None), (100, [float("nan"), 1.0]), (150, [float("inf"), 1.0]), (200, [0.5, -0.001])], "vec_id long, embedding array<double>")
     kept = df.where(topk.usable(F.col("embedding"))).select("vec_id", topk.quantised(F.col("embedding")).alias("vec"))
