@@ -67,7 +67,8 @@ def numbered(rows: DataFrame, column: str) -> DataFrame:
     """(column, number): distinct values numbered from 0 in their order, gapless. Sorted ranges are
     numbered by themselves and shifted by the sizes of those before."""
     distinct = rows.select(column).where(F.col(column).isNotNull()).distinct()
-    placed = distinct.repartitionByRange(F.col(column)).sortWithinPartitions(column).withColumn("part", F.spark_partition_id())
+    # Written, as both branches below must see the same ranges.
+    placed = cut(distinct.repartitionByRange(F.col(column)).sortWithinPartitions(column).withColumn("part", F.spark_partition_id()))
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("first"))
     before = W.orderBy("first").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 REVIEWS = "user_id string, business_id string"
 RATINGS = "user_id string, business_id string, stars double"
 BUSINESSES = "business_id string, review_count long, stars double, attributes map<string,string>, categories string"
@@ -59,7 +61,8 @@ def numbered_rows(rows: DataFrame, by: str) -> DataFrame:
     the sizes of those before, a table of one row per range."""
     from pyspark.sql import Window as W
 
-    placed = rows.repartitionByRange(F.col(by)).sortWithinPartitions(by).withColumn("__part", F.spark_partition_id())
+    # Written, as both branches below must see the same ranges.
+    placed = cut(rows.repartitionByRange(F.col(by)).sortWithinPartitions(by).withColumn("__part", F.spark_partition_id()))
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min(by).alias("__first"))
     sizes = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(W.orderBy("__first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     nth = F.row_number().over(W.partitionBy("__part").orderBy(by))
