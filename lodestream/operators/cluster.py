@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.lineage import cut
+from .graph import connected_components, mirrored
 
 
 def summaries(points: DataFrame) -> DataFrame:
@@ -47,18 +48,38 @@ def mahalanobis(features: Column, n: Column, total: Column, squares: Column) ->
     return F.sqrt(F.aggregate(F.transform(parts, one), F.lit(0.0), lambda a, x: a + x))
 
 
-def nearest_within(points: DataFrame, clusters: DataFrame, reach: float | None = None) -> DataFrame:
+def nearest_within(points: DataFrame, clusters: DataFrame, reach: float | None = None, most: int = 10_000) -> DataFrame:
     """(id, cluster, distance) of each point's nearest summary at a distance below ``reach`` (default
     twice the root of the dimension), the smaller cluster of equals; points beyond have no row. The
-    clusters, as many as were asked for, meet every point in one join without a key."""
-    # The number of clusters is a parameter of the clustering, not of the data: a bounded broadcast.
-    met = points.join(F.broadcast(clusters))
+    clusters meet all points in blocks of at most about ``most``, each a bounded broadcast; how many there are is counted."""
     limit = F.lit(reach) if reach is not None else 2 * F.sqrt(F.size("features"))
-    scored = met.select("id", "cluster", limit.alias("limit"), mahalanobis(F.col("features"), F.col("n"), F.col("total"), F.col("squares")).alias("distance"))
+    blocks = max(1, -(-clusters.count() // most))
+    scored = None
+    for b in range(blocks):
+        own = clusters.where(F.pmod(F.xxhash64("cluster"), F.lit(blocks)) == b)
+        met = points.join(F.broadcast(own)).select("id", "cluster", limit.alias("limit"), mahalanobis(F.col("features"), F.col("n"), F.col("total"), F.col("squares")).alias("distance"))
+        scored = met if scored is None else scored.unionByName(met)
     near = scored.where("distance < limit").groupBy("id").agg(F.min(F.struct("distance", "cluster")).alias("best"))
     return near.select("id", "best.cluster", "best.distance")
 
 
+def merged_near(clusters: DataFrame, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(summaries, names (cluster, into)) with clusters made one whose centres are within reach of each other: an
+    end of the link is nearest to the other's centre, and what links connect is one, by its smallest number."""
+    centres = clusters.select(F.col("cluster").alias("id"), F.transform("total", lambda x: x / F.col("n")).alias("features"))
+    links = None
+    for b in range(blocks := max(1, -(-clusters.count() // most))):
+        own = clusters.where(F.pmod(F.xxhash64("cluster"), F.lit(blocks)) == b)
+        met = centres.join(F.broadcast(own), F.col("id") != F.col("cluster"))
+        met = met.select("id", "cluster", (2 * F.sqrt(F.size("features"))).alias("limit"), mahalanobis(F.col("features"), F.col("n"), F.col("total"), F.col("squares")).alias("distance"))
+        links = met if links is None else links.unionByName(met)
+    near = links.where("distance < limit").groupBy("id").agg(F.min_by("cluster", F.struct("distance", "cluster")).alias("other"))
+    edges = mirrored(near.select(F.col("id").alias("src"), F.col("other").alias("dst")))
+    names = cut(connected_components(edges, clusters.select(F.col("cluster").alias("id"))).toDF("cluster", "into"))
+    renamed = clusters.join(names, "cluster").select(F.col("into").alias("cluster"), "n", "total", "squares")
+    return cut(merged(renamed)), names
+
+
 def k_means(points: DataFrame, k: int, seed: int = 1, steps: int = 20) -> DataFrame:
     """(id, features, cluster) by k-means; with no more distinct points than clusters each is its own."""
     distinct = points.select("features").distinct()
@@ -78,11 +99,13 @@ def _split(clustered: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class BFR:
-    """The state of a clustering: summaries of both sets, where their points went, and the retained."""
+    """The state of a clustering: summaries of both sets, where their points went, and the retained. With ``merge``
+    compression clusters near each other become one after each round, and at the end those near one asked for part of it."""
 
-    def __init__(self, k: int, seed: int = 1) -> None:
-        self.k, self.seed = k, seed
+    def __init__(self, k: int, seed: int = 1, merge: bool = False) -> None:
+        self.k, self.seed, self.merge = k, seed, merge
         self.discard = self.compressed = self.assigned = self.small = self.retained = None
+        self.numbers = 0
 
     def start(self, points: DataFrame) -> None:
         """The first round: five times as many clusters as asked for set single points aside; the others
@@ -93,17 +116,36 @@ class BFR:
         self.discard = cut(summaries(firm))
         self._recluster(alone.drop("cluster"))
 
+    def _join_compressed(self, points: DataFrame) -> DataFrame:
+        """Put points near a compression cluster into it; the others are returned."""
+        if self.compressed is None or self.compressed.isEmpty():
+            return points
+        close = cut(nearest_within(points, self.compressed))
+        self.small = cut(self.small.unionByName(close.select("id", "cluster")))
+        self.compressed = cut(merged(self.compressed, summaries(points.join(close.select("id", "cluster"), "id"))))
+        return points.join(close, "id", "left_anti")
+
     def _recluster(self, points: DataFrame) -> None:
-        """Cluster loose points; groups of two or more become compression clusters, the rest is retained.
-        There are half as many clusters as points."""
+        """Cluster loose points, half as many clusters as points. Those of groups of two or more go to a compression
+        cluster near them, where there is one; what is left of a group becomes a new one, single points are retained."""
         n = points.count()
-        grouped, alone = _split(k_means(points, 1 + n // 2, self.seed)) if n else (points.withColumn("cluster", F.lit(0)), points.withColumn("cluster", F.lit(0)))
-        first = (self.compressed.agg(F.max("cluster")).first()[0] if self.compressed is not None else None) or 0
-        grouped = grouped.withColumn("cluster", F.col("cluster") + F.lit(first + 1))
-        self.compressed = cut(summaries(grouped) if self.compressed is None else self.compressed.unionByName(summaries(grouped)))
+        none = points.withColumn("cluster", F.lit(0)).where(F.lit(False))
+        grouped, alone = _split(k_means(points, 1 + n // 2, self.seed)) if n else (none, none)
+        known = self.compressed
+        if known is not None and not known.isEmpty():
+            left = self._join_compressed(grouped.withColumnRenamed("cluster", "group"))
+            grouped, more = _split(left.withColumnRenamed("group", "cluster"))
+            alone = alone.unionByName(more)
+        grouped = cut(grouped.withColumn("cluster", F.col("cluster") + F.lit(self.numbers)))
+        self.numbers += 1 + n // 2 + 1
+        fresh = summaries(grouped)
+        self.compressed = cut(fresh if known is None else self.compressed.unionByName(fresh))
         small = grouped.select("id", "cluster")
         self.small = cut(small if self.small is None else self.small.unionByName(small))
         self.retained = cut(alone.drop("cluster"))
+        if self.merge and not self.compressed.isEmpty():
+            self.compressed, names = merged_near(self.compressed)
+            self.small = cut(self.small.join(names, "cluster").select("id", F.col("into").alias("cluster")))
 
     def step(self, points: DataFrame) -> None:
         """A further round: to the discard set, else the compression set, else among the retained points,
@@ -112,13 +154,20 @@ class BFR:
         rest = points.join(near, "id", "left_anti")
         self.assigned = cut(self.assigned.unionByName(near.select("id", "cluster")))
         self.discard = cut(merged(self.discard, summaries(points.join(near.select("id", "cluster"), "id"))))
-        loose = rest
-        if not self.compressed.isEmpty():
-            close = cut(nearest_within(rest, self.compressed))
-            loose = rest.join(close, "id", "left_anti")
-            self.small = cut(self.small.unionByName(close.select("id", "cluster")))
-            self.compressed = cut(merged(self.compressed, summaries(rest.join(close.select("id", "cluster"), "id"))))
-        self._recluster(loose.unionByName(self.retained))
+        self._recluster(self._join_compressed(rest).unionByName(self.retained))
+
+    def finish(self) -> None:
+        """With ``merge``: compression clusters whose centres are near a cluster asked for become part of it."""
+        if not self.merge or self.compressed.isEmpty():
+            return
+        centres = self.compressed.select(F.col("cluster").alias("id"), F.transform("total", lambda x: x / F.col("n")).alias("features"))
+        into = cut(nearest_within(centres, self.discard).select(F.col("id").alias("from"), F.col("cluster").alias("into")))
+        gone = self.small.join(into, F.col("cluster") == F.col("from"))
+        self.assigned = cut(self.assigned.unionByName(gone.select("id", F.col("into").alias("cluster"))))
+        moved = self.compressed.join(into, F.col("cluster") == F.col("from")).select(F.col("into").alias("cluster"), "n", "total", "squares")
+        self.discard = cut(merged(self.discard, moved))
+        self.small = cut(self.small.join(into, F.col("cluster") == F.col("from"), "left_anti"))
+        self.compressed = cut(self.compressed.join(into, F.col("cluster") == F.col("from"), "left_anti"))
 
     def counts(self) -> tuple[int, int, int, int]:
         """Points in the discard set, clusters and points in the compression set, retained points."""
@@ -130,14 +179,16 @@ class BFR:
         return self.assigned.select("id", "cluster").unionByName(outside.select("id", F.lit(-1).alias("cluster")))
 
 
-def bfr(points: DataFrame, k: int, rounds: int = 5, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def bfr(points: DataFrame, k: int, rounds: int = 5, seed: int = 1, merge: bool = False) -> tuple[DataFrame, DataFrame]:
     """(labels (id, cluster), rounds (round, ds_points, cs_clusters, cs_points, rs_points)) of points (id,
-    features) dealt into ``rounds`` by a hash of their ids. Points without features are left out."""
+    features) dealt into ``rounds`` by a hash of their ids. Points without features are left out. ``merge``: see BFR."""
     spark = points.sparkSession
     points = cut(points.where("id IS NOT NULL AND features IS NOT NULL").select("id", "features").withColumn("round", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(rounds))))
-    state, log = BFR(k, seed), []
+    state, log = BFR(k, seed, merge), []
     for i in range(rounds):
         own = points.where(F.col("round") == i).drop("round")
         state.start(own) if i == 0 else state.step(own)
+        if i == rounds - 1:
+            state.finish()
         log.append((i + 1, *state.counts()))
     return state.labels(), spark.createDataFrame(log, "round int, ds_points long, cs_clusters long, cs_points long, rs_points long")

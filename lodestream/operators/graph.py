@@ -6,9 +6,13 @@ loops on the driver look at counts and single numbers only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.lineage import cut
 
@@ -27,14 +31,6 @@ def co_counts(rows: DataFrame, actor: str, item: str, dedupe: bool = True) -> Da
     return met.groupBy("src", "dst").agg(F.sum(pairs).cast("long").alias("weight")).where("weight > 0")
 
 
-def threshold_for(weights: DataFrame, most_edges: int) -> int:
-    """The smallest weight that at most so many edges reach. One row per distinct weight is looked at."""
-    by_weight = weights.groupBy("weight").agg(F.count(F.lit(1)).alias("n"))
-    reach = by_weight.withColumn("reach", F.sum("n").over(W.orderBy(F.col("weight").desc())))
-    least = reach.where(F.col("reach") <= most_edges).agg(F.min("weight")).first()[0]
-    return int(least if least is not None else (weights.agg(F.max("weight")).first()[0] or 0) + 1)
-
-
 def co_graph(rows: DataFrame, actor: str, item: str, least: int, dedupe: bool = True) -> DataFrame:
     """(src, dst) both ways, for actors that share at least ``least`` items."""
     return mirrored(co_counts(rows, actor, item, dedupe).where(F.col("weight") >= least).select("src", "dst"))
@@ -94,15 +90,28 @@ def shortest_paths(edges: DataFrame) -> DataFrame:
 
 def edge_betweenness(edges: DataFrame) -> DataFrame:
     """(src, dst, betweenness) with src < dst: over all pairs of vertices, the share of their shortest
-    paths that use the edge. An edge (u, v) is on those from s to t if d(s,u) + 1 + d(v,t) = d(s,t),
-    on sigma(s,u) * sigma(v,t) of them; each unordered pair uses it in one of its directions."""
+    paths that use the edge.
+
+    Shares flow back from the farthest vertices of each source, a level a round: a vertex passes its own
+    path and what reached it to those before it in proportion to their paths. So a round joins
+    the vertices of a level with their edges, and no pair of vertices with another."""
+    edges = cut(edges.select("src", "dst"))
     paths = shortest_paths(edges)
-    left = paths.select("s", F.col("t").alias("u"), F.col("d").alias("d_u"), F.col("sigma").alias("n_u"))
-    right = paths.select(F.col("s").alias("v"), "t", F.col("d").alias("d_v"), F.col("sigma").alias("n_v"))
-    one = edges.where("src < dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    used = one.join(left, "u").join(right, "v").join(paths, ["s", "t"]).where(F.col("d_u") + 1 + F.col("d_v") == F.col("d"))
-    share = F.col("n_u") * F.col("n_v") / F.col("sigma")
-    return used.groupBy(F.col("u").alias("src"), F.col("v").alias("dst")).agg(F.sum(share).alias("betweenness"))
+    depth = paths.agg(F.max("d")).first()[0] or 0
+    used, share = None, None
+    for d in range(depth, 0, -1):
+        level = paths.where(F.col("d") == d).select("s", F.col("t").alias("v"), F.col("sigma").alias("n_v"))
+        level = level.withColumn("passed", F.lit(1.0)) if share is None else level.join(share, ["s", "v"], "left").withColumn("passed", 1.0 + F.coalesce("passed", F.lit(0.0)))
+        before = paths.where(F.col("d") == d - 1).select("s", F.col("t").alias("u"), F.col("sigma").alias("n_u"))
+        flow = level.join(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), "v").join(before, ["s", "u"])
+        flow = cut(flow.select("s", "u", "v", (F.col("passed") * F.col("n_u") / F.col("n_v")).alias("passed")))
+        on = flow.groupBy(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg(F.sum("passed").alias("passed"))
+        used = on if used is None else used.unionByName(on)
+        share = flow.groupBy("s", F.col("u").alias("v")).agg(F.sum("passed").alias("passed"))
+    if used is None:
+        return edges.select("src", "dst", F.lit(0.0).alias("betweenness")).where(F.lit(False))
+    # Each pair counts from both of its ends.
+    return used.groupBy("src", "dst").agg((F.sum("passed") / 2).alias("betweenness"))
 
 
 def modularity(original: DataFrame, components: DataFrame, m: int) -> float:
@@ -124,17 +133,126 @@ def without_top_edges(edges: DataFrame, betweenness: DataFrame, digits: int = 9)
     return edges.join(gone, ["src", "dst"], "left_anti")
 
 
-def girvan_newman(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
+def dense_betweenness(a: np.ndarray) -> np.ndarray:
+    """The same of each edge of a connected graph given by its symmetric 0/1 matrix: levels of all
+    sources at once, forth and back, as matrix products."""
+    front, seen, levels = np.eye(len(a)), np.eye(len(a), dtype=bool), []
+    while front.any():
+        levels.append(front)
+        front = np.where(seen, 0.0, front @ a)
+        seen |= front > 0
+    used, passed = np.zeros_like(a), np.zeros_like(a)
+    for d in range(len(levels) - 1, 0, -1):
+        own = np.divide(1.0 + passed, levels[d], out=np.zeros_like(a), where=levels[d] > 0)
+        used += levels[d - 1].T @ own
+        passed = levels[d - 1] * (own @ a)
+    return a * (used + used.T) / 2
+
+
+def _parts(a: np.ndarray) -> list[np.ndarray]:
+    """The vertices of each connected part of a graph."""
+    label, out = np.full(len(a), -1), []
+    for v in range(len(a)):
+        if label[v] < 0:
+            front = np.zeros(len(a), bool)
+            front[v] = True
+            while True:
+                more = front | (a[front] > 0).any(0)
+                if (more == front).all():
+                    break
+                front = more
+            label[front] = len(out)
+            out.append(np.flatnonzero(front))
+    return out
+
+
+def split_by_betweenness(ends: list[tuple], most_rounds: int | None = None, digits: int = 9, mutated: bool = False) -> dict:
+    """``girvan_newman`` of a graph in memory: vertex -> component. Only parts that lose an edge are looked at again."""
+    names = sorted({v for e in ends for v in e})
+    place = {v: i for i, v in enumerate(names)}
+    near: list[set[int]] = [set() for _ in names]
+    for u, v in ends:
+        near[place[u]].add(place[v])
+        near[place[v]].add(place[u])
+    degree, m = np.array([len(x) for x in near], float), sum(map(len, near)) / 2
+
+    def part_of(vertices: np.ndarray) -> list[tuple]:
+        """(vertices, matrix, betweenness) of each connected part of the graph's ``vertices``."""
+        at = {int(v): i for i, v in enumerate(vertices)}
+        a = np.zeros((len(vertices), len(vertices)))
+        for v, i in at.items():
+            for w in near[v]:
+                a[i, at[w]] = 1.0
+        found = []
+        for own in _parts(a):
+            inner = a[np.ix_(own, own)]
+            found.append((vertices[own], inner, np.round(dense_betweenness(inner), digits) if len(own) > 1 else inner))
+        return found
+
+    whole = [set(x) for x in near]
+
+    def gain(vertices: np.ndarray) -> float:
+        own = set(vertices.tolist())
+        edges, k = (near, np.array([len(near[v]) for v in vertices], float)) if mutated else (whole, degree[vertices])
+        inside = sum(len(edges[v] & own) for v in own) / 2
+        return (inside - (k.sum() ** 2 - (k**2).sum()) / 2 / (2 * m)) / (2 * m)
+
+    # Connected parts first by search, so that no matrix is larger than a part.
+    left, parts = set(range(len(names))), []
+    while left:
+        front = own = {left.pop()}
+        while front:
+            front = {w for v in front for w in near[v]} - own
+            own = own | front
+        left -= own
+        parts += part_of(np.array(sorted(own)))
+    gains = [gain(p[0]) for p in parts]
+    best, best_q, rounds = [p[0] for p in parts], sum(gains), 0
+    while (most_rounds is None or rounds < most_rounds) and any(p[1].any() for p in parts):
+        rounds += 1
+        top = max(p[2].max() for p in parts)
+        after, after_gains = [], []
+        for (vertices, a, score), q in zip(parts, gains, strict=True):
+            if not a.any() or score.max() < top:
+                after.append((vertices, a, score))
+                after_gains.append(q)
+                continue
+            for i, j in zip(*np.nonzero((score == top) & (a > 0)), strict=True):
+                near[vertices[i]].discard(int(vertices[j]))
+            for p in part_of(vertices):
+                after.append(p)
+                after_gains.append(gain(p[0]))
+        parts, gains = after, after_gains
+        if sum(gains) > best_q + 1e-12:
+            best, best_q = [p[0] for p in parts], sum(gains)
+    return {names[v]: names[own.min()] for own in best for v in own.tolist()}
+
+
+def girvan_newman(edges: DataFrame, most_rounds: int | None = None, local_vertices: int = 2_000, mutated: bool = False) -> DataFrame:
     """(id, component) of the best partition by modularity among those met while all edges of the
     largest betweenness are removed again and again; the earliest of equals. The whole graph counts
-    as a partition too. ``most_rounds`` ends the search early; None goes on until no edge is left."""
+    as a partition too. ``most_rounds`` ends the search early; None goes on until no edge is left.
+
+    There are about as many rounds as edges. A graph of at most ``local_vertices`` vertices, which is checked, is
+    taken apart in one task; a larger one by joins, with the same result. ``mutated`` takes edges and degrees for
+    the modularity from the graph as it is in each round instead of the original one.
+    """
     original = cut(mirrored(edges))
     vertices = original.select(F.col("src").alias("id")).distinct()
     m = original.count() // 2
+    kind = original.schema["src"].dataType
+    if m and vertices.count() <= local_vertices:
+
+        def take_apart(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ends = [e for frame in frames for e in zip(frame["src"], frame["dst"], strict=True)]
+            yield pd.DataFrame(list(split_by_betweenness(ends, most_rounds, mutated=mutated).items()), columns=["id", "component"])
+
+        schema = StructType([StructField("id", kind), StructField("component", kind)])
+        return original.where("src < dst").coalesce(1).mapInPandas(take_apart, schema)
     graph, best, best_q, rounds = original, None, None, 0
     while True:
         parts = connected_components(graph, vertices)
-        q = modularity(original, parts, m)
+        q = modularity(graph if mutated else original, parts, m)
         if best_q is None or q > best_q + 1e-12:
             best, best_q = parts, q
         if graph.isEmpty() or (most_rounds is not None and rounds >= most_rounds):

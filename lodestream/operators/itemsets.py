@@ -83,15 +83,34 @@ def local_itemsets(baskets: list[list[str]], support: float) -> Iterator[tuple[s
         level = sorted(s for s, n in counts.items() if n >= support)
 
 
-def son_candidates(baskets: DataFrame, share: float) -> DataFrame:
-    """(itemset): those in at least ``share`` of the baskets of some partition. Whatever is in that share
-    of all baskets is among them, however they are dealt."""
+def son_candidates(baskets: DataFrame, share: float, chunk: int = 20_000, least: int = 8) -> DataFrame:
+    """(itemset): those in at least ``share`` of the baskets of some chunk. Whatever is in that share
+    of all baskets is among them, however they are dealt.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = [list(items) for frame in frames for items in frame["items"] if items is not None]
-        yield pd.DataFrame({"itemset": pd.Series([list(s) for s in local_itemsets(own, share * len(own))], dtype=object)})
+    A task takes its baskets in chunks of ``chunk`` rows, or as many as it takes for the share to be ``least``
+    baskets: of less nearly every subset would be a candidate. For the same reason baskets are dealt anew
+    into so few tasks that the share of each is that many, where there are as many."""
+    chunk = max(chunk, int(-(-least // share)))
 
-    return baskets.select("items").mapInPandas(run, "itemset array<string>").distinct()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[list[str]] = []
+        for frame in frames:
+            held += [list(items) for items in frame["items"] if items is not None]
+            # A last chunk stays as large as a whole one, or is the only one.
+            while len(held) >= 2 * chunk:
+                yield _itemset_frame(local_itemsets(held[:chunk], share * chunk))
+                held = held[chunk:]
+        yield _itemset_frame(local_itemsets(held, share * len(held)))
+
+    parts = max(1, int(baskets.count() * share / (2 * least)))
+    dealt = baskets.select("items")
+    # By the whole basket and a draw, as equal baskets would otherwise be in one task.
+    dealt = dealt.repartition(min(parts, int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4), F.xxhash64("items", F.rand(1)))
+    return dealt.mapInPandas(run, "itemset array<string>").distinct()
+
+
+def _itemset_frame(itemsets: Iterator[tuple[str, ...]]) -> pd.DataFrame:
+    return pd.DataFrame({"itemset": pd.Series([list(s) for s in itemsets], dtype=object)})
 
 
 def son_itemsets(baskets: DataFrame, share: float) -> DataFrame:

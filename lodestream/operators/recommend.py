@@ -29,7 +29,7 @@ def item_pearson(ratings: DataFrame, pairs: DataFrame | None = None) -> DataFram
     )
 
 
-def predict_item_cf(train: DataFrame, test: DataFrame, cold_item: float = 3.84, power: float = 2.5, few: int = 10, most: float = 6.0, neighbours: int | None = None) -> DataFrame:
+def predict_item_cf(train: DataFrame, test: DataFrame, cold_item: float = 3.84, power: float = 2.5, few: int = 10, most: float = 6.0, neighbours: int | None = None, exclude_self: bool = False, clip: tuple[float, float] | None = None) -> DataFrame:
     """(user, item, prediction, n) for distinct pairs of ``test`` (user, item) from ``train`` (user, item,
     rating).
 
@@ -37,11 +37,13 @@ def predict_item_cf(train: DataFrame, test: DataFrame, cold_item: float = 3.84,
     ones count too, with the rating turned round (``most`` - r); else positive ones only. The weighted
     mean is averaged with the item's mean; without weights the item's mean stands. An item nobody
     rated gets ``cold_item``; for a user without ratings n is 0. The item itself, if rated, is
-    among its neighbours. ``neighbours`` keeps only so many of the largest correlation.
+    among its neighbours, unless ``exclude_self``. ``neighbours`` keeps only so many of the largest
+    correlation. ``clip`` (least, most) bounds predictions.
     """
     ratings = mean_ratings(train)
     asked = test.select("user", "item").distinct()
     near = asked.join(ratings.select("user", F.col("item").alias("other"), "rating"), "user")
+    near = near.where("item <> other") if exclude_self else near
     wanted = near.select(F.least("item", "other").alias("item_a"), F.greatest("item", "other").alias("item_b")).distinct()
     pearson = item_pearson(ratings, wanted).select("item_a", "item_b", "corr")
     near = near.withColumns({"item_a": F.least("item", "other"), "item_b": F.greatest("item", "other")})
@@ -63,7 +65,10 @@ def predict_item_cf(train: DataFrame, test: DataFrame, cold_item: float = 3.84,
     weight = F.col("up") + F.when(both, F.col("down")).otherwise(0.0)
     out = asked.join(item_means(ratings).select("item", "mean"), "item", "left").join(sums, ["user", "item"], "left")
     blended = F.when(weight > 0, (top / weight + F.col("mean")) / 2).otherwise(F.col("mean"))
-    return out.select("user", "item", F.when(F.col("mean").isNull(), F.lit(cold_item)).otherwise(blended).alias("prediction"), F.coalesce("n", F.lit(0)).alias("n"))
+    prediction = F.when(F.col("mean").isNull(), F.lit(cold_item)).otherwise(blended)
+    if clip is not None:
+        prediction = F.least(F.greatest(prediction, F.lit(float(clip[0]))), F.lit(float(clip[1])))
+    return out.select("user", "item", prediction.alias("prediction"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def hybrid(cf: DataFrame, model: DataFrame, over: int = 20, many: float = 0.2, few: float = 0.01) -> DataFrame:

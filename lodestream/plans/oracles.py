@@ -3,41 +3,38 @@
 from __future__ import annotations
 
 from ..operators.similarity import minhash_params
-from .registry import BLOOM, FM, MOST_EDGES, PAIR_SHARE, SET_SHARE, TICK
+from .registry import BLOOM, EDGE, FM, PAIR_SHARE, PATH_EDGE, SET_SHARE, TICK
 
 SALES = "sales AS (SELECT l_orderkey, l_partkey, l_quantity, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey)"
 PAIRS = "basket_items AS (SELECT DISTINCT l_orderkey AS b, p_brand AS i FROM sales), n_baskets AS (SELECT count(DISTINCT b) AS n FROM basket_items)"
 
 
-def itemsets(share: float, longest: int, shown: str = "length >= 1", source: str = f"{SALES}, {PAIRS}") -> str:
-    """Counts of itemsets by self-joins of baskets."""
-    levels = []
-    for k in range(1, longest + 1):
-        items = " || '|' || ".join(f"x{j}.i" for j in range(k))
-        joins = "".join(f" JOIN basket_items x{j} ON x{j}.b = x0.b AND x{j}.i > x{j - 1}.i" for j in range(1, k))
-        levels.append(f"SELECT {k} AS length, {items} AS itemset, count(*) AS support FROM basket_items x0{joins} GROUP BY 2 HAVING count(*) >= {share} * (SELECT n FROM n_baskets)")
-    return f"WITH {source} SELECT length::INTEGER AS length, itemset, support FROM ({' UNION ALL '.join(levels)}) WHERE {shown}"
+def itemsets(share: float, shown: str = "length >= 1", source: str = f"{SALES}, {PAIRS}") -> str:
+    """Counts of all sets of frequent items of each basket, of any length."""
+    return f"""WITH RECURSIVE {source}, least AS (SELECT {share} * n AS support FROM n_baskets),
+    often AS (SELECT i FROM basket_items GROUP BY i HAVING count(*) >= (SELECT support FROM least)),
+    kept AS (SELECT b, i FROM basket_items WHERE i IN (SELECT i FROM often)),
+    sets(b, length, itemset, last) AS (SELECT b, 1, i, i FROM kept UNION ALL SELECT s.b, s.length + 1, s.itemset || '|' || k.i, k.i FROM sets s JOIN kept k ON k.b = s.b AND k.i > s.last)
+    SELECT length::INTEGER AS length, itemset, count(*) AS support FROM sets WHERE {shown} GROUP BY ALL HAVING count(*) >= (SELECT support FROM least)"""
 
 
 MONTHS = """rows_ AS (SELECT strftime(o_orderdate, '%Y%m') || '-' || o_custkey AS b, p_type AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 big AS (SELECT b FROM rows_ GROUP BY b HAVING count(*) > 3), basket_items AS (SELECT DISTINCT b, i FROM rows_ WHERE b IN (SELECT b FROM big)), n_baskets AS (SELECT count(DISTINCT b) AS n FROM basket_items)"""
 
-GRAPH = f"""bought AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-weights AS (SELECT x.c AS src, y.c AS dst, count(*) AS weight FROM bought x JOIN bought y ON x.p = y.p AND x.c < y.c GROUP BY 1, 2 HAVING count(*) > 1),
-reach AS (SELECT weight, sum(count(*)) OVER (ORDER BY weight DESC) AS reach FROM weights GROUP BY weight),
-least AS (SELECT coalesce(min(weight), (SELECT max(weight) + 1 FROM weights)) AS w FROM reach WHERE reach <= {MOST_EDGES}),
-kept AS (SELECT * FROM weights WHERE weight >= (SELECT w FROM least)),
-e AS (SELECT src, dst FROM kept UNION ALL SELECT dst, src FROM kept)"""
+def graph(least: int) -> str:
+    return f"""bought AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+kept AS (SELECT x.c AS src, y.c AS dst, count(*) AS weight FROM bought x JOIN bought y ON x.p = y.p AND x.c < y.c GROUP BY 1, 2 HAVING count(*) >= {least}),
+e AS MATERIALIZED (SELECT src, dst FROM kept UNION ALL SELECT dst, src FROM kept)"""
 
 
 def propagated(rounds: int) -> str:
     steps = ["l0 AS (SELECT DISTINCT src AS id, src AS label FROM e)"]
     for i in range(rounds):
-        steps.append(f"l{i + 1} AS (SELECT id, label FROM (SELECT dst AS id, label, row_number() OVER (PARTITION BY dst ORDER BY count(*) DESC, label) AS r FROM e JOIN l{i} ON e.src = l{i}.id GROUP BY dst, label) WHERE r = 1)")
-    return f"WITH {GRAPH}, {', '.join(steps)}"
+        steps.append(f"l{i + 1} AS MATERIALIZED (SELECT id, label FROM (SELECT dst AS id, label, row_number() OVER (PARTITION BY dst ORDER BY count(*) DESC, label) AS r FROM e JOIN l{i} ON e.src = l{i}.id GROUP BY dst, label) WHERE r = 1)")
+    return f"WITH {graph(EDGE)}, {', '.join(steps)}"
 
 
-PATHS = f"""WITH RECURSIVE {GRAPH},
+PATHS = f"""WITH RECURSIVE {graph(PATH_EDGE)},
 paths(s, t, d, sigma) USING KEY (s, t) AS (
   SELECT DISTINCT src, src, 0::BIGINT, 1::BIGINT FROM e
   UNION ALL
@@ -45,7 +42,24 @@ paths(s, t, d, sigma) USING KEY (s, t) AS (
   WHERE NOT EXISTS (SELECT 1 FROM recurring.paths q WHERE q.s = p.s AND q.t = e.dst)
   GROUP BY p.s, e.dst, p.d)"""
 
-COMPONENTS = f"{PATHS} SELECT t AS id, min(s) AS component FROM paths GROUP BY t"
+COMPONENTS = f"""WITH RECURSIVE {graph(EDGE)},
+found(id, component) USING KEY (id) AS (
+  SELECT DISTINCT src, src FROM e
+  UNION ALL
+  SELECT e.dst, min(f.component) FROM found f JOIN e ON e.src = f.id JOIN recurring.found r ON r.id = e.dst WHERE f.component < r.component GROUP BY e.dst)
+SELECT id, component FROM found"""
+
+#: Shares of paths flow back from the farthest vertices, a level a step.
+BETWEENNESS = f"""{PATHS},
+placed AS MATERIALIZED (SELECT s, t, d, sigma FROM paths),
+flows(d, s, u, v, passed) AS (
+  SELECT w.d, w.s, e.src, w.t, b.sigma / CAST(w.sigma AS DOUBLE) FROM placed w JOIN e ON e.dst = w.t JOIN placed b ON b.s = w.s AND b.t = e.src AND b.d = w.d - 1 WHERE w.d = (SELECT max(d) FROM placed)
+  UNION ALL
+  SELECT w.d, w.s, e.src, w.t, (1 + coalesce(g.passed, 0)) * b.sigma / CAST(w.sigma AS DOUBLE)
+  FROM placed w JOIN e ON e.dst = w.t JOIN placed b ON b.s = w.s AND b.t = e.src AND b.d = w.d - 1
+  LEFT JOIN (SELECT s, u, sum(passed) AS passed FROM flows GROUP BY s, u) g ON g.s = w.s AND g.u = w.t
+  WHERE w.d = (SELECT min(d) - 1 FROM flows) AND w.d > 0)
+SELECT least(u, v) AS src, greatest(u, v) AS dst, round(sum(passed) / 2, 5) AS betweenness FROM flows GROUP BY 1, 2"""
 
 SETS_USERS = "sets AS (SELECT DISTINCT user_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS element FROM events WHERE user_id IS NOT NULL AND json_extract_string(props, '$.k') IS NOT NULL)"
 SETS_CUSTOMERS = "sets AS (SELECT DISTINCT o_custkey AS id, l_partkey AS element FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
@@ -79,7 +93,7 @@ cf AS (SELECT t.u, t.i, coalesce(s.n, 0) AS n, CASE WHEN mean IS NULL THEN 3.84:
   FROM test t LEFT JOIN means m ON t.i = m.i LEFT JOIN sums s ON t.u = s.u AND t.i = s.i)"""
 )
 
-POINTS = "points AS (SELECT vec_id AS id, label AS cluster, unnest(range(1, 9)) AS dim, CAST(unnest(embedding[1:8]) AS DOUBLE) AS x FROM embeddings), sums AS (SELECT cluster, dim, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM points GROUP BY cluster, dim)"
+POINTS = "points AS (SELECT vec_id AS id, label AS cluster, unnest(range(1, len(embedding) + 1)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), sums AS (SELECT cluster, dim, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM points GROUP BY cluster, dim)"
 
 STREAM = f"WITH stream AS (SELECT event_id - (SELECT min(event_id) FROM events) + 1 AS seq, CAST(user_id AS VARCHAR) AS element FROM events), ticked AS (SELECT *, (seq - 1) // {TICK} AS tick FROM stream)"
 
@@ -117,18 +131,18 @@ ORACLES = {
     "baskets_orders": f"WITH {SALES} SELECT l_orderkey AS basket, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS items, count(DISTINCT p_brand) AS n FROM sales GROUP BY l_orderkey",
     "baskets_brands": f"WITH {SALES} SELECT p_brand AS basket, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS total FROM (SELECT DISTINCT p_brand, l_orderkey FROM sales) GROUP BY p_brand",
     "baskets_min_size": "SELECT month(o_orderdate) || '/1/' || right(CAST(year(o_orderdate) AS VARCHAR), 2) || '-' || o_custkey AS basket, string_agg(DISTINCT CAST(l_partkey AS VARCHAR), '|' ORDER BY CAST(l_partkey AS VARCHAR)) AS items, count(*) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(*) > 3",
-    "frequent_pairs": itemsets(PAIR_SHARE, 2, "length = 2"),
-    "frequent_itemsets": itemsets(SET_SHARE, 3),
-    "son_itemsets": itemsets(PAIR_SHARE, 4),
-    "frequent_itemsets_months": itemsets(0.2, 3, source=MONTHS),
-    "co_purchase_graph": f"WITH {GRAPH} SELECT src, dst, weight FROM kept",
+    "frequent_pairs": itemsets(PAIR_SHARE, "length = 2"),
+    "frequent_itemsets": itemsets(SET_SHARE),
+    "son_itemsets": itemsets(PAIR_SHARE),
+    "frequent_itemsets_months": itemsets(0.2, source=MONTHS),
+    "co_purchase_graph": f"WITH {graph(EDGE)} SELECT src, dst, weight FROM kept",
     "label_propagation": f"{propagated(5)} SELECT id, label FROM l5",
     "label_communities": f"{propagated(5)} SELECT label, string_agg(CAST(id AS VARCHAR), '|' ORDER BY id) AS members, count(*) AS size FROM l5 GROUP BY label",
     "connected_components": COMPONENTS,
     "shortest_paths": f"{PATHS} SELECT s, t, d, sigma FROM paths",
-    "edge_betweenness": f"{PATHS} SELECT k.src, k.dst, round(sum(a.sigma * b.sigma / CAST(c.sigma AS DOUBLE)), 5) AS betweenness FROM kept k JOIN paths a ON a.t = k.src JOIN paths b ON b.s = k.dst JOIN paths c ON c.s = a.s AND c.t = b.t WHERE a.d + 1 + b.d = c.d GROUP BY 1, 2",
+    "edge_betweenness": BETWEENNESS,
     "jaccard_users": jaccard(SETS_USERS, 0.5),
-    "jaccard_customers": jaccard(SETS_CUSTOMERS, 0.2),
+    "jaccard_customers": jaccard(SETS_CUSTOMERS, 0.1),
     "minhash_signatures": f"WITH {SETS_USERS}{SIGNATURES} SELECT id, CAST(nth AS BIGINT) AS nth, value FROM sig",
     "lsh_users": jaccard(SETS_USERS, 0.5, CANDS),
     "item_means": f"{RATED} SELECT i AS item, round(mean, 6) AS mean, n FROM means",
@@ -141,9 +155,9 @@ ORACLES = {
         FROM train JOIN items USING (i) LEFT JOIN customer ON c_custkey = u""",
     "item_attributes": """SELECT s_suppkey AS item, CASE WHEN s_suppkey % 3 = 0 THEN 0.5::DOUBLE WHEN s_suppkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "Delivery", CASE WHEN s_acctbal > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "InCredit",
         CASE WHEN s_nationkey < 12 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "WiFi_free", CASE WHEN s_nationkey < 12 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS "WiFi_no" FROM supplier""",
-    "cluster_summaries": f"WITH {POINTS} SELECT cluster, any_value(n) AS n, round(max(s) FILTER (dim = 1), 5) AS total_1, round(max(q) FILTER (dim = 8), 5) AS squares_8 FROM sums GROUP BY cluster",
+    "cluster_summaries": f"WITH {POINTS} SELECT cluster, dim, n, round(s, 5) AS total, round(q, 5) AS squares FROM sums",
     "nearest_cluster": f"""WITH {POINTS}, far AS (SELECT p.id, c.cluster, sqrt(sum(pow(p.x - c.s / c.n, 2) / (c.q / c.n - pow(c.s / c.n, 2)))) AS distance FROM points p JOIN sums c ON p.dim = c.dim GROUP BY 1, 2),
-        near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, cluster) AS r FROM far WHERE distance < 2 * sqrt(8)) SELECT id, cluster, round(distance, 5) AS distance FROM near WHERE r = 1""",
+        near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, cluster) AS r FROM far WHERE distance < 2 * sqrt((SELECT max(dim) FROM points))) SELECT id, cluster, round(distance, 5) AS distance FROM near WHERE r = 1""",
     "bloom_rates": BLOOMED,
     "distinct_estimates": f"{ESTIMATES} SELECT tick, truth, estimate FROM estimates",
     "distinct_estimates_by_element": BY_ELEMENT,

@@ -23,8 +23,9 @@ from ..streaming import sketches as K
 
 #: A pair of brands in this share of all orders, and so on, is frequent.
 PAIR_SHARE, SET_SHARE = 0.03, 0.0025
-#: The co-purchase graph is thresholded to at most so many edges; what follows looks at all pairs of its vertices.
-MOST_EDGES = 500
+#: Customers who share so many parts have an edge; more for what looks at all pairs of vertices, and for what takes
+#: the graph apart edge by edge.
+EDGE, PATH_EDGE, SPLIT_EDGE = 3, 5, 7
 TICK = 100
 BLOOM, FM = hash_family(30, size=997, seed=7), hash_family(48, seed=11)
 
@@ -63,7 +64,7 @@ def _month_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def baskets_min_size(spark: SparkSession, sf: str) -> DataFrame:
-    """Customer-months with more than three lines, keyed like the reference's dates: month/day/yy-customer."""
+    """Customer-months with more than three lines, keyed by month/day/yy-customer."""
     date = F.concat(F.month("o_orderdate").cast("string"), F.lit("/1/"), F.year("o_orderdate").cast("string"))
     b = B.sized_baskets(_month_rows(spark, sf), B.day_customer(date, F.col("o_custkey")), B.plain_number(F.concat(F.lit("00"), F.col("l_partkey").cast("string"))), 3)
     return b.select("basket", F.array_join("items", "|").alias("items"), F.col("n").alias("n_lines"))
@@ -76,7 +77,7 @@ def frequent_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def frequent_itemsets(spark: SparkSession, sf: str) -> DataFrame:
     b = cut(_brand_baskets(spark, sf))
-    return _shown(I.frequent_itemsets(b, SET_SHARE * b.count(), 3))
+    return _shown(I.frequent_itemsets(b, SET_SHARE * b.count()))
 
 
 def son_itemsets(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,23 +90,20 @@ def frequent_itemsets_months(spark: SparkSession, sf: str) -> DataFrame:
     rows = _month_rows(spark, sf).join(part, F.col("l_partkey") == F.col("p_partkey"))
     key = F.concat_ws("-", F.date_format("o_orderdate", "yyyyMM"), F.col("o_custkey").cast("string"))
     b = cut(B.sized_baskets(rows, key, F.col("p_type"), 3))
-    return _shown(I.frequent_itemsets(b, 0.2 * b.count(), 3))
+    return _shown(I.frequent_itemsets(b, 0.2 * b.count()))
 
 
-def _weights(spark: SparkSession, sf: str) -> DataFrame:
+def _weights(spark: SparkSession, sf: str, least: int) -> DataFrame:
     rows = _month_rows(spark, sf).select("o_custkey", "l_partkey")
-    return G.co_counts(rows, "o_custkey", "l_partkey")
+    return G.co_counts(rows, "o_custkey", "l_partkey").where(F.col("weight") >= least)
 
 
-def _graph(spark: SparkSession, sf: str) -> DataFrame:
-    weights = cut(_weights(spark, sf).where("weight > 1"))
-    least = G.threshold_for(weights, MOST_EDGES)
-    return cut(G.mirrored(weights.where(F.col("weight") >= least).select("src", "dst")))
+def _graph(spark: SparkSession, sf: str, least: int = EDGE) -> DataFrame:
+    return cut(G.mirrored(_weights(spark, sf, least).select("src", "dst")))
 
 
 def co_purchase_graph(spark: SparkSession, sf: str) -> DataFrame:
-    weights = cut(_weights(spark, sf).where("weight > 1"))
-    return weights.where(F.col("weight") >= G.threshold_for(weights, MOST_EDGES))
+    return _weights(spark, sf, EDGE)
 
 
 def label_propagation(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,15 +120,15 @@ def connected_components(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return G.shortest_paths(_graph(spark, sf)).select("s", "t", F.col("d").cast("long").alias("d"), "sigma")
+    return G.shortest_paths(_graph(spark, sf, PATH_EDGE)).select("s", "t", F.col("d").cast("long").alias("d"), "sigma")
 
 
 def edge_betweenness(spark: SparkSession, sf: str) -> DataFrame:
-    return G.edge_betweenness(_graph(spark, sf)).select("src", "dst", F.round("betweenness", 5).alias("betweenness"))
+    return G.edge_betweenness(_graph(spark, sf, PATH_EDGE)).select("src", "dst", F.round("betweenness", 5).alias("betweenness"))
 
 
 def girvan_newman(spark: SparkSession, sf: str) -> DataFrame:
-    return G.girvan_newman(_graph(spark, sf))
+    return G.girvan_newman(_graph(spark, sf, SPLIT_EDGE))
 
 
 def _brand_customers(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,7 +146,7 @@ def jaccard_users(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jaccard_customers(spark: SparkSession, sf: str) -> DataFrame:
-    return S.jaccard_join(_brand_customers(spark, sf), 0.2).withColumn("similarity", F.round("similarity", 6))
+    return S.jaccard_join(_brand_customers(spark, sf), 0.1).withColumn("similarity", F.round("similarity", 6))
 
 
 def minhash_signatures(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,15 +245,16 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cluster_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """A row for each component of each summary."""
     s = C.summaries(_points(spark, sf))
-    return s.select("cluster", "n", F.round(F.element_at("total", 1), 5).alias("total_1"), F.round(F.element_at("squares", 8), 5).alias("squares_8"))
+    each = s.select("cluster", "n", F.posexplode(F.arrays_zip("total", "squares")).alias("at", "v"))
+    return each.select("cluster", (F.col("at") + 1).cast("long").alias("dim"), "n", F.round("v.total", 5).alias("total"), F.round("v.squares", 5).alias("squares"))
 
 
 def nearest_cluster(spark: SparkSession, sf: str) -> DataFrame:
-    """Each vector's nearest summary of the labelled ones, within twice the root of the dimension. Of
-    the first 8 components only, as in its SQL."""
-    p = _points(spark, sf).withColumn("features", F.slice("features", 1, 8))
-    return C.nearest_within(p.drop("cluster"), C.summaries(p)).withColumn("distance", F.round("distance", 5))
+    """Each vector's nearest summary of the labelled ones, within twice the root of the dimension."""
+    p = _points(spark, sf)
+    return C.nearest_within(p.drop("cluster"), cut(C.summaries(p))).withColumn("distance", F.round("distance", 5))
 
 
 def bfr_labels(spark: SparkSession, sf: str) -> DataFrame:

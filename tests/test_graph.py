@@ -1,5 +1,6 @@
 from collections import deque
 
+import numpy as np
 import pytest
 
 from lodestream.operators import graph as G
@@ -44,8 +45,6 @@ def test_threshold_repeats_and_self_pairs(spark):
     assert {tuple(r) for r in G.co_counts(rows, "a", "i").collect()} == {("u", "v", 2), ("u", "w", 1), ("v", "w", 1)}
     assert {tuple(r) for r in G.co_graph(rows, "a", "i", 2).collect()} == {("u", "v"), ("v", "u")}
     assert {tuple(r) for r in G.co_counts(rows, "a", "i", dedupe=False).collect()} == {("u", "u", 1), ("u", "v", 3), ("u", "w", 1), ("v", "w", 1)}
-    weights = G.co_counts(rows, "a", "i")
-    assert G.threshold_for(weights, 1) == 2 and G.threshold_for(weights, 3) == 1 and G.threshold_for(weights, 0) == 3
 
 
 def test_bridge_has_the_most_betweenness(bridge):
@@ -67,13 +66,28 @@ def test_communities_by_edge_removal(bridge):
     assert {r["id"]: r["component"] for r in G.girvan_newman(bridge, most_rounds=0).collect()} == dict.fromkeys("abcdef", "a")
 
 
+def test_one_task_and_joins_take_a_graph_apart_alike(spark):
+    ends = {(k, k + 1) for k in (0, 10, 20)} | {(k, k + 2) for k in (0, 10, 20)} | {(k + 1, k + 2) for k in (0, 10, 20)} | {(2, 10), (12, 20), (30, 31), (31, 32)}
+    df = spark.createDataFrame(sorted(ends), "src long, dst long")
+    for rounds, mutated in ((3, False), (2, True)):
+        one, joined = ({r["id"]: r["component"] for r in G.girvan_newman(df, rounds, local_vertices=n, mutated=mutated).collect()} for n in (100, 0))
+        assert one == joined and len(set(one.values())) > 2
+    part = sorted(e for e in ends if e[0] < 30)
+    names = sorted({v for e in part for v in e})
+    a = np.zeros((len(names), len(names)))
+    for u, v in part:
+        a[names.index(u), names.index(v)] = a[names.index(v), names.index(u)] = 1
+    found = G.dense_betweenness(a)
+    assert {(names[i], names[j]): found[i, j] for i, j in zip(*np.nonzero(np.triu(a)), strict=True)} == pytest.approx(brute_betweenness(part))
+
+
 def test_registered_operators_run_their_defaults(spark, monkeypatch):
     from lodestream.operators import features as X
     from lodestream.plans import registry
 
     asked = []
     monkeypatch.setattr(registry, "_graph", lambda *_: None)
-    monkeypatch.setattr(G, "girvan_newman", lambda edges, most_rounds=None: asked.append(most_rounds))
+    monkeypatch.setattr(G, "girvan_newman", lambda edges, most_rounds=None, **_: asked.append(most_rounds))
     registry.girvan_newman(spark, "")
     for name in ("_ratings", "_items", "_users"):
         monkeypatch.setattr(registry, name, lambda *_: (None, None))
