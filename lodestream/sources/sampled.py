@@ -10,9 +10,9 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 
 class SampledLines(DataSource):
-    """Format ``sampled_lines``: option ``lines`` (the lines, newline-separated), ``size`` (drawn each time),
-    ``asks`` (how often) and ``seed``. Columns seq, tick, element. A tick can be replayed: it draws
-    the same lines again."""
+    """Format ``sampled_lines``: option ``path`` (a file of lines in any file system that pyarrow opens) or ``lines``
+    (the lines themselves, newline-separated), ``size`` (drawn each time), ``asks`` (how often) and ``seed``.
+    Columns seq, tick, element. A tick can be replayed: it draws the same lines again."""
 
     @classmethod
     def name(cls) -> str:
@@ -25,9 +25,18 @@ class SampledLines(DataSource):
         return SampledReader(self.options)
 
 
+def file_lines(path: str) -> list[str]:
+    """The lines of a file, which is small enough to be drawn from by one process."""
+    from pyarrow import fs
+
+    files, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    with files.open_input_stream(inner) as source:
+        return source.read().decode("utf-8", "replace").splitlines()
+
+
 class SampledReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict) -> None:
-        self.lines = options.get("lines", "").split("\n")
+        self.lines = file_lines(options["path"]) if "path" in options else options.get("lines", "").split("\n")
         self.size, self.asks, self.seed = int(options.get("size", 100)), int(options.get("asks", 10)), int(options.get("seed", 553))
 
     def initialOffset(self) -> dict:  # noqa: N802
@@ -47,7 +56,8 @@ class SampledReader(SimpleDataSourceStreamReader):
         return iter([row for t in range(start["tick"], end["tick"]) for row in self._tick(t)])
 
 
-def sampled_stream(spark: SparkSession, lines: list[str], size: int, asks: int, seed: int = 553):
-    """A streaming DataFrame (seq, tick, element) of ``asks`` draws of ``size`` lines."""
+def sampled_stream(spark: SparkSession, lines: list[str] | str, size: int, asks: int, seed: int = 553):
+    """A streaming DataFrame (seq, tick, element) of ``asks`` draws of ``size`` lines, given as a list or as a file's path."""
     spark.dataSource.register(SampledLines)
-    return spark.readStream.format("sampled_lines").options(lines="\n".join(lines), size=size, asks=asks, seed=seed).load()
+    source = {"path": lines} if isinstance(lines, str) else {"lines": "\n".join(lines)}
+    return spark.readStream.format("sampled_lines").options(**source, size=size, asks=asks, seed=seed).load()

@@ -4,8 +4,9 @@ reports whose order matters are sorted, which one range exchange does."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +31,13 @@ def itemset_report(candidates: DataFrame, frequent: DataFrame, path: str) -> Non
     both.orderBy("section", "length").select("line").write.mode("overwrite").text(path)
 
 
+def itemset_report_file(candidates: DataFrame, frequent: DataFrame, path: str) -> None:
+    """The two sections of a report as one text file, a blank line after each."""
+    both = itemset_lines(candidates, "Candidates").unionByName(itemset_lines(frequent.select("itemset"), "Frequent Itemsets"))
+    blank = both.sparkSession.createDataFrame([("Candidates", 2**31 - 1, "")], "section string, length int, line string")
+    text_file(both.unionByName(blank).orderBy("section", "length").select("line"), path)
+
+
 def community_lines(communities: DataFrame) -> DataFrame:
     """Lines ``'a', 'b'`` of (members), by size, then first member."""
     return communities.orderBy(F.size("members"), F.col("members")[0]).select(quoted(F.transform("members", lambda m: m.cast("string"))).alias("line"))
@@ -60,3 +68,31 @@ def appender(path: str, transform: Callable[[DataFrame], DataFrame] = lambda df:
         transform(batch).write.mode("overwrite").option("header", True).csv(f"{path}/batch={number}")
 
     return write
+
+
+def _one_file(df: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> None:
+    """Write ``df`` in its order as one file at ``path``, in whatever file system that names. Written beside
+    it and renamed at the end, so that a reader never sees half of it."""
+    spark, trial = df.sparkSession, f"{path}.{uuid4().hex}"
+    write(df.coalesce(1), trial)
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    files = make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in files.listStatus(make(trial)) if f.getPath().getName().startswith("part-"))
+    files.delete(make(path), True)
+    files.rename(part, make(path))
+    files.delete(make(trial), True)
+
+
+def text_file(lines: DataFrame, path: str) -> None:
+    """A column of lines as one text file; for reports, which are read by people."""
+    _one_file(lines, path, lambda df, p: df.write.text(p))
+
+
+def csv_file(df: DataFrame, path: str) -> None:
+    """One CSV file with a header."""
+    _one_file(df, path, lambda own, p: own.write.option("header", True).csv(p))
+
+
+def collated(spark: SparkSession, path: str, schema: str, order: str) -> DataFrame:
+    """What ``appender`` wrote under ``path``, in order."""
+    return spark.read.schema(schema).option("header", True).csv(path).select(*[c.split()[0] for c in schema.split(", ")]).orderBy(order)
