@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,37 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpoint_dir, cut
+from ..sources.readers import numbered_rows
+
+__all__ = ["cut"]
+
+LAST = 2**63 - 1
+
 #: One word: a run of anything but space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The session's ``spark.checkpoint.dir`` if it
-    is set; only where it is not (tests, one machine) a temporary one is made and set."""
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="lodestream-")
-        context.setCheckpointDir(path)
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there: computed once, its lineage cut,
-    and readable by every executor after any is lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that no plan needs any more. Spark deletes them when the driver's
-    garbage is collected, which an idle driver may not do for half an hour."""
-    for _ in range(2):  # what the first round finds, Spark's cleaner lets go of before the second
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    """The folder that driver and executors share, as the library's lineage cutting finds it."""
+    return checkpoint_dir(spark)
 
 
 def n_parts(spark: SparkSession) -> int:
@@ -54,6 +34,13 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def numbered_down(rows: DataFrame, *columns: str) -> DataFrame:
+    """Adds ``number`` to rows: from the largest long down in the order of ``columns``, so that they are after all
+    ids and the same in every run."""
+    ordered = numbered_rows(rows.withColumn("__by", F.struct(*columns)), "__by")
+    return ordered.withColumn("number", F.lit(LAST) - F.col("seq")).drop("__by", "seq")
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys meet; the keys come from the left side."""
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
@@ -151,12 +138,13 @@ def batches(frames: Iterator[pd.DataFrame], column: str, most: int = 4_000_000)
             yield frame.iloc[first:]
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Rows of text that Arrow sends to Python at once; its default of 10,000 is too many for
-    long texts. A session setting, as Spark has no other place for it; smaller ones stay."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 1 << 26) -> None:
+    """Rows and bytes of text that Arrow sends to Python at once; its default of 10,000 rows is too many for
+    long texts. Session settings, as Spark has no other place for them; smaller ones stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -17,16 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import cut, n_parts, null_safe, read
+from .expressions import let
 
 CELL = "struct<cell:long,n:long,k:long,c:long>"
 ROUNDS, RETRIES = 40, 7
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def by_runs(items: Column, key, body) -> Column:
     """``body(items, first place, length)`` of each run of equal ``key`` in an array; places from 1."""
 

@@ -26,9 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, join_texts, mix64, read
+from .common import LAST, Rolling, join_texts, mix64, read
 
-LAST = np.int64(2**63 - 1)
 ROW = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -470,7 +469,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 20, shard_byte
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, buckets = max(1, -(-total // shard_bytes)), max(1, -(-total // bucket_bytes))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc"), "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int"))
     dealt = rows.repartition(shards, "shard")
     blobs = "bucket int, shard int, n int, blob binary"
