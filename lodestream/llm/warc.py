@@ -75,8 +75,7 @@ class RecordWriter:
         self.records += 1
 
 
-def _headers(x) -> list[tuple[str, str]]:
-    refers = None if pd.isna(x.refers_to) else int(x.refers_to)
+def _headers(x, refers: int | None) -> list[tuple[str, str]]:
     out = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", record_id(x.page_id)), ("WARC-Target-URI", safe_uri(x.url, x.page_id)), ("WARC-Date", "1970-01-01T00:00:00Z")]
     out += [("WARC-Payload-Digest", f"sha1:{base64.b32encode(bytes.fromhex(x.payload_hex)).decode()}"), ("X-Page-ID", str(x.page_id)), ("Content-Type", "text/html; charset=utf-8")]
     if refers is not None:
@@ -89,14 +88,19 @@ def _write(folder: str):
         files, root = filesystem(folder)
         part = TaskContext.get().partitionId()
         name, trial = f"{root}/part-{part:06d}.warc.gz", f"{root}/.part-{part:06d}-{uuid4().hex}"
+        known, refers = None, None
         with files.open_output_stream(trial, compression=None) as sink:
             out = RecordWriter(sink)
             for frame in frames:
                 for x in frame.itertuples(index=False):
-                    revisit = not pd.isna(x.refers_to)
+                    if known != (x.page_id, x.payload_hex):
+                        known, refers = (x.page_id, x.payload_hex), None
+                    if x.chunk < 0:
+                        refers = x.number
+                        continue
                     if x.chunk == 0:
-                        out.begin(_headers(x), 0 if revisit else x.payload_bytes, None if revisit else x.payload_hex)
-                    if not revisit:
+                        out.begin(_headers(x, refers), x.number if refers is None else 0, x.payload_hex if refers is None else None)
+                    if refers is None:
                         out.add(x.bytes)
                     if x.last:
                         out.end()
@@ -108,15 +112,15 @@ def _write(folder: str):
 
 def chunked(pages: DataFrame, chunk: int) -> DataFrame:
     """Pages of (page_id, url, html) as chunk rows: page_id, url (on the first), payload_hex (SHA-1),
-    payload_bytes, record (a number of the row), chunk (from 0), last, bytes. Null payloads are empty; an
-    empty one is one empty chunk."""
+    number (the payload's bytes), record (a number of the row), chunk (from 0), last, bytes. Null payloads
+    are empty; an empty one is one empty chunk."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", payload.alias("payload"), F.monotonically_increasing_id().alias("record"))
-    keyed = keyed.withColumns({"payload_hex": F.sha1("payload"), "payload_bytes": F.length("payload").cast("long")})
-    most = F.greatest(F.ceil(F.col("payload_bytes") / chunk), F.lit(1)) - 1
+    keyed = keyed.withColumns({"payload_hex": F.sha1("payload"), "number": F.length("payload").cast("long")})
+    most = F.greatest(F.ceil(F.col("number") / chunk), F.lit(1)) - 1
     rows = keyed.withColumns({"most": most, "chunk": F.explode(F.sequence(F.lit(0).cast("long"), most))})
     bytes_ = F.substring("payload", F.col("chunk").cast("int") * chunk + 1, chunk)
-    return rows.select("page_id", F.when(F.col("chunk") == 0, F.col("url")).alias("url"), "payload_hex", "payload_bytes", "record", "chunk", (F.col("chunk") == F.col("most")).alias("last"), bytes_.alias("bytes"))
+    return rows.select("page_id", F.when(F.col("chunk") == 0, F.col("url")).alias("url"), "payload_hex", "number", "record", "chunk", (F.col("chunk") == F.col("most")).alias("last"), bytes_.alias("bytes"))
 
 
 def revisits(ids: DataFrame, least: int = 0) -> DataFrame:
@@ -143,10 +147,10 @@ def write_archives(pages: DataFrame, folder: str, archives: int, chunk: int = 1
     ids = cut(pages.select("page_id", F.sha1(payload.cast("binary")).alias("payload_hex"), F.octet_length(payload).cast("long").alias("payload_bytes")))
     total = ids.agg(F.sum("payload_bytes")).first()[0] or 0
     parts = max(1, archives, -(-total // archive_bytes))
-    # The chunks are dealt out once; the join asks for no other dealing, and keeps a record's chunks in one task.
-    dealt = chunked(pages, chunk).repartition(parts, "page_id", "payload_hex")
-    ready = dealt.join(revisits(ids, least), ["page_id", "payload_hex"], "left").sortWithinPartitions("page_id", "payload_hex", "record", "chunk")
-    return cut(ready.select("page_id", "url", "payload_hex", "payload_bytes", "chunk", "last", "refers_to", "bytes").mapInPandas(_write(folder), "archive string, records long"))
+    # What a page revisits comes as a chunk before its first: one exchange and one sort, and no join, order the records.
+    heads = revisits(ids, least).select("page_id", F.lit(None).cast("string").alias("url"), "payload_hex", F.col("refers_to").alias("number"), F.lit(-1).cast("long").alias("record"), F.lit(-1).cast("long").alias("chunk"), F.lit(False).alias("last"), F.lit(None).cast("binary").alias("bytes"))
+    ready = chunked(pages, chunk).unionByName(heads).repartition(parts, "page_id", "payload_hex").sortWithinPartitions("page_id", "payload_hex", "record", "chunk")
+    return cut(ready.drop("record").mapInPandas(_write(folder), "archive string, records long"))
 
 
 def inflated(source: IO[bytes], block: int) -> Iterator[bytes]:
@@ -205,9 +209,14 @@ def b32(sha1) -> str:
     return base64.b32encode(sha1.digest()).decode()
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    """Rows of ``CHUNKS``, ids as whole numbers also where some are missing."""
+    frame = pd.DataFrame(rows, columns=[x.split()[0] for x in CHUNKS.split(", ")], dtype=object)
+    return frame.astype({"page_id": "Int64", "refers_to": "Int64", "chunk": "int64", "last": bool, "bytes_so_far": "int64"})
+
+
 def _read(chunk: int, with_bytes: bool):
     def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in CHUNKS.split(", ")]
         for frame in frames:
             for name in frame["archive"]:
                 files, path = filesystem(name)
@@ -223,9 +232,9 @@ def _read(chunk: int, with_bytes: bool):
                         rows.append((name, h["warc-record-id"], h["warc-type"], int(h["x-page-id"]), refers and int(refers), number, last, size, b32(sha), h.get("warc-payload-digest", "").removeprefix("sha1:"), data if with_bytes else None))
                         held += len(data) if with_bytes else 0
                         if len(rows) >= 4096 or held >= 1 << 23:
-                            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            yield _frame(rows)
                             rows, held = [], 0
-                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield _frame(rows)
 
     return chunks
 
@@ -240,9 +249,9 @@ def read_archives(archives: DataFrame, chunk: int = 1 << 16, with_bytes: bool =
 
 
 def records(chunked: DataFrame) -> DataFrame:
-    """One row per record from its last chunk. A response's size and digest are those counted
-    while reading, a revisit's are those of the response it refers to."""
-    last = chunked.where("last").select("page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), F.col("warc_type").alias("record_type"), "refers_to", "declared_digest")
+    """One row per record from its last chunk; archives are read once. A response's size and digest are those
+    counted while reading, a revisit's are those of the response it refers to."""
+    last = cut(chunked.where("last").select("page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), F.col("warc_type").alias("record_type"), "refers_to", "declared_digest"))
     responses = last.where("record_type = 'response'").drop("declared_digest")
     known = responses.select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("__bytes"), F.col("payload_digest").alias("declared_digest")).dropDuplicates(["refers_to", "declared_digest"])
     # A table read from archives looks as small as the list of their names; it is not to be broadcast.
