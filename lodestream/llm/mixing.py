@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.similarity import numbered
 from .common import WORD, cut, null_safe, read
 
 
@@ -24,38 +25,46 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], share: float, mo
 
     Sources in order of code points, null last, weigh ``weights`` in turn and share ``share`` of
     all sizes. No target is above ``most`` times its source's size; what that frees goes to the
-    others by weight until none is above. That fixed point is one level for all sources below
-    their caps: in order of cap by weight, a source is capped if filling all to its own ratio
-    takes no more than the budget, and the level is what the capped ones leave, by weight.
-    One row per source, so these windows hold a table of sources, never of rows.
+    others by weight until none is above: all below their caps are filled to one level by weight, which
+    rises as more are capped. A round of that is one aggregate over the sources, of which one row comes to the
+    driver, so neither the sources nor their order are ever in one task.
     """
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1)
-    s = totals.withColumn("weight", weight).withColumn("cap", (F.col("source_size") * most).cast("double"))
-    s = s.withColumn("ratio", F.col("cap") / F.col("weight"))
-    upto, every = W.orderBy("ratio").rangeBetween(W.unboundedPreceding, 0), W.partitionBy()
-    budget = F.sum("source_size").over(every) * F.lit(share)
-    left = F.sum("weight").over(every) - F.sum("weight").over(upto)
-    s = s.withColumn("capped", F.sum("cap").over(upto) + F.col("ratio") * left <= budget).withColumn("budget", budget)
-    used = F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0.0)).over(every)
-    free = F.sum(F.when(F.col("capped"), 0.0).otherwise(F.col("weight"))).over(every)
-    level = (F.col("budget") - used) / F.when(free > 0, free)
-    return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("weight")).alias("target"))
+    places = numbered(totals, "source").withColumnRenamed("source", "__source")
+    placed = totals.join(places, F.col("source") == F.col("__source"), "left").drop("__source")
+    last = F.coalesce("number", F.lit(places.count()))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (last % len(weights) + 1).cast("int"))
+    s = cut(placed.withColumn("weight", weight).withColumn("cap", (F.col("source_size") * most).cast("double")).drop("number"))
+    budget = float(s.agg(F.sum("source_size")).first()[0] or 0) * share
+    level = -1.0
+    while True:  # at most a round for each source, and in effect a few
+        capped = F.col("cap") / F.col("weight") <= level
+        used, free = s.agg(F.sum(F.when(capped, F.col("cap")).otherwise(0.0)), F.sum(F.when(capped, 0.0).otherwise(F.col("weight")))).first()
+        higher = (budget - used) / free if free else level
+        if not free or higher <= level or s.where(~capped & (F.col("cap") / F.col("weight") <= higher)).isEmpty():
+            break
+        level = higher
+    return s.select("source", "source_size", F.when(capped, F.col("cap")).otherwise(F.lit((budget - used) / free if free else 0.0) * F.col("weight")).alias("target"))
+
+
+ADDED = ("size", "source_size", "target", "taken")
 
 
 def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix-1", rows_per_range: int = 65_536, least_ranges: int = 1024) -> DataFrame:
     """How much of each row a mix takes. ``rows``: doc_id, source, size and any others, which stay.
 
-    Adds source_size and ``taken`` (long; repeats counted) and target (double; the source's).
-    The amounts taken of a source add up to its target, rounded down; only the row at the cut
-    is taken in part. Rows with a null or zero size are never taken. Null sources are one source.
+    Adds source_size and ``taken`` (long; repeats counted) and target (double; the source's); what comes under
+    one of these names is replaced. The amounts taken of a source add up to its target, rounded down; only the
+    row at the cut is taken in part. Rows with a null or zero size are never taken. Null sources are one source.
     Equal ids in equal sizes are interchangeable. The same rows and seed give the same mix.
     """
     text = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    keyed = cut(rows.withColumns({"size": F.coalesce("size", F.lit(0)).cast("long"), "__key": F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")}))
+    others = [c for c in rows.columns if c not in ("doc_id", "source", *ADDED)]
+    size, key = F.coalesce("size", F.lit(0)).cast("long"), F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    keyed = cut(rows.select("doc_id", "source", size.alias("size"), key.alias("__key"), *([F.struct(*others).alias("__row")] if others else [])))
     ranges = max(least_ranges, -(-keyed.count() // rows_per_range))
     keyed = keyed.withColumn("__range", F.shiftright(F.shiftright("__key", 30) * ranges, 30))
     by_range = keyed.groupBy("source", "__range").agg(F.sum("size").alias("__sum"))
-    totals = source_targets(by_range.groupBy("source").agg(F.sum("__sum").alias("source_size")), weights, share, most)
+    totals = source_targets(cut(by_range.groupBy("source").agg(F.sum("__sum").alias("source_size"))), weights, share, most)
     before = W.partitionBy("source").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     by_range = null_safe(by_range.withColumn("__base", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum"), totals, ["source"])
     inside = W.partitionBy("source", "__range").orderBy("__key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
@@ -65,7 +74,8 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     taken = epochs[0]
     for more in epochs[1:]:
         taken = taken + more
-    return mixed.withColumn("taken", taken.cast("long")).drop("__key", "__range", "__base", "__before")
+    kept = [F.col("__row")[c].alias(c) if c in others else F.col(c) for c in rows.columns if c not in ADDED[1:]]
+    return mixed.select(*kept, "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, **params) -> DataFrame:
