@@ -18,8 +18,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import Rolling, batches, join_texts, mix64, read, small_batches
+from .common import Rolling, batches, cut, join_texts, mix64, read, small_batches
 
 PREFIXES = (4, 5, 6, 8)
 CHAIN = 256
@@ -266,18 +267,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: int = 3500) -> Model:
-    """Fit a model to a bounded sample of labelled documents: of each label up to so many, those of
-    the smallest hashes of their ids, never held-out ones. The bound is on the rows; their texts
-    are whole. Of repeated labels the larger counts."""
+def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: int = 3500, most_bytes: int = 64_000_000) -> DataFrame:
+    """(doc_id, toxic, text) of a bounded sample of labelled documents: of each label up to so many, those of the
+    smallest hashes of their ids as long as their texts add up to ``most_bytes`` or less, never held-out ones. Texts
+    are whole. Of repeated labels the larger counts, of several texts of an id the one of the smallest hash."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     ids = None
     for flag, most in ((1, most_toxic), (0, most_clean)):
         own = known.where(F.col("toxic") == flag).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = own if ids is None else ids.unionByName(own)
-    # At most most_toxic + most_clean rows: a bounded broadcast, so that no text is shuffled.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic", "doc_id").toPandas().sort_values("doc_id", kind="stable")
-    model = fit([t or "" for t in rows["text"]], rows["toxic"].to_numpy())
+    text = F.coalesce("text", F.lit(""))
+    # At most most_toxic + most_clean rows: a bounded broadcast, so that no text is shuffled, and small windows.
+    sized = docs.select("doc_id", F.struct(F.xxhash64(text).alias("digest"), F.octet_length(text).alias("size")).alias("t")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("t").alias("t"))
+    upto = F.sum("t.size").over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = cut(sized.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "toxic", F.col("t.digest").alias("digest")))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("digest")).join(F.broadcast(chosen), ["doc_id", "digest"])
+    return rows.dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
+
+
+def train(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:
+    """Fit a model to a bounded sample of labelled documents (``sample``, whose bounds are parameters)."""
+    rows = sample(docs, labels, **bounds).toPandas().sort_values("doc_id", kind="stable")
+    model = fit(rows["text"].tolist(), rows["toxic"].to_numpy())
     del rows
     give_back()
     return model
@@ -291,8 +302,8 @@ def give_back() -> None:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """Adds score (0 to 1), predicted (1 from ``threshold`` on) and spans to documents of (doc_id,
-    text). Null texts are empty; empty ones score what no evidence scores."""
+    """doc_id, score (0 to 1), predicted (1 from ``threshold`` on) and spans of documents of (doc_id, text), a row for
+    each row; other columns are not looked at. Null texts are empty; empty ones score what no evidence scores."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand features: bounded by the sample
 
