@@ -2,7 +2,7 @@
 
 All of it is DataFrame functions. Matches of a pattern and the text between them are two array
 expressions of the same leftmost non-overlapping scan, so offsets are running sums of their
-lengths. Spans that the patterns don't name are found by the log-likelihood ratio of two first
+lengths, which like all else here take no more than n log n steps for a long text or many spans. Spans that the patterns don't name are found by the log-likelihood ratio of two first
 order character models, one of random strings and one of ordinary identifiers, whose transition
 counts are aggregates over labelled samples.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .expressions import between, blocks_of, let, scan
 
 #: The kinds of the base scan as given: pattern, group that is measured, least length of it.
 KINDS = {
@@ -28,33 +29,36 @@ HINTS = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=
 #: What the models look at: a run of key characters with a digit and a letter in it.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}(?![A-Za-z0-9+/_-])"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-"
-SPAN = "struct<start:long,stop:long,kind:int>"
+SPAN = "struct<start:long,kind:int,stop:long>"
+#: Code points of a text that are looked through for a place in it.
+BLOCK = 4096
 
 
 def matches(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
     """Spans (start, stop, kind) of a pattern's leftmost non-overlapping matches whose ``group`` has
-    at least so many characters; code points, stop exclusive."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
-    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m).cast("long"))
-    measured = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m).cast("long"))
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), F.arrays_zip(whole.alias("w"), measured.alias("m")), lambda g, x: F.struct(g.alias("g"), x["w"].alias("w"), x["m"].alias("m")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    at least so many characters, with the ``word`` matched; code points, stop exclusive."""
+    gaps, words = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else words
+    items = F.transform(F.arrays_zip(gaps.alias("g"), words.alias("w"), measured.alias("m")), lambda x: F.struct((F.length(x["g"]) + F.length(x["w"])).cast("long").alias("step"), x["w"].alias("word"), F.length(x["m"]).alias("n")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        span = F.struct(start.alias("start"), (start + x["w"]).alias("stop"), F.lit(kind).alias("kind"))
-        found = F.when(x["m"] >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
-        return F.struct((start + x["w"]).alias("at"), found.alias("found"))
+    def placed(own: Column) -> Column:
+        ends = scan(F.transform(own, lambda x: x["step"]), lambda a, b: a + b)
+        return let(ends, lambda at: F.transform(own, lambda x, i: F.struct((F.get(at, i) - F.length(x["word"])).alias("start"), F.get(at, i).alias("stop"), F.lit(kind).alias("kind"), x["word"].alias("word"), x["n"].alias("n"))))
 
-    return F.aggregate(steps, zero, step)["found"]
+    # What follows the last match is a gap without a word.
+    return F.filter(let(F.filter(items, lambda x: x["word"].isNotNull()), placed), lambda x: x["n"] >= least)
+
+
+def _ordered(spans: Column) -> Column:
+    """Spans as (start, kind, stop)."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
 
 
 def base_spans(text: Column) -> Column:
     """All base spans by start, then kind as listed."""
     none = F.array().cast(f"array<{SPAN}>")
-    own = [F.when(text.rlike(HINTS[k]), matches(text, p, g, n, i)).otherwise(none) for i, (k, (p, g, n)) in enumerate(KINDS.items())]
-    ordered = F.transform(F.concat(*own), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
-    return F.array_sort(ordered)
+    own = [F.when(text.rlike(HINTS[k]), _ordered(matches(text, p, g, n, i))).otherwise(none) for i, (k, (p, g, n)) in enumerate(KINDS.items())]
+    return F.sort_array(F.concat(*own))
 
 
 def joined(spans: Column, kinds: list[str]) -> Column:
@@ -62,18 +66,17 @@ def joined(spans: Column, kinds: list[str]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def _place(word: Column, i: Column) -> Column:
-    """The i-th character's place in the alphabet, from 1; 0 for others."""
-    return F.position(F.substr(word, i, F.lit(1)), F.lit(ALPHABET))
+def steps_of(word: Column) -> Column:
+    """For each two characters in a row their places in the alphabet (from 1; 0 for others) as one number."""
+    places = F.transform(F.split(word, ""), lambda c: F.position(c, F.lit(ALPHABET)))
+    return let(places, lambda at: F.transform(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), lambda x, i: F.get(at, i) * (len(ALPHABET) + 1) + x))
 
 
 def transitions(words: DataFrame) -> DataFrame:
     """(klass, step, n): in how many distinct samples (klass, word) a character follows another; a step
     is the places of both as one number. Once a sample, so that a long or repeated one is one voice."""
-    size = len(ALPHABET) + 1
-    at = F.when(F.length("word") > 1, F.sequence(F.lit(1), F.length("word") - 1))
-    steps = F.array_distinct(F.transform(at, lambda i: _place(F.col("word"), i) * size + _place(F.col("word"), i + 1)))
-    return words.distinct().select("klass", F.explode(steps).alias("step")).groupBy("klass", "step").agg(F.count(F.lit(1)).alias("n"))
+    steps = F.array_distinct(steps_of(F.col("word")))
+    return words.where(F.length("word") > 1).distinct().select("klass", F.explode(steps).alias("step")).groupBy("klass", "step").agg(F.count(F.lit(1)).alias("n"))
 
 
 def labelled_samples(docs: DataFrame, secret_docs: int = 4000, plain_docs: int = 500, made: int = 4000) -> DataFrame:
@@ -129,56 +132,73 @@ def ratios(samples: DataFrame, smooth: float = 0.5, prior: float = 5.0) -> list[
 
 def random_spans(text: Column, table: list[float], per_step: float, total: float) -> Column:
     """Spans of key-like runs whose mean ratio a step is ``per_step`` or more, and whose sum ``total``."""
-    steps = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
-    size = len(ALPHABET) + 1
+    ratio = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
+    scored = F.transform(matches(text, CANDIDATE, 0, 16, len(KINDS)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.aggregate(steps_of(s["word"]), F.lit(0.0), lambda acc, x: acc + F.element_at(ratio, x + 1)).alias("llr")))
+    kept = F.filter(scored, lambda s: (s["llr"] >= total) & (s["llr"] >= per_step * (s["stop"] - s["start"] - 1)))
+    return F.when(text.rlike(CANDIDATE), _ordered(kept)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    def ratio(s: Column) -> Column:
-        word = F.substr(text, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))
-        places = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: _place(word, i))
-        pairs = F.zip_with(F.slice(places, F.lit(1), F.size(places) - 1), F.slice(places, F.lit(2), F.size(places) - 1), lambda a, b: F.element_at(steps, a * size + b + 1))
-        return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
 
-    scored = F.transform(matches(text, CANDIDATE, 0, 16, len(KINDS)), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), ratio(s).alias("llr")))
-    kept = F.filter(scored, lambda s: (s["llr"] >= total) & (s["llr"] >= per_step * (s["stop"] - s["start"] - 1)))
-    spans = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
-    none = F.array().cast("array<struct<start:long,kind:int,stop:long>>")
-    return F.when(text.rlike(CANDIDATE), spans).otherwise(none)
+def with_free(base: Column, more: Column) -> Column:
+    """All of ``base`` and those of ``more`` that overlap none of it, in order: of all by start, a span is free if
+    no base span before it reaches into it and none after it begins in it."""
+    added = len(KINDS)
+    every = F.sort_array(F.concat(base, more))
+
+    def free(own: Column) -> Column:
+        reach = scan(F.transform(own, lambda s: F.when(s["kind"] < added, s["stop"]).otherwise(F.lit(-1).cast("long"))), F.greatest)
+        ahead = scan(F.transform(own, lambda s: F.when(s["kind"] < added, s["start"]).otherwise(F.lit(1 << 62))), F.least, backward=True)
+        both = F.arrays_zip(own.alias("s"), reach.alias("reach"), ahead.alias("ahead"))
+        kept = F.filter(both, lambda x: (x["s"]["kind"] < added) | ((x["reach"] <= x["s"]["start"]) & (x["ahead"] >= x["s"]["stop"])))
+        return F.transform(kept, lambda x: x["s"])
 
+    return F.when(F.size(more) == 0, base).otherwise(let(every, free))
 
-def scan(docs: DataFrame, per_step: float = 1.5, total: float = 25.0, **samples: int) -> DataFrame:
-    """Adds ``base`` and ``spans`` to documents of (doc_id, text and any others): arrays of (start,
-    kind, stop) in order, the pattern's spans and those with the models' added. An added span
-    overlaps no base span. Null texts are empty and hold nothing."""
+
+def scan_texts(docs: DataFrame, per_step: float = 1.5, total: float = 25.0, **samples: int) -> DataFrame:
+    """Adds ``base`` and ``spans`` to documents of (doc_id, text and any others, which stay; columns of these two names
+    are replaced): arrays of (start, kind, stop) in order, the pattern's spans and those with the models' added.
+    An added span overlaps no base span. Null texts are empty and hold nothing; repeated rows each have their spans."""
     table = ratios(labelled_samples(docs, **samples))
-    text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("base", base_spans(text)).withColumn("__more", random_spans(text, table, per_step, total))
-    free = F.filter("__more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
-    return out.withColumn("spans", F.array_sort(F.concat("base", free))).drop("__more")
+    text, more = F.coalesce("text", F.lit("")), "__more"
+    while more in docs.columns:
+        more += "_"
+    out = docs.withColumn("base", base_spans(text)).withColumn(more, random_spans(text, table, per_step, total))
+    return out.withColumn("spans", with_free(F.col("base"), F.col(more))).drop(more)
+
+
+def blanked(text: Column, spans: Column, mark: str) -> Column:
+    """A text with each of its spans, which are in order and one at least, replaced; overlapping ones as one."""
+    reach = scan(F.transform(spans, lambda s: s["stop"]), F.greatest)
+
+    def groups(at: Column) -> Column:
+        opens = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda i: F.get(spans, i)["start"] >= F.coalesce(F.get(at, i - 1), F.lit(-1)))
+        begins = lambda own, j: F.get(spans, F.get(own, j))["start"]
+        ends = lambda own, j: F.get(at, F.coalesce(F.get(own, j + 1), F.size(at)) - 1)
+        return let(opens, lambda own: F.transform(own, lambda _, j: F.struct(F.when(j > 0, ends(own, j - 1)).otherwise(F.lit(0).cast("long")).alias("low"), begins(own, j).alias("high"))))
+
+    def run(blocks: Column) -> Column:
+        gaps = F.transform(let(reach, groups), lambda g: F.concat(between(blocks, BLOCK, g["low"], g["high"]), F.lit(mark)))
+        rest = between(blocks, BLOCK, F.array_max(F.transform(spans, lambda s: s["stop"])), F.length(text).cast("long"))
+        return F.concat(F.array_join(gaps, ""), rest)
+
+    return let(blocks_of(text, BLOCK), run)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **params) -> DataFrame:
     """The documents, in their own columns, with each span (overlapping ones as one) replaced by
     ``mark``; n_chars follows. None is dropped."""
     columns = docs.columns
-    found = scan(docs.select("doc_id", "text", F.struct(*columns).alias("__row")), **params)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        more = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), more.alias("out"))
-
-    done = F.aggregate("spans", zero, step)
-    found = found.withColumn("__done", F.when(F.size("spans") > 0, done))
-    text = F.when(F.col("__done").isNull(), F.col("text")).otherwise(F.concat(F.col("__done")["out"], F.substr(F.col("text"), (F.col("__done")["at"] + 1).cast("int"))))
-    found = found.withColumn("text", text)
-    n_chars = F.when(F.col("__done").isNotNull(), F.length("text").cast("long"))
-    own = {"text": F.col("text"), "n_chars": F.coalesce(n_chars, F.col("__row")["n_chars"]) if "n_chars" in columns else None}
+    found = scan_texts(docs.select("doc_id", "text", F.struct(*columns).alias("__row")), **params)
+    some = F.size("spans") > 0
+    text = F.when(some, blanked(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))
+    found = found.select("__row", some.alias("__some"), text.alias("__text"))
+    n_chars = F.when(F.col("__some"), F.length("__text").cast("long"))
+    own = {"text": F.col("__text"), "n_chars": F.coalesce(n_chars, F.col("__row")["n_chars"]) if "n_chars" in columns else None}
     return found.select(*[own.get(c, F.col("__row")[c]).alias(c) for c in columns])
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+    found = scan_texts(read(spark, sf_dir, "documents", "doc_id", "text"))
     names = [*KINDS, "markov"]
     count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(names)]
