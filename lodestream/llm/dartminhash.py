@@ -9,8 +9,9 @@ it is. Signatures are cut into bands; documents that agree in a band are compare
 
 Equal texts are folded before and are members of their class. Bands with many texts are not
 expanded into pairs: each text is compared with the band's hub, the one that shares most bands
-with others. Where that leaves a band in several classes, the texts outside the largest class are
-compared with all of the band in blocks, whose exact similarities are one matrix product and
+with others, and where that leaves a band in several classes, those outside the largest class with a hub of
+their own. In bands that are in several classes still, the texts outside the largest class are
+compared with all of the band in blocks of texts of like length, whose exact similarities are one matrix product and
 of which only links that join classes come out. So no link between classes is lost.
 """
 
@@ -23,9 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, cut, mix64, read, small_batches
+from .common import batches, cut, mix64, numbered_down, read, small_batches
 from .components import components
-from .shingles import similarities, weighted_cells
+from .shingles import weighted_cells
 
 #: Width of the first rank region as a power of two; each later one starts where those before end.
 _BASE = -6
@@ -108,47 +109,66 @@ def _bands(bands: int, rows: int, size: int):
                 for j in range(rows):
                     keys = mix64(keys * np.uint64(31) + sig[:, j::rows], j)
             keys = keys.view(np.int64)
-            out = frame[["doc_id", "digest"]].copy()
+            out = frame[["doc", "digest"]].copy()
             out["bands"] = [list(k) if a else [] for k, a in zip(keys, any_, strict=True)]
             yield out
 
     return sign
 
 
-def _verify(threshold: float, size: int):
+def _cells(size: int):
+    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for part in batches(iter([frame]), "text"):
+                owner, cell = weighted_cells(part["text"].tolist(), size)
+                edges = np.searchsorted(owner, np.arange(len(part) + 1))
+                yield pd.DataFrame({"node": part["node"], "weight": np.diff(edges), "cells": [cell[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)]})
+
+    return cells
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Of two texts by their sorted cells; 0 without any."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if not len(x) or not len(y):
+        return 0.0
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return both / (len(x) + len(y) - both)
+
+
+def _verify(threshold: float):
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            both = pd.DataFrame({"a": frame["a"], "b": frame["b"], "text": frame["text_a"] + "\n" + frame["text_b"], "x": frame["text_a"], "y": frame["text_b"]})
-            for part in batches(iter([both]), "text"):
-                s = similarities(part["x"].tolist(), part["y"].tolist(), size)
-                yield part.loc[s >= threshold, ["a", "b"]]
+            similar = [similarity(x, y) >= threshold for x, y in zip(frame["cells_a"], frame["cells_b"], strict=True)]
+            yield frame.loc[np.array(similar, bool), ["a", "b"]]
 
     return verify
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
-    """The pairs (a, b) whose texts are as similar as that."""
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInPandas(_verify(threshold, size), "a long, b long")
+def _checked(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose texts are as similar as that; those whose lengths alone forbid it go first."""
+    sides = [cells.select(F.col("node").alias(n), F.col("weight").alias(f"weight_{n}"), F.col("cells").alias(f"cells_{n}")) for n in ("a", "b")]
+    fit = F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * threshold - 1e-6
+    met = pairs.join(sides[0], "a").join(sides[1], "b").where(fit)
+    return met.select("a", "b", "cells_a", "cells_b").mapInPandas(_verify(threshold), "a long, b long")
 
 
-def _block_links(threshold: float, size: int, columns: int = 4096):
+def _block_links(threshold: float, columns: int = 4096):
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for x in frame.itertuples(index=False):
-                found = block_links([(m["node"], m["label"], m["text"]) for m in x.outs], [(m["node"], m["label"], m["text"]) for m in x.every], threshold, size, columns)
+                found = block_links(*([(m["node"], m["label"], m["cells"]) for m in side] for side in (x.outs, x.every)), threshold, columns)
                 yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return link
 
 
-def block_links(outs: list[tuple], every: list[tuple], threshold: float, size: int = 5, columns: int = 4096) -> list[tuple[int, int]]:
-    """Links between two blocks of (node, label, text) that join labels: pairs of different labels
+def block_links(outs: list[tuple], every: list[tuple], threshold: float, columns: int = 4096) -> list[tuple[int, int]]:
+    """Links between two blocks of (node, label, cells) that join labels: pairs of different labels
     with similarity ``threshold`` or more, without those that earlier ones already imply."""
-    rows = [weighted_cells([m[2] for m in side], size) for side in (outs, every)]
-    owner, cell = np.concatenate((rows[0][0], rows[1][0] + len(outs))), np.concatenate((rows[0][1], rows[1][1]))
-    weight = np.bincount(owner, minlength=len(outs) + len(every))
+    sides = [np.frombuffer(m[2], np.uint64) for m in (*outs, *every)]
+    weight = np.array([len(x) for x in sides])
+    owner, cell = np.repeat(np.arange(len(sides)), weight), np.concatenate(sides)
     names, place = np.unique(cell, return_inverse=True)
     shared = np.bincount(place, minlength=len(names)) > 1
     at = np.cumsum(shared) - 1
@@ -178,73 +198,116 @@ def block_links(outs: list[tuple], every: list[tuple], threshold: float, size: i
     return found
 
 
-def _unsettled(many: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float, size: int, rows: int) -> DataFrame | None:
-    """Links of bands that hold several classes: their texts outside the largest class against all.
-    Bands that share texts are one group, so that a pair is looked at once, not once a band."""
+def _mixed(many: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``many`` (band, key, node) with their label and ``main``, the largest class of the band, of bands
+    that hold several classes."""
     now = many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = now.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "key")
-    now = cut(now.join(mixed, ["band", "key"]))
-    if now.isEmpty():
-        return None
-    groups = components(now.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("label", "group")
-    members = now.select("node", "label").distinct().join(groups, "node")
-    main = members.groupBy("group", "label").count().groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("n"), (F.sum("count") - F.max("count")).alias("out"))
-    members = members.join(main, "group").join(texts.withColumnRenamed("doc_id", "node"), "node")
-    item = F.struct("node", "label", "text")
-
-    def blocks(rows_of: DataFrame, count: str, name: str) -> DataFrame:
-        number = F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / rows))
-        return rows_of.groupBy("group", number.alias("block")).agg(F.collect_list(item).alias(name)).drop("block")
-
-    sides = blocks(members.where("label <> main"), "out", "outs").join(blocks(members, "n", "every"), "group")
-    return cut(sides.select("outs", "every").mapInPandas(_block_links(threshold, size), "a long, b long"))
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 20, rows: int = 5, small: int = 12, block: int = 256) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, class_id (the smallest id of its class)
-    and copy_of (the smallest id with the same text).
-
-    A class is a component of links between texts of weighted Jaccard similarity ``threshold`` or
-    more over counts of ``size``-word shingles. A link of exactly 0.8 is found by 20 bands of 5
-    rows with probability 0.9996, higher ones more surely; nothing below the threshold is linked.
-    Null texts are empty; empty ones are copies of each other. Rows without an id are left out.
-    """
+    classes = now.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = classes.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
+    return now.join(main, ["band", "key"])
+
+
+def _stars(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): the hub of each band among those ``rows`` (band, key, node, and whether a node may be its hub) with
+    all its other nodes. A hub shares most bands with others."""
+    hubs = rows.where("may").join(known, "node").groupBy("band", "key").agg(F.max_by("node", F.struct("known", -F.col("node"))).alias("hub"))
+    met = rows.join(hubs, ["band", "key"]).where("hub <> node")
+    return met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
+
+def _settled(mixed: DataFrame, cells: DataFrame, threshold: float, rows: int, size: int) -> DataFrame:
+    """Links of bands that hold several classes (``mixed``): their texts outside the largest class against all
+    of the band. Texts as similar as that have weights within that ratio, so blocks hold texts of a level of weight (a
+    power of the ratio) and meet the blocks of the same and of the next levels only. A pair of blocks is a row of
+    its own wherever it is joined, so that a band of very many texts is spread over all tasks."""
+    level = F.floor(F.log(F.greatest("weight", F.lit(1))) / float(-np.log(threshold)) + 1e-9)
+    rated = mixed.join(cells, "node").where("weight > 0").withColumn("level", level.cast("int"))
+    key = ["band", "key", "level"]
+    item = F.struct("node", "label", "cells")
+
+    def blocks(own: DataFrame, name: str) -> DataFrame:
+        """(band, key, level, block, ``name``), of at most about so many rows and bytes of cells."""
+        parts = own.groupBy(*key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("weight") * 8 / size)).cast("int").alias("parts"))
+        dealt = own.join(parts, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        return dealt.groupBy(*key, "parts", "block").agg(F.collect_list(item).alias(name))
+
+    outs, every = blocks(rated.where("label <> main"), "outs").drop("parts", "block"), blocks(rated, "every")
+    counts = every.select(*key, "parts").distinct()
+    asked = outs.withColumn("level", F.explode(F.array(*[F.col("level") + d for d in (-1, 0, 1)]))).join(counts, key)
+    sides = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").join(every.drop("parts"), [*key, "block"])
+    return cut(sides.select("outs", "every").mapInPandas(_block_links(threshold), "a long, b long"))
+
+
+def _classes(docs: DataFrame, threshold: float, size: int, bands: int, rows: int, small: int, block: int, block_bytes: int) -> DataFrame:
+    """(doc_id, digest, doc, class_id, copy_of, repeated) of rows with an id; doc is a number for each id and text."""
     small_batches(docs.sparkSession)
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = docs.withColumn("digest", F.sha2("text", 256)).mapInPandas(_bands(bands, rows, size), "doc_id long, digest string, bands array<long>")
-    signed = cut(signed)
-    members = signed.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.min_by("bands", "doc_id").alias("bands"))
-    banded = members.select(F.col("copy_of").alias("node"), F.posexplode("bands").alias("band", "key")).distinct()
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
+    signed = cut(docs.mapInPandas(_bands(bands, rows, size), "doc long, digest string, bands array<long>").withColumnRenamed("doc", "doc_id"))
+    several = signed.groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = cut(several)
+    further = several.where("first <> last")
+    if further.isEmpty():
+        signed = signed.withColumn("doc", F.col("doc_id"))
+    else:
+        numbers = cut(numbered_down(signed.join(further, "doc_id").where("digest <> first").select("doc_id", "digest").distinct(), "doc_id", "digest"))
+        signed = cut(signed.join(numbers, ["doc_id", "digest"], "left").withColumn("doc", F.coalesce("number", "doc_id")).drop("number"))
+    members = signed.groupBy("digest").agg(F.min("doc").alias("node"), F.min("doc_id").alias("copy_of"), F.min_by("bands", "doc").alias("bands"))
+    banded = members.select("node", F.posexplode("bands").alias("band", "key")).distinct()
     sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     banded = cut(banded.join(sizes, ["band", "key"]))
-    texts = cut(docs.join(banded.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = signed.select("doc_id", "digest", F.col("doc").alias("node")).join(banded.select("node").distinct(), "node").dropDuplicates(["node"])
+    texts = docs.withColumnRenamed("doc", "doc_id").join(texts, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    cells = cut(texts.select("node", "text").mapInPandas(_cells(size), "node long, weight long, cells binary"))
 
     # Bands of few texts: their pairs, at most small * (small - 1) / 2 of each.
     few = banded.where(F.col("n") <= small)
     pairs = few.select("band", "key", F.col("node").alias("a")).join(few.select("band", "key", F.col("node").alias("b")), ["band", "key"]).where("a < b").select("a", "b")
-    many = banded.where(F.col("n") > small)
-    known = many.groupBy("node").agg(F.sum("n").alias("known"))
-    hubs = many.join(known, "node").groupBy("band", "key").agg(F.max_by("node", F.struct("known", -F.col("node"))).alias("hub"))
-    many = cut(many.drop("n").join(hubs, ["band", "key"]))
-    star = many.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    links = cut(_checked(pairs.unionByName(star).distinct(), texts, threshold, size).distinct())
+    many = cut(banded.where(F.col("n") > small))
+    known = cut(many.groupBy("node").agg(F.sum("n").alias("known")))
+    star = _stars(many.drop("n").withColumn("may", F.lit(True)), known)
+    links = cut(_checked(pairs.unionByName(star).distinct(), cells, threshold).distinct())
     labels = components(links)
-    more = _unsettled(many, labels, texts, threshold, size, block)
-    if more is not None and not more.isEmpty():
-        labels = components(links.unionByName(more))
-    copies = signed.select("doc_id", "digest").join(members.select("digest", "copy_of"), "digest")
-    return copies.join(labels.withColumnRenamed("node", "copy_of"), "copy_of", "left").select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
-
-
-def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """The document of each class whose id is the class's, in the columns of ``docs``; of rows
-    with that id and one text, one. Rows without an id stay."""
-    classes = near_duplicates(docs.select("doc_id", "text"), **params)
-    dropped = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    twice = kept.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(once)
+    mixed = cut(_mixed(many.drop("n"), labels))
+    if not mixed.isEmpty():
+        second = _checked(_stars(mixed.withColumn("may", F.col("label") != F.col("main")), known), cells, threshold)
+        links = cut(links.unionByName(second).distinct())
+        labels = components(links)
+        mixed = cut(_mixed(many.drop("n"), labels))
+    if not mixed.isEmpty():
+        labels = components(links.unionByName(_settled(mixed, cells, threshold, block, block_bytes)))
+    found = signed.select("doc_id", "digest", "doc").join(members.select("digest", "node", "copy_of"), "digest").join(labels, "node", "left")
+    found = found.withColumn("class_id", F.coalesce("label", "node")).join(several.select("doc_id", F.lit(True).alias("repeated")), "doc_id", "left")
+    return found.select("doc_id", "digest", "doc", "class_id", "copy_of", "repeated")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 20, rows: int = 5, small: int = 12, block: int = 256, block_bytes: int = 4_000_000) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, class_id (the smallest id of its class)
+    and copy_of (the smallest id with the same text).
+
+    A class is a component of links between texts of weighted Jaccard similarity ``threshold`` or
+    more over counts of ``size``-word shingles. A link of exactly 0.8 is found by 20 bands of 5
+    rows with probability 0.9996, higher ones more surely; nothing below the threshold is linked.
+    Null texts are empty; empty ones are copies of each other. Rows without an id are left out. Rows of one id
+    with different texts are documents of their own: the text of the smallest digest has the id, and the others count
+    after all ids, as numbers from the largest long down (a class of such texts only has one as its class_id).
+    Other columns are not looked at.
+    """
+    return _classes(docs, threshold, size, bands, rows, small, block, block_bytes).select("doc_id", "class_id", "copy_of")
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 20, rows: int = 5, small: int = 12, block: int = 256, block_bytes: int = 4_000_000) -> DataFrame:
+    """The document of each class whose number is the class's (``near_duplicates``), in the columns of ``docs``; of
+    repeated rows one. Rows without an id stay."""
+    found = cut(_classes(docs.select("doc_id", "text"), threshold, size, bands, rows, small, block, block_bytes))
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").cast("long").alias("__id"), key.alias("__key"))
+    dropped = found.where("doc <> class_id").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__key")).distinct()
+    kept = keyed.join(dropped, ["__id", "__key"], "left_anti")
+    twice = found.where("repeated AND doc = class_id").groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__key")).count().where("count > 1").drop("count")
+    if not twice.isEmpty():
+        once = kept.join(twice, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
+        kept = kept.join(twice, ["__id", "__key"], "left_anti").unionByName(once)
+    return kept.select("__row.*")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
