@@ -106,6 +106,10 @@ def test_mixed_documents(spark, docs, nothing):
     for r in mixing.mix(docs.withColumn("size", mixing.word_count(F.col("text")))).collect():
         expected[r["doc_id"]] += r["taken"]
     assert {k: v for k, v in expected.items() if v} == dict(taken)
+    clash = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.lit("t").alias("target"), F.lit(1).alias("source_size"), F.lit(2).alias("taken"), F.lit("k").alias("__key"), F.lit("r").alias("__row"))
+    out = mixing.mix(clash)
+    assert out.columns == ["doc_id", "source", "size", "__key", "__row", "source_size", "target", "taken"] and dict(out.dtypes)["target"] == "double"
+    assert Counter((r["doc_id"], r["taken"], r["__key"]) for r in out.collect() if r["taken"]) == Counter({(i, n, "k"): c for (i, n), c in Counter((r["doc_id"], r["taken"]) for r in mixing.mix(docs.withColumn("size", mixing.word_count(F.col("text")))).collect() if r["taken"]).items()})
     assert mixing.mix_documents(nothing).count() == mixing.mix(nothing.withColumn("size", F.lit(1))).count() == 0
 
 
@@ -245,6 +249,18 @@ def test_every_copy_in_a_document_is_found(spark):
     assert found[None, None] == {(0, 70)}
 
 
+def test_copies_point_to_the_first_and_texts_of_one_id_are_documents(spark):
+    base, part = prose(120, 61), prose(70, 62)
+    rows = [(7, base, "x"), (3, base, "x"), (9, base, "y"), (9, base, "z"), (4, "short text", "x"), (5, "short text", "x"), (8, f"{prose(20, 63)} {part}", "x"), (8, f"{part} {prose(10, 64)} {base}", "x"), (None, base, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    out = passages.repeated_passages(docs).collect()
+    found = {(r["doc_id"], r["start_word"], r["end_word"], r["other_id"], r["other_start"], r["other_end"]) for r in out}
+    assert {(7, 0, 120, 3, 0, 120), (9, 0, 120, 3, 0, 120), (None, 0, 120, 3, 0, 120)} <= found and len(out) == len(found)
+    eights = {f[1:3] for f in found if f[0] == f[3] == 8} | {f[4:] for f in found if f[0] == f[3] == 8}
+    assert eights == {(20, 90), (0, 70)} and {f[1:] for f in found if f[0] == 8 and f[3] == 3} == {(80, 200, 3, 0, 120)}
+    assert not {4, 5} & {i for f in found for i in (f[0], f[3])}
+
+
 def test_passages_with_an_insertion_are_found(spark):
     rows = []
     for i, (n, more) in enumerate([(80, 8), (88, 10), (72, 7), (90, 12)] * 12):
@@ -297,6 +313,48 @@ def test_large_groups_of_copies_with_many_edits(spark, small):
     assert found == classes(rows)
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    base, other = prose(100, 8100), prose(100, 8200)
+    rows = [(1, base, "a"), (1, other, "b"), (1, other, "c"), (2, edited(other, 90), "d"), (3, base, "e"), (4, prose(80, 8300), "f"), (4, prose(80, 8400), "g"), (None, base, "h"), (5, edited(base, 80), "i"), (5, prose(80, 8300), "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    runs = [sorted(tuple(r) for r in dartminhash.near_duplicates(docs.repartition(n)).collect()) for n in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows) - 1
+    owner = {}
+    for (i, t, _), label in ((r, c) for r in rows if r[0] is not None for c in {c for d, c, _ in runs[0] if d == r[0]}):
+        owner.setdefault((i, t), set()).add(label)
+    ones, twos = sorted(c for d, c, _ in runs[0] if d == 1), {c for d, c, _ in runs[0] if d == 2}
+    assert len(set(ones)) == 2 and len(twos) == 1 and twos < set(ones) | {2} and {c for d, c, _ in runs[0] if d == 3} < set(ones)
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in dartminhash.keep_one(docs).collect())
+    assert len(kept) == len(set(kept)) == 5 and (0, base) in kept
+    texts = {t for _, t in kept[1:]}
+    assert sum(t in texts for t in (base, edited(base, 80))) == sum(t in texts for t in (other, edited(other, 90))) == 1 and {prose(80, 8300), prose(80, 8400)} <= texts
+
+
+def test_a_band_of_thousands_that_are_not_similar(spark):
+    """Texts of one template: all share bands by it, few are similar; and a family that is, apart from the hub's class."""
+    head = prose(90, 8500)
+    rows = [(i, f"{head} {prose(24, 9000 + i)}") for i in range(1500)]
+    family = f"{head} {prose(60, 8600)}"
+    rows += [(2000 + i, edited(family, 140, i % 100)) for i in range(200)]
+    found = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=64).collect()}
+    assert found == classes_by_matrix(rows)
+
+
+def classes_by_matrix(rows, threshold=0.8):
+    owner, cell = weighted_cells([t for _, t in rows])
+    names, place = np.unique(cell, return_inverse=True)
+    matrix = np.zeros((len(rows), len(names)), np.float32)
+    matrix[owner, place] = 1
+    both, weight = matrix @ matrix.T, matrix.sum(1)
+    similar = both >= threshold * (weight[:, None] + weight[None] - both)
+    label = np.arange(len(rows))
+    while True:
+        low = np.where(similar, label[None], len(rows)).min(1)
+        if (low == label).all():
+            return {i: rows[k][0] for (i, _), k in zip(rows, label.tolist(), strict=True)}
+        label = low
+
+
 def test_darts_estimate_weighted_similarity():
     a = "x y z w v " * 20 + prose(200, 9)
     texts = [a, edited(a, 50), edited(a, 15), "", None, "word", LONG]
@@ -325,7 +383,7 @@ SECRETS = {
 def test_spans_equal_python_patterns(spark):
     rows = [(i, t, "b", "s", "m") for i, t in SECRETS.items()] + [(100 + i, prose(80, i), None, None, None) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, base string, spans string, __done string")
-    out = {r["doc_id"]: r for r in secrets.scan(docs).select("doc_id", secrets.joined(F.col("base"), [*secrets.KINDS, "markov"]).alias("base"), secrets.joined(F.col("spans"), [*secrets.KINDS, "markov"]).alias("spans")).collect()}
+    out = {r["doc_id"]: r for r in secrets.scan_texts(docs).select("doc_id", secrets.joined(F.col("base"), [*secrets.KINDS, "markov"]).alias("base"), secrets.joined(F.col("spans"), [*secrets.KINDS, "markov"]).alias("spans")).collect()}
     for i, t in SECRETS.items():
         assert out[i]["base"] == base_spans(t), i
         assert set(filter(None, out[i]["base"].split(","))) <= set(out[i]["spans"].split(","))
@@ -338,8 +396,42 @@ def test_spans_equal_python_patterns(spark):
     assert clean[3]["text"] is None and clean[9]["text"] == "[SECRET]"
 
 
+def test_long_keys_and_very_many_spans_take_seconds(spark):
+    draw = random.Random(4)
+    long = "".join(draw.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=500_000))
+    many = " ".join(f"é{i} token={i:08d}x" if i % 3 else f"{i:032x}" for i in range(20_000))
+    rows = [(1, f"see {long} here"), (2, many), *((10 + i, prose(60, 50_000 + i)) for i in range(20))]
+    before = time.time()
+    out = {r["doc_id"]: r for r in secrets.scan_texts(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("base", secrets.joined(F.col("base"), [*secrets.KINDS, "markov"])).withColumn("spans", secrets.joined(F.col("spans"), [*secrets.KINDS, "markov"])).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - before < 60
+    assert out[2]["base"] == base_spans(many) and out[1]["spans"] == f"markov:4:{4 + len(long)}" and clean[1] == "see [SECRET] here"
+    assert clean[2] == " ".join(f"é{i} [SECRET]" if i % 3 else "[SECRET]" for i in range(20_000))
+
+
+def test_free_spans_and_blanks_equal_brute_force(spark):
+    draw = random.Random(6)
+    rows = []
+    for i in range(60):
+        spans = [sorted((x := draw.randint(0, 9000), x + draw.randint(1, 60))) for _ in range(draw.choice([0, 1, 2, 40]))]
+        base, more = sorted((a, k % 3, b) for k, (a, b) in enumerate(spans[::2])), sorted((a, 3, b) for a, b in spans[1::2])
+        rows.append((i, prose(2500, i)[: draw.choice([9100, 12288, 9061])], base, more))
+    kind = "array<struct<start:long,kind:int,stop:long>>"
+    df = spark.createDataFrame(rows, f"id int, text string, base {kind}, more {kind}").withColumn("spans", secrets.with_free(F.col("base"), F.col("more")))
+    df = df.withColumn("out", F.when(F.size("spans") > 0, secrets.blanked(F.col("text"), F.col("spans"), "#")))
+    for r in df.collect():
+        base, more = ([tuple(x) for x in r[k]] for k in ("base", "more"))
+        spans = sorted([*base, *[m for m in more if not any(b[0] < m[2] and m[0] < b[2] for b in base)]])
+        assert [tuple(x) for x in r["spans"]] == spans
+        at, out = 0, ""
+        for a, _, b in spans:
+            out += "" if a < at else r["text"][at:a] + "#"
+            at = max(at, b)
+        assert r["out"] == (out + r["text"][at:] if spans else None)
+
+
 def test_no_documents_no_spans(nothing):
-    assert secrets.scan(nothing.drop("base")).count() == secrets.redact(nothing).count() == 0
+    assert secrets.scan_texts(nothing.drop("base")).count() == secrets.redact(nothing).count() == 0
 
 
 # 5 toxicity
@@ -386,6 +478,17 @@ def test_held_out_rows_teach_nothing(spark):
     assert toxicity.score(docs, toxicity.train(docs, labels)).collect() == toxicity.score(docs, toxicity.train(docs, flipped)).collect()
 
 
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    rows = [(i, "x" * (10 if i % 2 else 1000)) for i in range(300)] + [(3, "second text")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(300)] + [(2, 1), (None, 1), (4, None)], "doc_id long, toxic int")
+    every = toxicity.sample(docs, labels).collect()
+    assert len(every) == len({r["doc_id"] for r in every}) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(300))
+    few = toxicity.sample(docs, labels, 20, 30, 5000).collect()
+    count = Counter(r["toxic"] for r in few)
+    assert count[1] == 20 and 0 < count[0] <= 5 and {r["doc_id"] for r in few} <= {r["doc_id"] for r in every}
+
+
 def test_marginals_equal_enumeration():
     draw = np.random.default_rng(3)
     e, moves = draw.normal(size=7), draw.normal(size=(2, 2))
@@ -485,13 +588,18 @@ def test_archives_round_trip(spark, tmp_path):
 def test_payloads_larger_than_a_batch_and_repeated_rows(spark, tmp_path):
     huge = "".join(random.Random(1).choices("abcdefgh <>/", k=3_000_000))
     rows = [(1, "http://a", huge), (2, "http://b", huge + "."), (3, "http://c", "x"), (3, "http://c", "x"), (4, "http://d", "y"), (4, "http://d", "z")]
+    far = 2**60
+    rows += [(far + 1, "http://e", "v"), (far + 2, "http://f", "u")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert pages.transform(lambda p: warc.chunked(p, 10_000)).agg(F.max(F.length("bytes"))).first()[0] == 10_000
-    archives = warc.write_archives(pages, str(tmp_path), 1, chunk=10_000, archive_bytes=1_000_000)
-    assert archives.count() == 7 and archives.agg(F.sum("records")).first()[0] == 6
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    archives = warc.write_archives(pages, str(tmp_path / "a"), 1, chunk=10_000, archive_bytes=1_000_000)
+    assert archives.count() == 7 and archives.agg(F.sum("records")).first()[0] == 8
     out = warc.records(warc.read_archives(archives, chunk=5000)).collect()
     expected = sorted((i, len(t), base64.b32encode(hashlib.sha1(t.encode()).digest()).decode(), "response") for i, _, t in rows)
     assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in out) == expected
+    again = warc.records(warc.read_archives(warc.write_archives(spark.createDataFrame([(far + i, "u", "same") for i in range(4)], "page_id long, url string, html string"), str(tmp_path / "b"), 2)))
+    assert {(r["page_id"] - far, r["refers_to"] and r["refers_to"] - far) for r in again.collect()} == {(0, 3), (1, 3), (2, 3), (3, None)}
 
 
 def test_chunks_that_are_not_the_declared_payload_are_an_error():
