@@ -4,14 +4,17 @@ Every ``length``-byte window of a text has one anchor, the leftmost ``gram``-byt
 with the smallest hash, so equal windows have equal anchors at equal places; consecutive windows
 share theirs. Only suffixes at anchors are exchanged, about one in 17 bytes, and of those only
 the ones whose anchor string is in more than one document. Each shard of documents sends its
-sorted run of such suffixes (each with what stands before its anchor) front-coded. A reducer
+sorted run of such suffixes (each with what stands before its anchor, backwards) front-coded. A reducer
 merges its runs with a loser tree that keeps, for each run, the length of the prefix it has in
-common with the last suffix out, and so never compares those bytes again. Merged suffixes
-with the same anchor string are neighbours; among them the windows are told apart, and each
+common with the last suffix out, and so never compares those bytes again. Two windows are equal if
+their anchors are at the same place in them, their suffixes have so many bytes in common from the anchor on, and so many
+backwards: both are read off the common prefixes of neighbours in sorted order. Each
 shard gets back the smallest document of each of its suffixes' windows.
 
-Shards are sized by bytes, so a task holds a shard or a bucket of suffixes, never more. A string
-that very many documents share is one suffix per shard.
+A string that very many documents have in the same surroundings is one suffix per shard. An anchor string
+that is in very many different surroundings is frequent: its windows are exchanged one by one, dealt out by all
+of their bytes, so no reducer gets all that is around a frequent line. Shards and buckets grow with the
+root of the input, so that what a shard sends to a bucket stays as large (``sizes``).
 """
 
 from __future__ import annotations
@@ -57,6 +60,14 @@ class Anchors:
     def owner(self) -> np.ndarray:
         return np.searchsorted(self.starts, self.at, side="right") - 1
 
+    def one_by_one(self, chosen: np.ndarray) -> Anchors:
+        """With the chosen anchors' runs of windows taken apart: an anchor for each window of theirs."""
+        n = np.where(chosen, self.high - self.low + 1, 1)
+        of = np.repeat(np.arange(len(n)), n)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        low = self.low[of] + nth
+        return Anchors(self.first, self.data, self.starts, self.rolling, self.at[of], low, np.where(chosen[of], low, self.high[of]))
+
     def grams(self, gram: int) -> np.ndarray:
         """Keys of the anchor strings; hashed again, as their hashes are the small ones."""
         return mix64(self.rolling.of(self.at, self.at + gram), 41)
@@ -142,9 +153,22 @@ def _array(raw: bytes, dtype: type | np.dtype | str, n: int, offset: int = 0) ->
     return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
 
 
-def _all_keys(blobs: pd.Series) -> np.ndarray:
-    raws = [zstandard.decompress(b) for b in blobs]
-    return np.sort(np.concatenate([_array(r, np.uint64, len(r) // 8) for r in raws]))
+def sizes(total: int, shard_bytes: int, bucket_bytes: int, most: int = 16) -> tuple[int, int]:
+    """(shards, buckets) for so many bytes: of the given sizes up to a GB, beyond that of sizes that grow with the
+    root of the input, up to ``most`` times as large. Then what a shard sends to a bucket is about as large
+    whatever the input, and there are as many of these pieces as the input is larger."""
+    growth = min(max(1.0, (total / 1e9) ** 0.5), most)
+    return max(1, -(-total // int(shard_bytes * growth))), max(1, -(-total // int(bucket_bytes * growth)))
+
+
+def _keys_and_marks(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys, and their marks, of (n, blob)."""
+    raws = [(zstandard.decompress(b), n) for b, n in zip(frame["blob"], frame["n"], strict=True)]
+    if not raws:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    keys, marks = np.concatenate([_array(r, np.uint64, n) for r, n in raws]), np.concatenate([_array(r, bool, n, 8 * n) for r, n in raws])
+    order = np.argsort(keys)
+    return keys[order], marks[order]
 
 
 def _sort_groups(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -160,42 +184,59 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def seen_grams(length: int, gram: int, buckets: int):
-    """Shard -> its distinct anchor strings by bucket, those in two of its documents marked."""
+    """Shard -> its distinct anchor strings by bucket, in how many surroundings each is (up to 127), with 128
+    added where it is in two of its documents."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         docs = frame["doc"].to_numpy(np.int64)
-        parts = [(x.grams(gram), docs[x.first + x.owner]) for x in shard_anchors(frame["text"].tolist(), length, gram)]
-        keys = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-        own = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+        parts = [(x.grams(gram), docs[x.first + x.owner], x.contexts(length)) for x in shard_anchors(frame["text"].tolist(), length, gram)]
+        if not parts or not sum(len(p[0]) for p in parts):
+            return pd.DataFrame([], columns=["bucket", "shard", "n", "blob"])
+        keys, own, context = (np.concatenate(p) for p in zip(*parts, strict=True))
         order = np.lexsort((own, keys))
-        keys, own = keys[order], own[order]
-        opens = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        ends = np.append(opens[1:], len(keys)) - 1
-        many = own[opens] != own[ends] if len(keys) else np.zeros(0, bool)
+        keys, own, context = keys[order], own[order], context[order]
+        opens = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        size = np.diff(np.append(opens, len(keys)))
+        seen = np.where(own[opens] != own[opens + size - 1], 128, 0)
+        # Surroundings are told apart only where there are several.
+        group = np.repeat(np.arange(len(opens)), size)
+        some = np.flatnonzero((size > 1)[group])
+        around = np.ones(len(opens), np.int64)
+        if len(some):
+            by = some[np.lexsort((context[some], group[some]))]
+            fresh = np.append(True, (group[by][1:] != group[by][:-1]) | (context[by][1:] != context[by][:-1]))
+            around = np.maximum(around, np.bincount(group[by], weights=fresh, minlength=len(opens)).astype(np.int64))
+        marks = (seen + np.minimum(around, 127)).astype(np.uint8)
         keys = keys[opens]
-        out = [(b, int(frame["shard"].iloc[0]), len(at), _squeeze(keys[at], many[at])) for b, at in _sort_groups(_bucket(keys, buckets))]
+        out = [(b, int(frame["shard"].iloc[0]), len(at), _squeeze(keys[at], marks[at])) for b, at in _sort_groups(_bucket(keys, buckets))]
         return pd.DataFrame(out, columns=["bucket", "shard", "n", "blob"])
 
     return run
 
 
-def shared_grams(frame: pd.DataFrame) -> pd.DataFrame:
-    """Bucket -> for each shard those of its strings that more than one document has."""
-    keys, many, shard = [], [], []
-    for x in frame.itertuples(index=False):
-        raw = zstandard.decompress(x.blob)
-        keys.append(_array(raw, np.uint64, x.n))
-        many.append(_array(raw, bool, x.n, 8 * x.n))
-        shard.append(np.full(x.n, x.shard, np.int32))
-    keys, many, shard = np.concatenate(keys), np.concatenate(many), np.concatenate(shard)
-    order = np.argsort(keys, kind="stable")
-    keys, many, shard = keys[order], many[order], shard[order]
-    same = keys[1:] == keys[:-1]
-    kept = many.copy()
-    kept[1:] |= same
-    kept[:-1] |= same
-    out = [(s, _squeeze(keys[kept][at])) for s, at in _sort_groups(shard[kept].astype(np.int64))]
-    return pd.DataFrame(out, columns=["shard", "blob"])
+def shared_grams(frequent: int):
+    """Bucket -> for each shard those of its strings that more than one document has, with a mark where they are
+    in more than ``frequent`` surroundings."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        keys, marks, shard = [], [], []
+        for x in frame.itertuples(index=False):
+            raw = zstandard.decompress(x.blob)
+            keys.append(_array(raw, np.uint64, x.n))
+            marks.append(_array(raw, np.uint8, x.n, 8 * x.n))
+            shard.append(np.full(x.n, x.shard, np.int32))
+        keys, marks, shard = np.concatenate(keys), np.concatenate(marks), np.concatenate(shard)
+        order = np.argsort(keys, kind="stable")
+        keys, marks, shard = keys[order], marks[order], shard[order]
+        opens = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        size = np.diff(np.append(opens, len(keys)))
+        around = np.add.reduceat((marks & 127).astype(np.int64), opens)
+        kept = np.repeat(size > 1, size) | (marks >= 128)
+        hot = np.repeat(around > frequent, size)
+        out = [(s, len(at), _squeeze(keys[kept][at], hot[kept][at])) for s, at in _sort_groups(shard[kept].astype(np.int64))]
+        return pd.DataFrame(out, columns=["shard", "n", "blob"])
+
+    return run
 
 
 def front_coded(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,24 +263,32 @@ def decoded(lcp: np.ndarray, sizes: np.ndarray, rest: np.ndarray, width: int) ->
 
 
 def sorted_runs(length: int, gram: int, buckets: int):
-    """Shard and its shared strings -> its suffixes at them as one sorted run for each bucket.
+    """Shard and its shared strings -> its suffixes at them as one sorted run for each bucket (kind 1), and its
+    frequent strings, which it gets back with the rest (kind 0).
 
     A suffix is the bytes from the anchor to the end of its windows, then those before the
     anchor, backwards; of equal ones the smallest and largest document are kept."""
     width = 2 * length - gram
 
     def run(frame: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        columns = ["bucket", "shard", "n", "blob"]
+        columns = ["bucket", "shard", "n", "kind", "blob"]
         if not len(frame) or not len(shared):
             return pd.DataFrame([], columns=columns)
-        wanted = _all_keys(shared["blob"])
-        docs = frame["doc"].to_numpy(np.int64)
+        wanted, frequent = _keys_and_marks(shared)
+        docs, shard = frame["doc"].to_numpy(np.int64), int(frame["shard"].iloc[0])
         parts = []
         for x in shard_anchors(frame["text"].tolist(), length, gram):
             keys = x.grams(gram)
-            hit = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
-            at, low, high, own = x.at[hit], x.low[hit], x.high[hit], docs[x.first + x.owner[hit]]
-            context = x.contexts(length)[hit]
+            place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+            hit = np.flatnonzero(wanted[place] == keys)
+            hot, keys = frequent[place[hit]], keys[hit]
+            x = Anchors(x.first, x.data, x.starts, x.rolling, x.at[hit], x.low[hit], x.high[hit])
+            if hot.any():
+                n = np.where(hot, x.high - x.low + 1, 1)
+                x, hot, keys = x.one_by_one(hot), np.repeat(hot, n), np.repeat(keys, n)
+            at, low, high, own = x.at, x.low, x.high, docs[x.first + x.owner]
+            context = x.contexts(length)
+            keys = np.where(hot, mix64(context, 43), keys)
             order = np.lexsort((own, context))
             opens = np.flatnonzero(np.append(True, context[order][1:] != context[order][:-1])) if len(order) else np.zeros(0, np.int64)
             if not len(opens):
@@ -251,7 +300,7 @@ def sorted_runs(length: int, gram: int, buckets: int):
             for j in range(width):  # by column: no index array as large as the matrix
                 source = np.where(j < right, at[one] + j, at[one] - 1 - (j - right))
                 rows[:, j] = np.where(j < right + left, x.data[np.clip(source, 0, len(x.data) - 1)], 0)
-            parts.append((keys[hit][one], rows, right.astype(np.uint8), left.astype(np.uint8), least, most, context[one]))
+            parts.append((keys[one], rows, right.astype(np.uint8), left.astype(np.uint8), least, most, context[one]))
         if not parts:
             return pd.DataFrame([], columns=columns)
         keys, rows, right, left, least, most, context = (np.concatenate(p) for p in zip(*parts, strict=True))
@@ -269,7 +318,9 @@ def sorted_runs(length: int, gram: int, buckets: int):
             at = at[opens]
             sizes = right[at].astype(np.int64) + left[at]
             lcp, rest = front_coded(rows[at], sizes)
-            out.append((b, int(frame["shard"].iloc[0]), len(at), _squeeze(lo, hi, right[at], left[at], lcp, rest)))
+            out.append((b, shard, len(at), 1, _squeeze(lo, hi, right[at], left[at], lcp, rest)))
+        if frequent.any():
+            out.append((shard % buckets, shard, int(frequent.sum()), 0, _squeeze(wanted[frequent])))
         return pd.DataFrame(out, columns=columns)
 
     return run
@@ -338,12 +389,51 @@ def _ints(rows: np.ndarray) -> list[int]:
     return [int.from_bytes(raw[i : i + width], "big") for i in range(0, len(raw), width)]
 
 
+def smallest_of_equal(common: np.ndarray, rows: np.ndarray, right: np.ndarray, left: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first window of each suffix, the smallest ``least`` of each window's equals) of distinct suffixes in sorted order, each
+    with the length of the prefix it has in common with the one before.
+
+    Windows with their anchor at place o agree from the anchor on where no common prefix between
+    their suffixes is shorter than length - o, and before it where, in the order of what is backwards from the anchor,
+    none is shorter than o. Both are numbers of runs, so no bytes and no hashes of windows are compared."""
+    n = len(rows)
+    windows = right + left - length + 1
+    starts = np.concatenate(([0], np.cumsum(windows)))
+    out = np.zeros(starts[-1], np.int64)
+    back = np.zeros((n, -(-int(left.max(initial=0)) // 8) * 8 or 8), np.uint8)
+    line = np.arange(n)
+    for j in range(int(left.max(initial=0))):
+        back[:, j] = np.where(j < left, rows[line, np.minimum(right + j, rows.shape[1] - 1)], 0)
+    order = np.lexsort((left, *back.view(">u8").T[::-1]))
+    sorted_back = back[order]
+    differ = sorted_back[1:] != sorted_back[:-1]
+    shared = np.where(differ.any(1), differ.argmax(1), back.shape[1])
+    for o in range(int(left.max(initial=0)) + 1):
+        own = np.flatnonzero((left >= o) & (right >= length - o))
+        if not len(own):
+            continue
+        ahead = np.cumsum(common < length - o)
+        behind = np.empty(n, np.int64)
+        behind[order] = np.concatenate(([0], np.cumsum(shared < o)))
+        key = ahead[own] * np.int64(n + 1) + behind[own]
+        by = np.argsort(key, kind="stable")
+        edges = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
+        found = np.repeat(np.minimum.reduceat(least[own][by], edges), np.diff(np.append(edges, len(by))))
+        out[starts[own[by]] + left[own[by]] - o] = found
+    return starts, out
+
+
 def merged_windows(length: int, gram: int):
-    """Bucket -> for each shard, the smallest document of each window of its suffixes."""
+    """Bucket -> for each shard, the smallest document of each window of its suffixes (kind 1); its frequent
+    strings as they are (kind 0)."""
     width = 2 * length - gram
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        runs = []
+        runs, columns = [], ["shard", "n", "runs", "kind", "blob"]
+        out = [(x.shard, x.n, 0, 0, x.blob) for x in frame[frame["kind"] == 0].itertuples(index=False)]
+        frame = frame[frame["kind"] == 1]
+        if not len(frame):
+            return pd.DataFrame(out, columns=columns)
         for x in frame.sort_values("shard").itertuples(index=False):
             raw, n = zstandard.decompress(x.blob), x.n
             lo, hi = _array(raw, np.int64, n), _array(raw, np.int64, n, 8 * n)
@@ -367,36 +457,25 @@ def merged_windows(length: int, gram: int):
         opens = np.flatnonzero(np.append(True, common[1:] < width + 2))  # distinct suffixes
         which = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(at))))
         least = np.minimum.reduceat(lo, opens)
-        group = np.cumsum(np.append(True, common[1:] < gram))[opens]
         one = rows[opens]
         right, left = one[:, width].astype(np.int64), one[:, width + 1].astype(np.int64)
-        # The bytes of each suffix's windows in order, one after another.
-        sizes = right + left
-        line, straight = np.arange(len(one)), np.zeros((len(one), width), np.uint8)
+        # Between distinct suffixes the common prefix is the least since the one before.
+        starts, smallest = smallest_of_equal(common[opens], one[:, :width], right, left, least, length)
+        windows = np.diff(starts)
+        nth = np.arange(starts[-1]) - np.repeat(starts[:-1], windows)
+        # The bytes of each suffix's windows in order, one after another, to name it by.
+        size, line, straight = right + left, np.arange(len(one)), np.zeros((len(one), width), np.uint8)
         for j in range(width):
-            straight[:, j] = one[line, np.clip(np.where(j < left, sizes - 1 - j, j - left), 0, width - 1)]
-        text = straight[np.arange(width) < sizes[:, None]]
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        windows = sizes - length + 1
-        owner = np.repeat(np.arange(len(opens)), windows)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        rolling = Rolling(text)
-        begin = starts[owner] + nth
-        # Equal windows have the same anchor string at the same place; within those, by hash.
-        key = mix64(rolling.of(begin, begin + length) + mix64(group[owner].astype(np.uint64) * np.uint64(64) + (left[owner] - nth).astype(np.uint64), 31), 32)
-        by = np.argsort(key, kind="stable")
-        edges = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
-        smallest = np.empty(len(by), np.int64)
-        smallest[by] = np.repeat(np.minimum.reduceat(least[owner][by], edges), np.diff(np.append(edges, len(by))))
-        context = mix64(rolling.of(starts[:-1], starts[1:]) + left.astype(np.uint64), 21)
+            straight[:, j] = one[line, np.clip(np.where(j < left, size - 1 - j, j - left), 0, width - 1)]
+        rolling, ends = Rolling(straight[np.arange(width) < size[:, None]]), np.concatenate(([0], np.cumsum(size)))
+        context = mix64(rolling.of(ends[:-1], ends[1:]) + left.astype(np.uint64), 21)
         # Runs of windows with the same smallest document.
         opens_run = np.append(True, (smallest[1:] != smallest[:-1]) | (nth[1:] == 0))
         first_run = np.flatnonzero(opens_run)
         run_size, run_doc = np.diff(np.append(first_run, len(smallest))), smallest[first_run]
-        run_at = np.searchsorted(first_run, np.concatenate(([0], np.cumsum(windows))))
-        lowest = np.minimum.reduceat(smallest, np.concatenate(([0], np.cumsum(windows)[:-1])))
+        run_at = np.searchsorted(first_run, starts)
+        lowest = np.minimum.reduceat(smallest, starts[:-1])
         useful = lowest[which] < hi
-        out = []
         for s, pick in _sort_groups(np.where(useful, shard, -1).astype(np.int64)):
             if s < 0:
                 continue
@@ -404,8 +483,8 @@ def merged_windows(length: int, gram: int):
             counts = run_at[ids + 1] - run_at[ids]
             runs_of = np.repeat(run_at[ids], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             blob = _squeeze(context[ids], counts.astype(np.uint8), run_size[runs_of].astype(np.uint8), run_doc[runs_of])
-            out.append((s, len(ids), len(runs_of), blob))
-        return pd.DataFrame(out, columns=["shard", "n", "runs", "blob"])
+            out.append((s, len(ids), len(runs_of), 1, blob))
+        return pd.DataFrame(out, columns=columns)
 
     return run
 
@@ -415,7 +494,9 @@ def removed_spans(length: int, gram: int, with_spans: bool):
 
     def run(frame: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         contexts, counts, sizes, least = ([np.zeros(0, d)] for d in (np.uint64, np.uint8, np.uint8, np.int64))
-        for x in found.itertuples(index=False):
+        frequent = [_array(zstandard.decompress(x.blob), np.uint64, x.n) for x in found[found["kind"] == 0].itertuples(index=False)]
+        frequent = np.sort(np.concatenate(frequent)) if frequent else np.zeros(0, np.uint64)
+        for x in found[found["kind"] == 1].itertuples(index=False):
             raw, n, r = zstandard.decompress(x.blob), x.n, x.runs
             contexts.append(_array(raw, np.uint64, n))
             counts.append(_array(raw, np.uint8, n, 8 * n))
@@ -429,6 +510,9 @@ def removed_spans(length: int, gram: int, with_spans: bool):
         out = []
         for x in shard_anchors(frame["text"].tolist(), length, gram):
             mark = np.zeros(len(x.data) + 1, np.int32)
+            if len(frequent) and len(x.at):
+                keys = x.grams(gram)
+                x = x.one_by_one(frequent[np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)] == keys)
             if len(ordered) and len(x.at):
                 context = x.contexts(length)
                 place = np.minimum(np.searchsorted(ordered, context), len(ordered) - 1)
@@ -458,25 +542,26 @@ def removed_spans(length: int, gram: int, with_spans: bool):
     return run
 
 
-def repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 20, shard_bytes: int = 3_000_000, bucket_bytes: int = 6_000_000, with_spans: bool = False) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 20, shard_bytes: int = 3_000_000, bucket_bytes: int = 6_000_000, with_spans: bool = False, frequent: int = 8192, most_tasks: int = 100_000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text) without each byte that is covered by a string of
     ``length`` bytes which also starts in a document with a smaller id: n_bytes, n_removed,
     n_spans (maximal removed runs), kept_sha256; with ``with_spans`` also ``spans``, start and end
     of each run in turn. Matches don't cross documents; all are judged on the input.
 
     Null texts are empty. Rows without an id come after all others. Rows with the same id never
-    remove from each other. Equality is by 64-bit hashes among windows with the same anchor string.
+    remove from each other. Other columns are not looked at. Windows are equal by their bytes; a suffix is named
+    by 64 bits within its shard, so of 10**5 there two are taken for one with a chance of 10**-9 or so.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards, buckets = max(1, -(-total // shard_bytes)), max(1, -(-total // bucket_bytes))
+    shards, buckets = sizes(total, shard_bytes, bucket_bytes)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int"))
-    dealt = rows.repartition(shards, "shard")
-    blobs = "bucket int, shard int, n int, blob binary"
-    seen = dealt.groupBy("shard").applyInPandas(seen_grams(length, gram, buckets), blobs)
-    shared = seen.groupBy("bucket").applyInPandas(shared_grams, "shard int, blob binary")
-    runs = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(sorted_runs(length, gram, buckets), blobs)
-    windows = runs.groupBy("bucket").applyInPandas(merged_windows(length, gram), "shard int, n int, runs int, blob binary")
+    dealt = rows.repartition(min(shards, most_tasks), "shard")
+    blobs = "bucket int, shard int, n int, {}blob binary"
+    seen = dealt.groupBy("shard").applyInPandas(seen_grams(length, gram, buckets), blobs.format(""))
+    shared = seen.groupBy("bucket").applyInPandas(shared_grams(frequent), "shard int, n int, blob binary")
+    runs = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(sorted_runs(length, gram, buckets), blobs.format("kind int, "))
+    windows = runs.groupBy("bucket").applyInPandas(merged_windows(length, gram), "shard int, n int, runs int, kind int, blob binary")
     schema = ROW + (", spans array<long>" if with_spans else "")
     return dealt.groupBy("shard").cogroup(windows.groupBy("shard")).applyInPandas(removed_spans(length, gram, with_spans), schema)
 
