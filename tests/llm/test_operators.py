@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,10 +136,10 @@ def without_repeats(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("shard_bytes", [10**7, 700])
-def test_repeated_bytes_equal_brute_force(spark, docs, nothing, shard_bytes):
+@pytest.mark.parametrize(("shard_bytes", "frequent"), [(10**7, 8192), (700, 8192), (700, 1), (10**7, 0)])
+def test_repeated_bytes_equal_brute_force(spark, docs, nothing, shard_bytes, frequent):
     expected = without_repeats(TEXTS.items())
-    rows = suffixes.repeated_bytes(docs, shard_bytes=shard_bytes, bucket_bytes=2000).collect()
+    rows = suffixes.repeated_bytes(docs, shard_bytes=shard_bytes, bucket_bytes=2000, frequent=frequent).collect()
     assert len(rows) == len(TEXTS) + 2
     for r in rows:
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == expected[r["doc_id"]], r["doc_id"]
@@ -147,6 +148,55 @@ def test_repeated_bytes_equal_brute_force(spark, docs, nothing, shard_bytes):
     assert suffixes.repeated_bytes(nothing).count() == 0
 
 
+def test_a_frequent_line_is_spread_over_all_buckets(spark):
+    line, draw = "This work is licensed under the terms of a very common licence, see below.", random.Random(9)
+    rows = [(i, f"{prose(12, 60_000 + i)} {line} {prose(12, 61_000 + i)}") for i in range(400)]
+    rows += [(1000 + i, f"{prose(5, 62_000 + i)} {rows[draw.randrange(400)][1][30:140]}") for i in range(60)]
+    expected = without_repeats(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for frequent in (10, 10**6):
+        out = suffixes.repeated_bytes(docs, shard_bytes=9000, bucket_bytes=4000, frequent=frequent).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == expected
+    frames = [pd.DataFrame({"doc": [i for i, _ in own], "text": [t for _, t in own], "shard": k}) for k, own in enumerate(rows[n::8] for n in range(8))]
+    largest = {}
+    for frequent in (10, 10**6):
+        seen = pd.concat([suffixes.seen_grams(50, 20, 16)(f) for f in frames])
+        shared = pd.concat([suffixes.shared_grams(frequent)(g) for _, g in seen.groupby("bucket")])
+        runs = pd.concat([suffixes.sorted_runs(50, 20, 16)(f, shared[shared["shard"] == k]) for k, f in enumerate(frames)])
+        n = runs[runs["kind"] == 1].groupby("bucket")["n"].sum()
+        largest[frequent] = n.max() / n.sum()
+    assert largest[10] < 2 / 16 < 3 / 16 < largest[10**6]
+
+
+def test_windows_are_equal_by_order(spark):
+    draw = random.Random(5)
+    runs = {(bytes(draw.choices(b"ab", k=draw.randint(5, 8))), bytes(draw.choices(b"ab", k=draw.randint(0, 4)))) for _ in range(300)}
+    whole = sorted((r + b, len(r), len(b)) for r, b in runs if len(r) + len(b) >= 8)
+    rows = np.zeros((len(whole), 14), np.uint8)
+    for k, (t, _, _) in enumerate(whole):
+        rows[k, : len(t)] = list(t)
+    order = sorted(range(len(whole)), key=lambda k: (rows[k].tobytes(), whole[k][1:]))
+    rows, whole = rows[order], [whole[k] for k in order]
+    common = np.array([0] + [next((j for j in range(14) if a[j] != b[j]), 14) for a, b in zip(rows, rows[1:], strict=False)])
+    right, left, least = np.array([w[1] for w in whole]), np.array([w[2] for w in whole]), np.arange(len(whole))[::-1].copy()
+    starts, found = suffixes.smallest_of_equal(common, rows, right, left, least, 8)
+    smallest, windows = {}, []
+    for k, (t, r, n) in enumerate(whole):
+        for w in range(r + n - 8 + 1):
+            o = n - w
+            windows.append((k, (o, t[: 8 - o], t[r : r + o])))
+            smallest[windows[-1][1]] = min(smallest.get(windows[-1][1], 10**9), least[k])
+    assert starts.tolist() == np.cumsum([0] + [r + n - 7 for _, r, n in whole]).tolist()
+    assert found.tolist() == [smallest[key] for _, key in windows]
+
+
+def test_sizes_grow_with_the_root_of_the_input():
+    assert suffixes.sizes(0, 3, 6) == (1, 1) and suffixes.sizes(9 * 10**8, 3 * 10**6, 6 * 10**6) == (300, 150)
+    for total in (10**9, 10**10, 10**11):
+        shards, buckets = suffixes.sizes(total, 3 * 10**6, 6 * 10**6)
+        assert total / (shards * buckets) == pytest.approx(18_000, rel=0.02)
+
+
 def test_documents_without_an_id_come_last(spark):
     rows = suffixes.repeated_bytes(spark.createDataFrame([(None, A), (5, A)], "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["n_removed"] for r in rows} == {None: len(A), 5: 0}
@@ -261,6 +311,56 @@ def test_copies_point_to_the_first_and_texts_of_one_id_are_documents(spark):
     assert not {4, 5} & {i for f in found for i in (f[0], f[3])}
 
 
+def connected(nodes, pairs):
+    label = {n: n for n in nodes}
+
+    def root(v):
+        while label[v] != v:
+            v = label[v]
+        return v
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        label[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+@pytest.mark.parametrize("shard_bytes", [10**7, 9000])
+def test_every_link_of_families_of_edited_copies_is_kept(spark, shard_bytes):
+    """All pairs of similar texts by brute force: each text with one has a link, and links connect what they connect."""
+    draw, rows = random.Random(2), []
+    for family in range(3):
+        base = prose(150, 70_000 + family).split()
+        for _ in range(80):
+            words = list(base)
+            for _ in range(draw.randint(1, 4)):
+                words[draw.randrange(150)] = f"e{draw.random()}"
+            rows.append(" ".join(words))
+    draw.shuffle(rows)
+    rows = list(enumerate(rows))
+    sets = {i: set(passages.shingle_hashes([t], 5)[1].tolist()) for i, t in rows}
+    truth = {(b, a) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=shard_bytes).collect()
+    found = {(r["doc_id"], r["other_id"]) for r in out}
+    part = connected(sets, found)
+    assert len(truth) > 500 and {i for p in truth for i in p} <= {i for p in found for i in p} and all(part[a] == part[b] for a, b in truth)
+
+
+def test_pairs_are_verified_in_rounds_as_one_by_one():
+    draw, sides = np.random.default_rng(4), []
+    for _ in range(60):
+        a = draw.integers(0, 10**6, draw.integers(46, 400)).astype(np.uint32)
+        b = a.copy()
+        b[draw.integers(0, len(b), draw.integers(0, 30))] = 7
+        sides.append((a, np.concatenate((b[: len(b) // 2], draw.integers(0, 10**6, draw.integers(0, 90)).astype(np.uint32), b[len(b) // 2 :]))))
+    together = passages.all_verified(sides, 0.8, 46)
+    assert together == [passages.verified(a, b, 0.8, 46) for a, b in sides] and sum(map(len, together)) > 30
+    for (a, b), own in zip(sides, together, strict=True):
+        for value, p, q, u, v in own:
+            x, y = set(a[p : q + 1].tolist()), set(b[u : v + 1].tolist())
+            assert value == pytest.approx(len(x & y) / len(x | y)) and value >= 0.8 and min(q - p, v - u) >= 45
+
+
 def test_passages_with_an_insertion_are_found(spark):
     rows = []
     for i, (n, more) in enumerate([(80, 8), (88, 10), (72, 7), (90, 12)] * 12):
