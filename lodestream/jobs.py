@@ -170,5 +170,9 @@ def main(arguments: list[str], spark: SparkSession | None = None) -> int:
     return 0
 
 
+def console() -> int:
+    return main(sys.argv[1:])
+
+
 if __name__ == "__main__":
-    sys.exit(main(sys.argv[1:]))
+    sys.exit(console())

@@ -19,6 +19,18 @@ def ticked(elements: DataFrame, size: int) -> DataFrame:
     return elements.withColumn("tick", F.floor((F.col("seq") - 1) / size))
 
 
+def running_share(by_tick: DataFrame, part: str, whole: str, block: int = 4096) -> DataFrame:
+    """(tick, share): the sum of ``part`` by that of ``whole`` over all ticks up to each. Blocks of ticks are summed
+    by themselves and then shifted by those before, a table of one row per block."""
+    placed = by_tick.withColumn("block", F.floor(F.col("tick") / block))
+    before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    base = placed.groupBy("block").agg(F.sum(part).alias("p"), F.sum(whole).alias("w"))
+    base = base.select("block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("p", "w")])
+    upto = W.partitionBy("block").orderBy("tick").rowsBetween(W.unboundedPreceding, 0)
+    summed = placed.withColumns({"own_p": F.sum(part).over(upto), "own_w": F.sum(whole).over(upto)}).join(base, "block")
+    return summed.select("tick", ((F.col("own_p") + F.col("p")) / F.nullif(F.col("own_w") + F.col("w"), F.lit(0))).alias("share"))
+
+
 def bloom_first_seen(elements: DataFrame, family: HashFamily) -> DataFrame:
     """(element, first, false_positive): when each distinct element came first, and whether a Bloom
     filter fed with all before it said it had come already, which is when each of its bits had been
@@ -32,12 +44,11 @@ def bloom_first_seen(elements: DataFrame, family: HashFamily) -> DataFrame:
 
 def bloom_rates(elements: DataFrame, size: int, family: HashFamily) -> DataFrame:
     """(tick, fpr): after each tick, the share of first occurrences so far that the filter took for
-    repeats. One row per tick goes through the running sum."""
+    repeats."""
     first = ticked(bloom_first_seen(elements, family).withColumnRenamed("first", "seq"), size)
     by_tick = first.groupBy("tick").agg(F.count_if("false_positive").alias("fp"), F.count(F.lit(1)).alias("n"))
     ticks = ticked(elements, size).select("tick").distinct().join(by_tick, "tick", "left").fillna(0, ["fp", "n"])
-    upto = W.orderBy("tick").rowsBetween(W.unboundedPreceding, 0)
-    return ticks.select("tick", (F.sum("fp").over(upto) / F.nullif(F.sum("n").over(upto), F.lit(0))).alias("fpr"))
+    return running_share(ticks, "fp", "n").withColumnRenamed("share", "fpr")
 
 
 def flajolet_martin(elements: DataFrame, size: int, family: HashFamily, groups: int = 3) -> DataFrame:
@@ -92,7 +103,7 @@ def reservoir_snapshots(elements: DataFrame, size: int, slots: int = 100, shown:
     Only entries of those slots are looked at, about a logarithm of the stream's length each."""
     ends = ticked(elements, size).groupBy("tick").agg(F.max("seq").alias("seqnum")).where(F.col("seqnum") % slots == 0).select("seqnum")
     placed = reservoir_placed(elements, slots).where(F.col("slot").isin(*shown))
-    # One row per slot with all entries in order, and the last one at each end by a look back.
-    per_end = ends.join(placed, F.col("seq") <= F.col("seqnum")).groupBy("seqnum", "slot").agg(F.max_by("element", "seq").alias("element"))
+    # A slot is entered about ln(n / slots) times in a stream of n: a broadcast that stays small.
+    per_end = ends.join(F.broadcast(placed), F.col("seq") <= F.col("seqnum")).groupBy("seqnum", "slot").agg(F.max_by("element", "seq").alias("element"))
     held = [F.max(F.when(F.col("slot") == s, F.col("element"))).alias(f"s{s}") for s in shown]
     return per_end.groupBy("seqnum").agg(*held)

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.hashing import HashFamily, hashed
 from ..functions.lineage import cut
+from .sketches import running_share
 
 FIRSTS, BITS, COUNTS = "element string, first long", "bit long, set_at long", "tick long, fp long, n long"
 
@@ -46,6 +46,5 @@ class BloomTable:
 
     def rates(self, spark: SparkSession) -> DataFrame:
         """(tick, fpr): after each tick, the share of first occurrences so far that the filter took for repeats."""
-        upto = W.orderBy("tick").rowsBetween(W.unboundedPreceding, 0)
         counts = self._read(spark, "counts", COUNTS).groupBy("tick").agg(F.sum("fp").alias("fp"), F.sum("n").alias("n"))
-        return counts.select("tick", (F.sum("fp").over(upto) / F.nullif(F.sum("n").over(upto), F.lit(0))).alias("fpr"))
+        return running_share(counts, "fp", "n").withColumnRenamed("share", "fpr")

@@ -44,6 +44,47 @@ def test_trees_beat_the_mean(spark):
     assert rmse(F.col("model")) < 0.7 * rmse(F.lit(mean))
 
 
+def test_grid_search_finds_the_deeper_trees(spark):
+    draw = random.Random(3)
+    rows = [(i, float((x > 2) + (x > 4) * 2 + (x > 6) * 3 + (x > 8) * 5), x) for i, x in ((i, draw.uniform(0, 10)) for i in range(200))]
+    df = spark.createDataFrame(rows, "user long, rating double, f double").coalesce(1)
+    found = X.search_gbt(df, ["f"], rates=(0.1,), depths=(1, 3), samples=(1.0,), trees=2, folds=2)
+    assert len(found.avgMetrics) == 2 and found.avgMetrics[1] < found.avgMetrics[0]
+    assert found.bestModel.stages[-1].getMaxDepth() == 3 and X.predict_gbt(found.bestModel, df, ["f"]).where("model IS NULL").isEmpty()
+
+
+def test_nearest_cluster_is_the_same_in_blocks(spark):
+    draw = random.Random(8)
+    points = spark.createDataFrame([(i, i % 30, [draw.gauss(i % 30, 1), draw.gauss(0, 1)]) for i in range(300)], "id long, cluster int, features array<double>")
+    s = C.summaries(points).cache()
+    assert sorted(C.nearest_within(points.drop("cluster"), s).collect()) == sorted(C.nearest_within(points.drop("cluster"), s, most=7).collect())
+
+
+def test_reclustered_points_go_to_a_near_compression_cluster(spark, monkeypatch):
+    near = [(i, [100.0 + i % 3, 50.0 + i % 2]) for i in range(6)]
+    state = C.BFR(2)
+    points = lambda rows: spark.createDataFrame(rows, "id long, features array<double>")
+    monkeypatch.setattr(C, "k_means", lambda own, k, seed: own.withColumn("cluster", F.lit(0)))
+    state._recluster(points(near))
+    assert (state.compressed.count(), state.small.count()) == (1, 6)
+    state._recluster(points([(10, [101.0, 50.5]), (11, [500.0, 1.0]), (12, [501.0, 2.0])]))
+    assert state.compressed.count() == 2 and state.retained.count() == 0
+    names = {r["id"]: r["cluster"] for r in state.small.collect()}
+    assert names[10] == names[0] != names[11] == names[12] and state.compressed.agg(F.sum("n")).first()[0] == 9
+
+
+def test_merging_keeps_every_point_and_fewer_small_clusters(spark):
+    draw = random.Random(6)
+    rows = [(i, [draw.gauss(10 * (i % 3), 1), draw.gauss(0, 1)]) for i in range(240)] + [(1000 + i, [90 + draw.gauss(0, 8), draw.gauss(90, 8)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, features array<double>")
+    plain, merged = C.bfr(df, 3, rounds=3), C.bfr(df, 3, rounds=3, merge=True)
+    for labels, rounds in (plain, merged):
+        last = rounds.orderBy("round").collect()[-1]
+        assert labels.count() == labels.select("id").distinct().count() == 280 == last["ds_points"] + last["cs_points"] + last["rs_points"]
+    clusters = [r.orderBy("round").collect()[-1]["cs_clusters"] for _, r in (plain, merged)]
+    assert clusters[1] <= clusters[0]
+
+
 def test_distance_gate_is_strict_and_needs_variance(spark):
     points = spark.createDataFrame([(1, 0, [0.0, 0.0]), (2, 0, [2.0, 2.0]), (3, 1, [5.0, 5.0]), (4, 1, [5.0, 7.0])], "id long, cluster int, features array<double>")
     s = C.summaries(points)

@@ -64,3 +64,12 @@ def test_size_filter_counts_repeats_and_normalises(spark):
 def test_local_itemsets(support):
     baskets = [["a", "b", "c"], ["a", "b"], ["c"]]
     assert set(I.local_itemsets(baskets, support)) == set(brute(baskets, support))
+
+
+def test_very_many_small_partitions_make_no_more_candidates(spark):
+    rows = [(str(i), sorted({"a", "b", f"x{i % 50}"})) for i in range(600)] + [("long", [f"y{k:02d}" for k in range(16)])]
+    b = spark.createDataFrame(rows, "basket string, items array<string>").repartition(300)
+    candidates = I.son_candidates(b, 0.03)
+    assert candidates.count() < 400 and got(I.son_itemsets(b, 0.03)) == brute([r[1] for r in rows[:-1]], 0.03 * 601)
+    chunked = I.son_candidates(b, 0.5, chunk=20, least=2)
+    assert {tuple(r["itemset"]) for r in chunked.collect()} >= {("a",), ("b",), ("a", "b")}

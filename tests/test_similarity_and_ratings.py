@@ -93,6 +93,19 @@ def test_predictions_equal_a_plain_computation(spark):
     assert min(sizes) < 10 <= max(sizes)  # both rules for negative weights are met
 
 
+def test_an_item_can_be_kept_from_its_own_neighbours_and_predictions_clipped(spark):
+    draw = random.Random(5)
+    train = sorted({(f"u{draw.randrange(9)}", f"i{draw.randrange(9)}"): (f"u{0}", "", 0.0) for _ in range(70)})
+    train = [(u, i, float(draw.randint(1, 5))) for u, i in train]
+    asked = spark.createDataFrame([(u, i) for u, i, _ in train[:25]] + [("u1", "i8")], "user string, item string")
+    plain = {(r["user"], r["item"]): r["n"] for r in R.predict_item_cf(ratings(spark, train), asked).collect()}
+    other = {(r["user"], r["item"]): r["n"] for r in R.predict_item_cf(ratings(spark, train), asked, exclude_self=True).collect()}
+    rated = {(u, i) for u, i, _ in train}
+    assert other == {k: n - (k in rated) for k, n in plain.items()}
+    clipped = [r["prediction"] for r in R.predict_item_cf(ratings(spark, train), asked, clip=(2.5, 3.0)).collect()]
+    assert len(clipped) == len(plain) and all(2.5 <= p <= 3.0 for p in clipped)
+
+
 def test_blends(spark):
     cf = spark.createDataFrame([("u", "a", 5.0, 20), ("u", "b", 5.0, 21), ("v", "a", 5.0, 3), ("v", "b", 5.0, 0)], "user string, item string, prediction double, n long")
     model = cf.select("user", "item", F.lit(1.0).alias("model"))
