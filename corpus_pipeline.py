@@ -55,14 +55,19 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``. What lies between two stages is removed once
-    the next has been written; the last result stays in the shared folder."""
+    the next has been written, and all of it should a stage fail; the last result stays in the shared
+    folder for whoever reads it."""
     docs, before = read(spark, sf_dir, "documents"), None
     top = f"{shared_dir(spark)}/pipeline-{uuid4().hex}"
-    for name, stage in STAGES:
-        path = f"{top}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before:
-            remove(spark, before)
-        before = path
+    try:
+        for name, stage in STAGES:
+            path = f"{top}/{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
+    except BaseException:
+        remove(spark, top)
+        raise
     return docs

@@ -496,6 +496,31 @@ def test_spans_equal_python_patterns(spark):
     assert clean[3]["text"] is None and clean[9]["text"] == "[SECRET]"
 
 
+def keys_and_names(n, seed):
+    """Strings made at random that the patterns don't name, and ordinary names with digits in them."""
+    draw, letters = random.Random(seed), "abcdefghijklmnopqrstuvwxyz"
+    alphabets = [letters + letters.upper() + "0123456789+/", letters + letters.upper() + "0123456789", "0123456789ABCDEF", letters + "0123456789"]
+    keys = ["".join(draw.choices(draw.choice(alphabets), k=draw.randint(24, 44))) for _ in range(n)]
+    word = lambda: draw.choice(WORDS)
+    shapes = [
+        lambda: f"{word()}_{word()}_{word()}_{draw.randint(1, 2030)}_{word()}", lambda: f"20{draw.randint(10, 29)}-{draw.randint(10, 12)}-{draw.randint(10, 28)}T{draw.randint(10, 23)}-{draw.randint(10, 59)}-{draw.randint(10, 59)}",
+        lambda: f"articles/20{draw.randint(10, 29)}/{draw.randint(10, 12)}/{word()}-{word()}-{word()}", lambda: "".join(word().title() for _ in range(4)) + str(draw.randint(1, 99)), lambda: f"{word()}-{word()}-v{draw.randint(1, 9)}-{word()}-{draw.randint(1, 99)}",
+    ]
+    names = [draw.choice(shapes)() for _ in range(n)]
+    usable = lambda w: len(w) >= 16 and re.search("[0-9]", w) and re.search("[A-Za-z]", w)
+    return [k for k in keys if usable(k)], [w for w in names if usable(w)]
+
+
+def test_added_spans_are_keys_and_not_names(spark):
+    keys, names = keys_and_names(500, 12)
+    rows = [(i, f"{prose(3, i)} {w} {prose(3, 90_000 + i)}") for i, w in enumerate([*keys, *names])]
+    rows += [(5000 + i, prose(200, 91_000 + i)) for i in range(60)]
+    out = {r["doc_id"]: r["n"] for r in secrets.scan_texts(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.size("spans").alias("n")).collect()}
+    found, wrong = sum(out[i] > 0 for i in range(len(keys))) / len(keys), sum(out[len(keys) + i] > 0 for i in range(len(names))) / len(names)
+    print(f"keys found {found:.3f}, names taken for keys {wrong:.3f}")
+    assert found >= 0.95 and wrong <= 0.02 and not any(out[5000 + i] for i in range(60))
+
+
 def test_long_keys_and_very_many_spans_take_seconds(spark):
     draw = random.Random(4)
     long = "".join(draw.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=500_000))
