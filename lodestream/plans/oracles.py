@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.similarity import minhash_params
-from .registry import BLOOM, EDGE, FM, PAIR_SHARE, PATH_EDGE, SET_SHARE, TICK
+from .registry import BLOOM, EDGE, FM, PAIR_SHARE, PATH_EDGE, SET_SHARE, SPLIT_EDGE, TICK
 
 SALES = "sales AS (SELECT l_orderkey, l_partkey, l_quantity, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey)"
 PAIRS = "basket_items AS (SELECT DISTINCT l_orderkey AS b, p_brand AS i FROM sales), n_baskets AS (SELECT count(DISTINCT b) AS n FROM basket_items)"
@@ -27,11 +27,11 @@ kept AS (SELECT x.c AS src, y.c AS dst, count(*) AS weight FROM bought x JOIN bo
 e AS MATERIALIZED (SELECT src, dst FROM kept UNION ALL SELECT dst, src FROM kept)"""
 
 
-def propagated(rounds: int) -> str:
+def propagated(rounds: int, least: int = EDGE) -> str:
     steps = ["l0 AS (SELECT DISTINCT src AS id, src AS label FROM e)"]
     for i in range(rounds):
         steps.append(f"l{i + 1} AS MATERIALIZED (SELECT id, label FROM (SELECT dst AS id, label, row_number() OVER (PARTITION BY dst ORDER BY count(*) DESC, label) AS r FROM e JOIN l{i} ON e.src = l{i}.id GROUP BY dst, label) WHERE r = 1)")
-    return f"WITH {graph(EDGE)}, {', '.join(steps)}"
+    return f"WITH {graph(least)}, {', '.join(steps)}"
 
 
 PATHS = f"""WITH RECURSIVE {graph(PATH_EDGE)},
@@ -167,3 +167,22 @@ ORACLES = {
     + ", ".join(f"max(element) FILTER (slot = {s}) AS s{s}" for s in _SHOWN)
     + " FROM held WHERE slot IN (0, 20, 40, 60, 80) GROUP BY seqnum",
 }
+
+_LINE = "'(' || '''' || replace(itemset, '|', ''', ''') || ''')'"
+ORACLES |= {
+    "files_reviews": "SELECT CAST(o_custkey AS VARCHAR) AS user_id, count(*) AS n, count(DISTINCT l_partkey) AS items FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+    "files_ratings": "SELECT item, round(avg(r), 6) AS mean, count(*) AS n FROM (SELECT l_orderkey AS u, CAST(l_suppkey AS VARCHAR) AS item, avg(1 + l_quantity % 5) AS r FROM lineitem GROUP BY 1, 2) GROUP BY item",
+    "files_transactions": ORACLES["baskets_min_size"],
+    "files_businesses": "SELECT s_name AS item, CAST(s_nationkey AS BIGINT) AS b_review_count, round(s_acctbal / 1000, 1) AS b_star, CASE WHEN s_suppkey % 4 <> 0 THEN CASE WHEN s_nationkey < 12 THEN 'free' ELSE 'no' END END AS wifi FROM supplier",
+    "files_users": 'SELECT c_name AS "user", c_custkey AS u_review_count, CAST(c_nationkey AS BIGINT) AS useful, 0::BIGINT AS funny, CASE WHEN c_custkey % 3 = 0 THEN 1::BIGINT END AS cool, c_custkey % 7 AS fans, round(c_acctbal, 2) AS u_star FROM customer',
+    "files_points": "SELECT vec_id AS id, CAST(label AS VARCHAR) AS label, CAST(len(embedding) AS BIGINT) AS n, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4))), 3) AS total FROM embeddings",
+    "files_elements": f"{STREAM} SELECT seq, element FROM stream",
+    "report_itemsets": f"SELECT 'Frequent Itemsets' AS section, length, string_agg({_LINE}, ',' ORDER BY string_split(itemset, '|')) AS line FROM ({itemsets(PAIR_SHARE)}) GROUP BY length UNION ALL SELECT 'Frequent Itemsets', 0, 'Frequent Itemsets:'",
+    "report_communities": f"SELECT '''' || members || '''' AS line FROM ({propagated(5, PATH_EDGE)} SELECT label, string_agg(CAST(id AS VARCHAR), ''', ''' ORDER BY id) AS members FROM l5 GROUP BY label)",
+    "report_betweenness": f"SELECT '(''' || src || ''', ''' || dst || '''),' || betweenness AS line FROM ({BETWEENNESS.replace(graph(PATH_EDGE), graph(SPLIT_EDGE))})",
+    "report_similar": ORACLES["jaccard_users"],
+    "missing_values": f"{RATED} SELECT 0::BIGINT AS rating, 0::BIGINT AS b_price, count(*) FILTER (u % 7 = 0) AS u_balance FROM train",
+    "stream_bloom_rates": ORACLES["bloom_rates"],
+    "stream_distinct_estimates": f"{ESTIMATES} SELECT tick, estimate FROM estimates",
+    "stream_reservoir": f"{PLACED} SELECT slot, max_by(element, seq) AS element FROM placed GROUP BY slot",
+}

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lodestream.plans import oracles, registry
+from lodestream.plans import files, oracles, registry
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{DATA}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
-    assert rows(registry.QUERIES[name](spark, DATA).toPandas()) == rows(con.execute(oracles.ORACLES[name]).df())
+    assert rows({**registry.QUERIES, **files.QUERIES}[name](spark, DATA).toPandas()) == rows(con.execute(oracles.ORACLES[name]).df())
 
 
 def test_contract(spark):
