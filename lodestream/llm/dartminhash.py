@@ -28,14 +28,14 @@ from .common import batches, cut, mix64, numbered_down, read, small_batches
 from .components import components
 from .shingles import weighted_cells
 
-#: Width of the first rank region as a power of two; each later one starts where those before end.
-_BASE = -6
+#: Width of the first rank region; each later one is as wide as those before together, up to the widest.
+_FIRST, _WIDEST = 0.5, 64.0
 
 
 def _poisson_table(mean: float) -> np.ndarray:
     """Upper ends of 64-bit hash ranges for 0, 1, 2 ... events."""
     p, total, ends, n = np.exp(-mean), 0.0, [], 0
-    while total < 1 - 1e-17 and n < 40:
+    while total < 1 - 1e-17 and n < 40 + 4 * mean:
         total += p
         ends.append(min(total, 1.0) * 2.0**64)
         n += 1
@@ -50,14 +50,14 @@ def _unit(h: np.ndarray) -> np.ndarray:
 def throw(owner: np.ndarray, cells: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, rank, dart) of all darts in the texts' unit cells with rank below the text's limit.
 
-    Rank regions are [0, 2^-6), [2^-6, 2^-5) ... ; above width 1 they are taken in strips of
-    width 1. The number of darts in a strip of a cell is Poisson with its width, drawn from the
-    hash of cell and strip, as are their ranks: the same for every text that has the cell."""
+    Rank regions are [0, 1/2), [1/2, 1), [1, 2), [2, 4) ... ; from 64 on they are as wide. The number of darts in a
+    region of a cell is Poisson with its width, drawn from the hash of cell and region, as are
+    their ranks: the same for every text that has the cell."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     low, strip = 0.0, 0
     mine = limit[owner]
     while True:
-        width = 2.0**_BASE if low == 0 else min(low, 1.0)
+        width = _FIRST if low == 0 else min(low, _WIDEST)
         alive = np.flatnonzero(mine > low)
         if not len(alive):
             break
@@ -77,6 +77,15 @@ def throw(owner: np.ndarray, cells: np.ndarray, limit: np.ndarray) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _by_place_and_rank(at: np.ndarray, rank: np.ndarray, dart: np.ndarray) -> np.ndarray:
+    """The order by place, rank, dart: by the first two as one number, unless that leaves ties."""
+    bits = 63 - int(at.max(initial=0)).bit_length()
+    key = (at.astype(np.uint64) << np.uint64(bits)) + (rank * (2.0 ** (bits - 1) / max(rank.max(initial=0.0), 1e-300))).astype(np.uint64)
+    order = np.argsort(key)
+    own = key[order]
+    return np.lexsort((dart, rank, at)) if (own[1:] == own[:-1]).any() else order
+
+
 def signatures(texts: list[str | None], k: int, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(signatures, one row of k darts per text; whether the text has any shingle)."""
     owner, cells = weighted_cells(texts, size)
@@ -88,7 +97,7 @@ def signatures(texts: list[str | None], k: int, size: int = 5) -> tuple[np.ndarr
         mine = todo[owner]
         text, rank, dart = throw(owner[mine], cells[mine], np.where(todo, limit, 0.0))
         at = text * k + (mix64(dart, 6) % np.uint64(k)).astype(np.int64)
-        order = np.lexsort((dart, rank, at))
+        order = _by_place_and_rank(at, rank, dart)
         at, dart = at[order], dart[order]
         first = np.ones(len(at), bool)
         first[1:] = at[1:] != at[:-1]
@@ -276,7 +285,11 @@ def _classes(docs: DataFrame, threshold: float, size: int, bands: int, rows: int
     if not mixed.isEmpty():
         labels = components(links.unionByName(_settled(mixed, cells, threshold, block, block_bytes)))
     found = signed.select("doc_id", "digest", "doc").join(members.select("digest", "node", "copy_of"), "digest").join(labels, "node", "left")
-    found = found.withColumn("class_id", F.coalesce("label", "node")).join(several.select("doc_id", F.lit(True).alias("repeated")), "doc_id", "left")
+    found = found.withColumn("class_id", F.coalesce("label", "node"))
+    if several.isEmpty():
+        found = found.withColumn("repeated", F.lit(False))
+    else:
+        found = found.join(several.select("doc_id", F.lit(True).alias("repeated")), "doc_id", "left")
     return found.select("doc_id", "digest", "doc", "class_id", "copy_of", "repeated")
 
 

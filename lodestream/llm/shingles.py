@@ -35,7 +35,9 @@ def weighted_cells(texts: list[str | None], size: int = 5) -> tuple[np.ndarray,
     cells, its first, second ... region of unit weight. The plain Jaccard similarity of two texts'
     cells is the weighted Jaccard similarity of their shingle counts."""
     owner, hashes = shingle_hashes(texts, size)
-    order = np.lexsort((hashes, owner))
+    # Equal hashes of a text are interchangeable, and texts of a batch few: two sorts of single numbers.
+    order = np.argsort(hashes)
+    order = order[np.argsort(owner[order].astype(np.uint16 if len(texts) <= 1 << 16 else np.int64), kind="stable")]
     owner, hashes = owner[order], hashes[order]
     fresh = np.ones(len(owner), bool)
     fresh[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
