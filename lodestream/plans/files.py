@@ -67,7 +67,7 @@ def files_businesses(spark: SparkSession, sf: str) -> DataFrame:
 
 def files_users(spark: SparkSession, sf: str) -> DataFrame:
     c = Q._t(spark, sf, "customer")
-    cool, fans = F.when(F.col("c_custkey") % 3 == 0, 1), F.col("c_custkey") % 7
+    cool, fans = F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(2), F.col("c_custkey") % 7
     rows = c.select(F.col("c_name").alias("user_id"), F.col("c_custkey").alias("review_count"), F.col("c_nationkey").alias("useful"), F.lit(0).alias("funny"), cool.alias("cool"), fans.alias("fans"), F.round("c_acctbal", 2).alias("average_stars"))
     return _through(spark, lambda p: rows.write.json(p), readers.users)
 
@@ -78,7 +78,7 @@ def files_points(spark: SparkSession, sf: str) -> DataFrame:
     lines = e.select(F.concat_ws(",", F.col("vec_id").cast("string"), F.col("label").cast("string"), F.array_join(numbers, ",")).alias("line"))
     read = _through(spark, lambda p: lines.write.text(p), readers.points)
     total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
-    return read.select("id", "label", F.size("features").cast("long").alias("n"), F.round(total, 3).alias("total"))
+    return read.select("id", "label", F.size("features").cast("long").alias("n"), F.round(total, 4).alias("total"))
 
 
 def files_elements(spark: SparkSession, sf: str) -> DataFrame:

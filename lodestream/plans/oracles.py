@@ -174,8 +174,8 @@ ORACLES |= {
     "files_ratings": "SELECT item, round(avg(r), 6) AS mean, count(*) AS n FROM (SELECT l_orderkey AS u, CAST(l_suppkey AS VARCHAR) AS item, avg(1 + l_quantity % 5) AS r FROM lineitem GROUP BY 1, 2) GROUP BY item",
     "files_transactions": ORACLES["baskets_min_size"],
     "files_businesses": "SELECT s_name AS item, CAST(s_nationkey AS BIGINT) AS b_review_count, round(s_acctbal / 1000, 1) AS b_star, CASE WHEN s_suppkey % 4 <> 0 THEN CASE WHEN s_nationkey < 12 THEN 'free' ELSE 'no' END END AS wifi FROM supplier",
-    "files_users": 'SELECT c_name AS "user", c_custkey AS u_review_count, CAST(c_nationkey AS BIGINT) AS useful, 0::BIGINT AS funny, CASE WHEN c_custkey % 3 = 0 THEN 1::BIGINT END AS cool, c_custkey % 7 AS fans, round(c_acctbal, 2) AS u_star FROM customer',
-    "files_points": "SELECT vec_id AS id, CAST(label AS VARCHAR) AS label, CAST(len(embedding) AS BIGINT) AS n, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4))), 3) AS total FROM embeddings",
+    "files_users": 'SELECT c_name AS "user", c_custkey AS u_review_count, CAST(c_nationkey AS BIGINT) AS useful, 0::BIGINT AS funny, CASE WHEN c_custkey % 3 = 0 THEN 1::BIGINT ELSE 2 END AS cool, c_custkey % 7 AS fans, round(c_acctbal, 2) AS u_star FROM customer',
+    "files_points": "SELECT vec_id AS id, CAST(label AS VARCHAR) AS label, CAST(len(embedding) AS BIGINT) AS n, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4))), 4) AS total FROM embeddings",
     "files_elements": f"{STREAM} SELECT seq, element FROM stream",
     "report_itemsets": f"SELECT 'Frequent Itemsets' AS section, length, string_agg({_LINE}, ',' ORDER BY string_split(itemset, '|')) AS line FROM ({itemsets(PAIR_SHARE)}) GROUP BY length UNION ALL SELECT 'Frequent Itemsets', 0, 'Frequent Itemsets:'",
     "report_communities": f"SELECT '''' || members || '''' AS line FROM ({propagated(5, PATH_EDGE)} SELECT label, string_agg(CAST(id AS VARCHAR), ''', ''' ORDER BY id) AS members FROM l5 GROUP BY label)",
