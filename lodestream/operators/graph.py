@@ -79,13 +79,15 @@ def shortest_paths(edges: DataFrame) -> DataFrame:
     connected pair: for graphs that a threshold has made sparse."""
     edges = cut(edges.select("src", "dst"))
     frontier = cut(edges.select(F.col("src").alias("s")).distinct().select("s", F.col("s").alias("t"), F.lit(0).alias("d"), F.lit(1).cast("long").alias("sigma")))
-    known = frontier
+    known, level = frontier, 0
     while True:
         step = frontier.join(edges.withColumnRenamed("src", "t"), "t").groupBy("s", F.col("dst").alias("t")).agg((F.first("d") + 1).alias("d"), F.sum("sigma").alias("sigma"))
         frontier = cut(step.join(known.select("s", "t"), ["s", "t"], "left_anti"))
         if frontier.isEmpty():
             return known
-        known = cut(known.unionByName(frontier))
+        known, level = known.unionByName(frontier), level + 1
+        if level % 16 == 0:  # frontiers are written already; only the plan must not grow for ever
+            known = cut(known)
 
 
 def edge_betweenness(edges: DataFrame) -> DataFrame:
@@ -127,7 +129,7 @@ def modularity(original: DataFrame, components: DataFrame, m: int) -> float:
 
 def without_top_edges(edges: DataFrame, betweenness: DataFrame, digits: int = 9) -> DataFrame:
     """The graph without all edges whose betweenness, rounded, is the largest."""
-    scored = betweenness.withColumn("score", F.round("betweenness", digits))
+    scored = cut(betweenness.withColumn("score", F.round("betweenness", digits)))
     top = scored.agg(F.max("score")).first()[0]
     gone = mirrored(scored.where(F.col("score") == F.lit(top)).select("src", "dst"))
     return edges.join(gone, ["src", "dst"], "left_anti")

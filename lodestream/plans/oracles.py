@@ -186,3 +186,25 @@ ORACLES |= {
     "stream_distinct_estimates": f"{ESTIMATES} SELECT tick, estimate FROM estimates",
     "stream_reservoir": f"{PLACED} SELECT slot, max_by(element, seq) AS element FROM placed GROUP BY slot",
 }
+
+_SPLIT = BETWEENNESS.replace(graph(PATH_EDGE), graph(SPLIT_EDGE))
+_NEAR = """{name} AS (SELECT id, cluster FROM (SELECT p.id, c.cluster, sqrt(sum(pow(p.x - c.s / c.n, 2) / (c.q / c.n - pow(c.s / c.n, 2)))) AS distance FROM points p JOIN sums c ON p.dim = c.dim WHERE c.cluster {which} GROUP BY 1, 2)
+  WHERE distance < 2 * sqrt((SELECT max(dim) FROM points)) QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, cluster) = 1)"""
+_DISCARD, _COMPRESSED = _NEAR.format(name="near", which="< 5"), _NEAR.format(name="close", which=">= 5")
+ORACLES |= {
+    "betweenness_removal": f"""WITH RECURSIVE {graph(SPLIT_EDGE)}, scores AS MATERIALIZED ({_SPLIT}),
+        gone AS (SELECT src, dst FROM scores WHERE betweenness = (SELECT max(betweenness) FROM scores)),
+        kept_e AS MATERIALIZED (SELECT e.src, e.dst FROM e WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.src = least(e.src, e.dst) AND g.dst = greatest(e.src, e.dst))),
+        found(id, component) USING KEY (id) AS (
+          SELECT DISTINCT src, src FROM e
+          UNION ALL
+          SELECT k.dst, min(f.component) FROM found f JOIN kept_e k ON k.src = f.id JOIN recurring.found r ON r.id = k.dst WHERE f.component < r.component GROUP BY k.dst)
+        SELECT id, component FROM found""",
+    "community_modularity": f"""{propagated(5, PATH_EDGE)}, degree AS (SELECT src AS id, count(*) AS k FROM e GROUP BY src), m AS (SELECT count(*) / 2.0::DOUBLE AS m FROM e),
+        sums AS (SELECT label, sum(k) AS k, sum(k * k) AS kk FROM l5 JOIN degree USING (id) GROUP BY label),
+        inside AS (SELECT count(*) AS n FROM kept JOIN l5 a ON a.id = src JOIN l5 b ON b.id = dst WHERE a.label = b.label)
+        SELECT round(((SELECT n FROM inside) - (SELECT sum((k * k - kk) / 2.0::DOUBLE) FROM sums) / (2 * m)) / (2 * m), 6) AS modularity FROM m""",
+    "bfr_assignment": f"WITH {POINTS}, {_DISCARD}, {_COMPRESSED} SELECT id, 'discard' AS part, cluster FROM near UNION ALL SELECT id, 'compression', cluster FROM close WHERE id NOT IN (SELECT id FROM near)",
+    "bfr_update": f"""WITH {POINTS}, {_DISCARD}, every AS (SELECT cluster, dim, x FROM points WHERE cluster < 5 UNION ALL SELECT n.cluster, p.dim, p.x FROM near n JOIN points p USING (id))
+        SELECT cluster, dim, count(*) AS n, round(sum(x), 5) AS total, round(sum(x * x), 5) AS squares FROM every GROUP BY cluster, dim""",
+}

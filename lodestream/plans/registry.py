@@ -131,6 +131,21 @@ def girvan_newman(spark: SparkSession, sf: str) -> DataFrame:
     return G.girvan_newman(_graph(spark, sf, SPLIT_EDGE))
 
 
+def betweenness_removal(spark: SparkSession, sf: str) -> DataFrame:
+    """One round of edge removal: the components without the edges of the largest betweenness."""
+    graph = _graph(spark, sf, SPLIT_EDGE)
+    left = G.without_top_edges(graph, G.edge_betweenness(graph), digits=5)
+    return G.connected_components(left, graph.select(F.col("src").alias("id")).distinct())
+
+
+def community_modularity(spark: SparkSession, sf: str) -> DataFrame:
+    """Modularity of the communities that labels give."""
+    graph = _graph(spark, sf, PATH_EDGE)
+    parts = G.label_propagation(graph, 5).withColumnRenamed("label", "component")
+    q = G.modularity(graph, parts, graph.count() // 2)
+    return spark.createDataFrame([(round(q, 6),)], "modularity double")
+
+
 def _brand_customers(spark: SparkSession, sf: str) -> DataFrame:
     """Each part's buyers, for parts as sets."""
     return S.members(_month_rows(spark, sf), "o_custkey", "l_partkey")
@@ -257,6 +272,29 @@ def nearest_cluster(spark: SparkSession, sf: str) -> DataFrame:
     return C.nearest_within(p.drop("cluster"), cut(C.summaries(p))).withColumn("distance", F.round("distance", 5))
 
 
+def _bfr_sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points, discard set, compression set): the summaries of the first five labels and of the others."""
+    p = _points(spark, sf)
+    return p.drop("cluster"), cut(C.summaries(p.where("cluster < 5"))), cut(C.summaries(p.where("cluster >= 5")))
+
+
+def bfr_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    """One round's assignment: to the discard set, else to the compression set."""
+    points, discard, compressed = _bfr_sets(spark, sf)
+    near = cut(C.nearest_within(points, discard))
+    close = C.nearest_within(points.join(near, "id", "left_anti"), compressed)
+    rows = [d.select("id", F.lit(part).alias("part"), "cluster") for part, d in (("discard", near), ("compression", close))]
+    return rows[0].unionByName(rows[1])
+
+
+def bfr_update(spark: SparkSession, sf: str) -> DataFrame:
+    """The discard set after that round."""
+    points, discard, _ = _bfr_sets(spark, sf)
+    after = C.merged(discard, C.summaries(points.join(C.nearest_within(points, discard).select("id", "cluster"), "id")))
+    each = after.select("cluster", "n", F.posexplode(F.arrays_zip("total", "squares")).alias("at", "v"))
+    return each.select("cluster", (F.col("at") + 1).cast("long").alias("dim"), "n", F.round("v.total", 5).alias("total"), F.round("v.squares", 5).alias("squares"))
+
+
 def bfr_labels(spark: SparkSession, sf: str) -> DataFrame:
     return C.bfr(_points(spark, sf).drop("cluster"), 10)[0]
 
@@ -298,10 +336,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         baskets_orders, baskets_brands, baskets_min_size, frequent_pairs, frequent_itemsets, son_itemsets, frequent_itemsets_months,
-        co_purchase_graph, label_propagation, label_communities, connected_components, shortest_paths, edge_betweenness, girvan_newman,
+        co_purchase_graph, label_propagation, label_communities, connected_components, shortest_paths, edge_betweenness, betweenness_removal, community_modularity, girvan_newman,
         jaccard_users, jaccard_customers, minhash_signatures, lsh_users,
         item_means, item_pearson, item_cf, hybrid_item_mean, hybrid_tiered, assembled_features, item_attributes, gbt_predictions, hybrid_predictions,
-        cluster_summaries, nearest_cluster, bfr_labels, bfr_rounds,
+        cluster_summaries, nearest_cluster, bfr_assignment, bfr_update, bfr_labels, bfr_rounds,
         bloom_rates, distinct_estimates, distinct_estimates_by_element, distinct_accuracy, reservoir, reservoir_snapshots,
     )
 }
