@@ -26,6 +26,34 @@ def test_query_equals_sql(spark, name):
     assert rows({**registry.QUERIES, **files.QUERIES}[name](spark, DATA).toPandas()) == rows(con.execute(oracles.ORACLES[name]).df())
 
 
+def test_what_cannot_be_imported_is_left_out(spark, monkeypatch):
+    every, real = set(entry.queries()), entry.importlib.import_module
+
+    def missing(name):
+        if name == gone:
+            raise ImportError(f"no {name}")
+        return real(name)
+
+    monkeypatch.setattr(entry.importlib, "import_module", missing)
+    for gone in ("lodestream.llm.registry", "corpus_pipeline"):
+        with pytest.warns(UserWarning, match=gone):
+            left = set(entry.queries())
+        assert {*registry.QUERIES, *files.QUERIES} <= left <= every - {"pipeline"}
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    from types import SimpleNamespace as Some
+
+    from lodestream.functions.lineage import checkpoint_dir
+
+    set_ = []
+    made = lambda master, path: Some(conf=Some(get=lambda *_: path), sparkContext=Some(master=master, getCheckpointDir=lambda: None, setCheckpointDir=set_.append))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(made("spark://somewhere:7077", None))
+    assert checkpoint_dir(made("spark://somewhere:7077", "hdfs:///shared")) == "hdfs:///shared" == set_[-1]
+    assert os.path.isdir(checkpoint_dir(made("local[4]", None)))
+
+
 def test_contract(spark):
     assert entry.entry(spark).columns == ["length", "itemset", "support"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
