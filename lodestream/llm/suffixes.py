@@ -161,6 +161,12 @@ def sizes(total: int, shard_bytes: int, bucket_bytes: int, most: int = 16) -> tu
     return max(1, -(-total // int(shard_bytes * growth))), max(1, -(-total // int(bucket_bytes * growth)))
 
 
+def tasks_for(spark: SparkSession, shards: int, each: int = 4, most: int = 100_000) -> int:
+    """Tasks that go through so many shards, one after another: about ``each`` a task, but as many as keep all cores
+    busy, and no more than a driver can plan for."""
+    return max(1, min(shards, max(4 * spark.sparkContext.defaultParallelism, -(-shards // each)), most))
+
+
 def _keys_and_marks(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys, and their marks, of (n, blob)."""
     raws = [(zstandard.decompress(b), n) for b, n in zip(frame["blob"], frame["n"], strict=True)]
@@ -233,7 +239,8 @@ def shared_grams(frequent: int):
         around = np.add.reduceat((marks & 127).astype(np.int64), opens)
         kept = np.repeat(size > 1, size) | (marks >= 128)
         hot = np.repeat(around > frequent, size)
-        out = [(s, len(at), _squeeze(keys[kept][at], hot[kept][at])) for s, at in _sort_groups(shard[kept].astype(np.int64))]
+        keys, hot, shard = keys[kept], hot[kept], shard[kept]
+        out = [(s, len(at), _squeeze(keys[at], hot[at])) for s, at in _sort_groups(shard.astype(np.int64))]
         return pd.DataFrame(out, columns=["shard", "n", "blob"])
 
     return run
@@ -542,7 +549,7 @@ def removed_spans(length: int, gram: int, with_spans: bool):
     return run
 
 
-def repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 20, shard_bytes: int = 3_000_000, bucket_bytes: int = 6_000_000, with_spans: bool = False, frequent: int = 8192, most_tasks: int = 100_000) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 20, shard_bytes: int = 3_000_000, bucket_bytes: int = 6_000_000, with_spans: bool = False, frequent: int = 8192) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text) without each byte that is covered by a string of
     ``length`` bytes which also starts in a document with a smaller id: n_bytes, n_removed,
     n_spans (maximal removed runs), kept_sha256; with ``with_spans`` also ``spans``, start and end
@@ -556,7 +563,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 20, shard_byte
     shards, buckets = sizes(total, shard_bytes, bucket_bytes)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int"))
-    dealt = rows.repartition(min(shards, most_tasks), "shard")
+    dealt = rows.repartition(tasks_for(docs.sparkSession, shards), "shard")
     blobs = "bucket int, shard int, n int, {}blob binary"
     seen = dealt.groupBy("shard").applyInPandas(seen_grams(length, gram, buckets), blobs.format(""))
     shared = seen.groupBy("bucket").applyInPandas(shared_grams(frequent), "shard int, n int, blob binary")
