@@ -51,6 +51,19 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
 
 
+def join_heavy(rows: DataFrame, table: DataFrame, key: str, count: str, share: int = 200, least: int = 1000) -> DataFrame:
+    """Inner equi-join of rows with a table of one row per key, whose column ``count`` says how many rows have it and
+    is left out. Keys that more than one in ``share`` of the rows have, and more than ``least``, are fewer
+    than ``share``: they are broadcast, so that no task gets all rows of one; the others are joined as Spark sees fit."""
+    total = table.agg(F.sum(count)).first()[0] or 0
+    heavy = cut(table.where(F.col(count) > max(total // share, least)).drop(count))
+    light = table.drop(count)
+    if heavy.isEmpty():
+        return rows.join(light, key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(table.where(F.col(count) <= max(total // share, least)).drop(count), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(rest)
+
+
 def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser (two multiply and shift rounds) of uint64 values, by salt."""
     with np.errstate(over="ignore"):
@@ -123,7 +136,7 @@ def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return begin, end, np.searchsorted(begin, starts)
 
 
-def batches(frames: Iterator[pd.DataFrame], column: str, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def batches(frames: Iterator[pd.DataFrame], column: str, most: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """The frames cut into runs of rows of about ``most`` characters at most (one row at least),
     so that an array made from them stays bounded whatever Arrow's batch holds."""
     for frame in frames:

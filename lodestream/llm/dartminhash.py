@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, cut, mix64, numbered_down, read, small_batches
+from .common import batches, cut, join_heavy, mix64, numbered_down, read, small_batches
 from .components import components
 from .shingles import weighted_cells
 
@@ -260,7 +260,7 @@ def _classes(docs: DataFrame, threshold: float, size: int, bands: int, rows: int
     else:
         numbers = cut(numbered_down(signed.join(further, "doc_id").where("digest <> first").select("doc_id", "digest").distinct(), "doc_id", "digest"))
         signed = cut(signed.join(numbers, ["doc_id", "digest"], "left").withColumn("doc", F.coalesce("number", "doc_id")).drop("number"))
-    members = signed.groupBy("digest").agg(F.min("doc").alias("node"), F.min("doc_id").alias("copy_of"), F.min_by("bands", "doc").alias("bands"))
+    members = cut(signed.groupBy("digest").agg(F.min("doc").alias("node"), F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("rows"), F.min_by("bands", "doc").alias("bands")))
     banded = members.select("node", F.posexplode("bands").alias("band", "key")).distinct()
     sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     banded = cut(banded.join(sizes, ["band", "key"]))
@@ -284,8 +284,8 @@ def _classes(docs: DataFrame, threshold: float, size: int, bands: int, rows: int
         mixed = cut(_mixed(many.drop("n"), labels))
     if not mixed.isEmpty():
         labels = components(links.unionByName(_settled(mixed, cells, threshold, block, block_bytes)))
-    found = signed.select("doc_id", "digest", "doc").join(members.select("digest", "node", "copy_of"), "digest").join(labels, "node", "left")
-    found = found.withColumn("class_id", F.coalesce("label", "node"))
+    classes = members.drop("bands").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"), "copy_of", "rows")
+    found = join_heavy(signed.select("doc_id", "digest", "doc"), classes, "digest", "rows")
     if several.isEmpty():
         found = found.withColumn("repeated", F.lit(False))
     else:

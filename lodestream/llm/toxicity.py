@@ -9,7 +9,6 @@ then add up to a document's evidence, calibrated to a score, and give the offend
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -288,17 +287,7 @@ def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clea
 def train(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:
     """Fit a model to a bounded sample of labelled documents (``sample``, whose bounds are parameters)."""
     rows = sample(docs, labels, **bounds).toPandas().sort_values("doc_id", kind="stable")
-    model = fit(rows["text"].tolist(), rows["toxic"].to_numpy())
-    del rows
-    give_back()
-    return model
-
-
-def give_back() -> None:
-    """Return freed memory to the system, where the C library can: a driver lives on long after its fit."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, n_parts, read, shared_dir, small_batches
+from .common import cut, join_heavy, n_parts, read, shared_dir, small_batches
 
 CHUNKS = "archive string, record_id string, warc_type string, page_id long, refers_to long, chunk long, last boolean, bytes_so_far long, digest_so_far string, declared_digest string, chunk_bytes binary"
 EMPTY_DIGEST = base64.b32encode(hashlib.sha1(b"").digest()).decode()
@@ -127,12 +127,12 @@ def revisits(ids: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, payload_hex, refers_to) of the pages (page_id, payload_hex, payload_bytes) that revisit another: of
     those whose payloads of at least ``least`` bytes are equal, all but the one with the largest id.
 
-    A digest's largest id is an aggregate, so no group of equal payloads ever meets in one task;
-    the join back is one that Spark can split.
+    A digest's largest id is an aggregate, and those of very many pages are joined back by broadcast, so no large
+    group of equal payloads ever meets in one task.
     """
     large = ids.where(F.col("payload_bytes") >= least)
-    firsts = large.groupBy("payload_hex").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return large.join(firsts, "payload_hex").where("refers_to <> page_id").select("page_id", "payload_hex", "refers_to").dropDuplicates(["page_id", "payload_hex"])
+    firsts = cut(large.groupBy("payload_hex").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return join_heavy(large, firsts, "payload_hex", "n").where("refers_to <> page_id").select("page_id", "payload_hex", "refers_to").dropDuplicates(["page_id", "payload_hex"])
 
 
 def write_archives(pages: DataFrame, folder: str, archives: int, chunk: int = 1 << 18, least: int = 0, archive_bytes: int = 1 << 28) -> DataFrame:
@@ -245,7 +245,7 @@ def read_archives(archives: DataFrame, chunk: int = 1 << 16, with_bytes: bool =
     header declares. Files are read one after another within a task, each as a stream."""
     n = max(n_parts(archives.sparkSession), 1)
     small_batches(archives.sparkSession, 64)
-    return archives.select("archive").repartition(n * 2, "archive").mapInPandas(_read(chunk, with_bytes), CHUNKS)
+    return archives.select("archive").repartition(n, "archive").mapInPandas(_read(chunk, with_bytes), CHUNKS)
 
 
 def records(chunked: DataFrame) -> DataFrame:

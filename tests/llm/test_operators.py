@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.llm import dartminhash, iblt, mixing, packing, passages, secrets, suffixes, topk, toxicity, warc
-from lodestream.llm.common import join_texts, words_of
+from lodestream.llm.common import join_heavy, join_texts, words_of
 from lodestream.llm.components import components
 from lodestream.llm.shingles import similarities, weighted_cells
 
@@ -70,6 +70,14 @@ def test_components_are_the_smallest_reachable(spark, nothing):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_keys_of_very_many_rows_are_joined_by_broadcast(spark):
+    rows = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(600)], "id long, k long")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    for least in (10, 10**6):
+        out = join_heavy(rows, table, "k", "n", 50, least)
+        assert sorted(out.columns) == ["first", "id", "k"] and {tuple(r) for r in out.select("id", "k", "first").collect()} == {(i, 0 if i % 3 else i, 0 if i % 3 or not i else i) for i in range(600)}
+
+
 # 2 mixing
 
 
