@@ -24,11 +24,15 @@ from .streaming import sketches, stateful
 from .streaming.tables import BloomTable
 
 
+# Names of the files in a folder that models are trained from.
+TRAIN, BUSINESSES, USERS = "yelp_train.csv", "business.json", "user.json"
+
+
 def _itemset_job(own: DataFrame, support: int, out_path: str) -> None:
     own = cut(own)
     n = own.count()
     share = support / max(n, 1)
-    sinks.itemset_report_file(itemsets.son_candidates(own, share), itemsets.son_itemsets(own, share), out_path)
+    sinks.itemset_report_file(cut(itemsets.son_candidates(own, share)), cut(itemsets.son_itemsets(own, share)), out_path)
 
 
 def frequent_itemsets(spark: SparkSession, case: int, support: int, in_path: str, out_path: str) -> None:
@@ -80,22 +84,22 @@ def predict_by_items(spark: SparkSession, train_path: str, test_path: str, out_p
 
 
 def _model(spark: SparkSession, folder: str, test_path: str) -> DataFrame:
-    train, test = readers.ratings(spark, f"{folder}/yelp_train.csv"), readers.rating_pairs(spark, test_path).distinct()
-    items = cut(features.featurize_items(readers.businesses(spark, f"{folder}/business.json").drop("categories")))
-    users = readers.users(spark, f"{folder}/user.json")
+    train, test = readers.ratings(spark, f"{folder}/{TRAIN}"), readers.rating_pairs(spark, test_path).distinct()
+    items = cut(features.featurize_items(readers.businesses(spark, f"{folder}/{BUSINESSES}").drop("categories")))
+    users = readers.users(spark, f"{folder}/{USERS}")
     columns = [c for c in (*items.columns, *users.columns) if c not in ("item", "user")]
     model = features.fit_gbt(cut(features.assemble(train, items, users, True)), columns)
     return features.predict_gbt(model, features.assemble(test, items, users, False), columns).select("user", "item", "model")
 
 
 def predict_by_model(spark: SparkSession, folder: str, test_path: str, out_path: str) -> None:
-    """Ratings of the test file's pairs by boosted trees over the files of FOLDER (yelp_train.csv, business.json, user.json)."""
+    """Ratings of the test file's pairs by boosted trees over the training ratings, items and users of FOLDER."""
     _predictions(_model(spark, folder, test_path).withColumnRenamed("model", "prediction"), out_path)
 
 
 def predict_by_both(spark: SparkSession, folder: str, test_path: str, out_path: str) -> None:
     """Both predictions blended."""
-    near = recommend.predict_item_cf(readers.ratings(spark, f"{folder}/yelp_train.csv"), readers.rating_pairs(spark, test_path))
+    near = recommend.predict_item_cf(readers.ratings(spark, f"{folder}/{TRAIN}"), readers.rating_pairs(spark, test_path))
     _predictions(recommend.hybrid(near, _model(spark, folder, test_path)), out_path)
 
 

@@ -1,4 +1,4 @@
-"""Every query over the reference operators on the provided tables, and the SQL with the same rows.
+"""Every query over the batch and stream operators on the provided tables, and the SQL with the same rows.
 
 Inputs are derived alike on both sides: baskets are orders with their parts' brands, or a customer's
 month; raters are customers, rated items brands, a rating 1 to 5 from the quantity; the graph joins

@@ -32,10 +32,12 @@ def itemset_report(candidates: DataFrame, frequent: DataFrame, path: str) -> Non
 
 
 def itemset_report_file(candidates: DataFrame, frequent: DataFrame, path: str) -> None:
-    """The two sections of a report as one text file, a blank line after each."""
+    """The two sections of a report as one text file, with a blank line before each length but the first and
+    before the second section."""
     both = itemset_lines(candidates, "Candidates").unionByName(itemset_lines(frequent.select("itemset"), "Frequent Itemsets"))
-    blank = both.sparkSession.createDataFrame([("Candidates", 2**31 - 1, "")], "section string, length int, line string")
-    text_file(both.unionByName(blank).orderBy("section", "length").select("line"), path)
+    opens = (F.col("length") > 1) | ((F.col("length") == 0) & (F.col("section") != "Candidates"))
+    blanks = both.where(opens).select("section", "length", F.lit(0).alias("at"), F.lit("").alias("line"))
+    text_file(both.withColumn("at", F.lit(1)).unionByName(blanks).orderBy("section", "length", "at").select("line"), path)
 
 
 def community_lines(communities: DataFrame) -> DataFrame:

@@ -40,12 +40,12 @@ def test_itemset_reports(spark, tmp_path):
     lines = (tmp_path / "one.txt").read_text().split("\n")
     at = lines.index("Frequent Itemsets:")
     assert lines[0] == "Candidates:" and lines[at - 1] == ""
-    assert lines[at + 1 : at + 4] == ["('a'),('b'),('c')", "('a', 'b'),('a', 'c'),('b', 'c')", "('a', 'b', 'c')"]
+    assert lines[at + 1 : at + 6] == ["('a'),('b'),('c')", "", "('a', 'b'),('a', 'c'),('b', 'c')", "", "('a', 'b', 'c')"]
     run(spark, "frequent-itemsets", 2, 3, source, tmp_path / "two.txt")
     assert "('1'),('3')" in (tmp_path / "two.txt").read_text()
     days = write(tmp_path / "t.csv", "TRANSACTION_DT,CUSTOMER_ID,PRODUCT_ID", ["11/1/2000,7,007", "11/1/2000,7,8", "11/1/2000,7,8", "11/2/2000,7,7", "11/2/2000,7,8", "11/1/2000,9,7"])
     run(spark, "transaction-itemsets", 1, 2, days, tmp_path / "three.txt")
-    assert (tmp_path / "three.txt").read_text().split("Frequent Itemsets:\n")[1] == "('7'),('8')\n('7', '8')\n"
+    assert (tmp_path / "three.txt").read_text().split("Frequent Itemsets:\n")[1] == "('7'),('8')\n\n('7', '8')\n"
 
 
 def test_graph_reports(spark, tmp_path):
