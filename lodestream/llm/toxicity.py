@@ -9,6 +9,7 @@ then add up to a document's evidence, calibrated to a score, and give the offend
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -284,10 +285,18 @@ def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clea
     return rows.dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
 
 
+def _fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    every = list(frames)
+    rows = (pd.concat(every) if every else pd.DataFrame({"doc_id": [], "toxic": [], "text": []})).sort_values("doc_id", kind="stable")
+    yield pd.DataFrame({"model": [pickle.dumps(fit(rows["text"].tolist(), rows["toxic"].to_numpy()))]})
+
+
 def train(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:
-    """Fit a model to a bounded sample of labelled documents (``sample``, whose bounds are parameters)."""
-    rows = sample(docs, labels, **bounds).toPandas().sort_values("doc_id", kind="stable")
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
+    """Fit a model to a bounded sample of labelled documents (``sample``, whose bounds are parameters). One task
+    has the sample; only the model, a few thousand features, comes to the driver."""
+    small_batches(docs.sparkSession)
+    found = sample(docs, labels, **bounds).coalesce(1).mapInPandas(_fitted, "model binary").collect()
+    return pickle.loads(bytes(found[0]["model"])) if found else Model()
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
