@@ -2,11 +2,14 @@
 
 import glob
 import os
+import warnings
+from types import SimpleNamespace
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lodestream.functions.lineage import checkpoint_dir
 from lodestream.plans import files, oracles, registry
 
 DATA = "/root/testdata/sf0.001"
@@ -26,28 +29,26 @@ def test_query_equals_sql(spark, name):
     assert rows({**registry.QUERIES, **files.QUERIES}[name](spark, DATA).toPandas()) == rows(con.execute(oracles.ORACLES[name]).df())
 
 
-def test_what_cannot_be_imported_is_left_out(spark, monkeypatch):
-    every, real = set(entry.queries()), entry.importlib.import_module
+@pytest.mark.parametrize(("gone", "left"), [("lodestream.llm.registry", set()), ("corpus_pipeline", {"op0_some"}), (None, {"op0_some", "pipeline"})])
+def test_what_cannot_be_imported_is_left_out(monkeypatch, gone, left):
+    run = lambda spark, sf_dir: None
+    modules = {"lodestream.llm.registry": SimpleNamespace(QUERIES={"op0_some": run}, ORACLES={"op0_some": "SELECT 1"}), "corpus_pipeline": SimpleNamespace(run=run, ORACLE_SQL=None)}
 
-    def missing(name):
+    def find(name):
         if name == gone:
             raise ImportError(f"no {name}")
-        return real(name)
+        return modules[name]
 
-    monkeypatch.setattr(entry.importlib, "import_module", missing)
-    for gone in ("lodestream.llm.registry", "corpus_pipeline"):
-        with pytest.warns(UserWarning, match=gone):
-            left = set(entry.queries())
-        assert {*registry.QUERIES, *files.QUERIES} <= left <= every - {"pipeline"}
+    monkeypatch.setattr(entry.importlib, "import_module", find)
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        assert set(entry.queries()) == {*registry.QUERIES, *files.QUERIES, *left} and set(entry.oracle_sql()) == {*oracles.ORACLES, *(left & {"op0_some"})}
+    assert [gone in str(w.message) for w in said] == [True, True] * (gone is not None)
 
 
 def test_a_cluster_without_a_shared_folder_is_an_error(spark):
-    from types import SimpleNamespace as Some
-
-    from lodestream.functions.lineage import checkpoint_dir
-
     set_ = []
-    made = lambda master, path: Some(conf=Some(get=lambda *_: path), sparkContext=Some(master=master, getCheckpointDir=lambda: None, setCheckpointDir=set_.append))
+    made = lambda master, path: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: path), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=set_.append))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_dir(made("spark://somewhere:7077", None))
     assert checkpoint_dir(made("spark://somewhere:7077", "hdfs:///shared")) == "hdfs:///shared" == set_[-1]
