@@ -116,15 +116,18 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
     return used.groupBy("src", "dst").agg((F.sum("passed") / 2).alias("betweenness"))
 
 
-def modularity(original: DataFrame, components: DataFrame, m: int) -> float:
+def modularity(original: DataFrame, components: DataFrame, m: int) -> float | None:
     """Sum over unordered pairs in one component of A - k k / 2m, by 2m, with the original graph's
-    edges and degrees; a pair's terms are got from sums by component, never from pairs."""
+    edges and degrees; a pair's terms are got from sums by component, never from pairs. None of a graph
+    without edges."""
+    if not m:
+        return None
     degree = original.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k"))
     sums = components.join(degree, "id", "left").groupBy("component").agg(F.sum(F.coalesce("k", F.lit(0))).alias("k"), F.sum(F.pow(F.coalesce("k", F.lit(0)), 2)).alias("kk"))
     expected = sums.agg(F.sum((F.pow("k", 2) - F.col("kk")) / 2)).first()[0] or 0.0
     ends = original.where("src < dst").join(components.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(components.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst")
     inside = ends.where("a = b").count()
-    return (inside - expected / (2 * m)) / (2 * m) if m else 0.0
+    return (inside - expected / (2 * m)) / (2 * m)
 
 
 def without_top_edges(edges: DataFrame, betweenness: DataFrame, digits: int = 9) -> DataFrame:
@@ -254,7 +257,7 @@ def girvan_newman(edges: DataFrame, most_rounds: int | None = None, local_vertic
     graph, best, best_q, rounds = original, None, None, 0
     while True:
         parts = connected_components(graph, vertices)
-        q = modularity(graph if mutated else original, parts, m)
+        q = modularity(graph if mutated else original, parts, m) or 0.0
         if best_q is None or q > best_q + 1e-12:
             best, best_q = parts, q
         if graph.isEmpty() or (most_rounds is not None and rounds >= most_rounds):

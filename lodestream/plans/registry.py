@@ -139,11 +139,11 @@ def betweenness_removal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def community_modularity(spark: SparkSession, sf: str) -> DataFrame:
-    """Modularity of the communities that labels give."""
+    """Modularity of the communities that labels give, null if no customers share so many parts."""
     graph = _graph(spark, sf, PATH_EDGE)
     parts = G.label_propagation(graph, 5).withColumnRenamed("label", "component")
     q = G.modularity(graph, parts, graph.count() // 2)
-    return spark.createDataFrame([(round(q, 6),)], "modularity double")
+    return spark.createDataFrame([(q,)], "modularity double").select(F.round("modularity", 6).alias("modularity"))
 
 
 def _brand_customers(spark: SparkSession, sf: str) -> DataFrame:

@@ -115,3 +115,12 @@ def test_labels_take_the_smallest_of_equals(spark):
 def test_no_edges(spark):
     none = spark.createDataFrame([], "src long, dst long")
     assert G.edge_betweenness(none).count() == G.label_propagation(none).count() == G.girvan_newman(none).count() == 0
+
+
+def test_modularity_of_a_graph_without_edges_is_null(spark, monkeypatch):
+    from lodestream.plans import registry
+
+    none = spark.createDataFrame([], "src long, dst long")
+    monkeypatch.setattr(registry, "_graph", lambda *_: none)
+    assert [r["modularity"] for r in registry.community_modularity(spark, "").collect()] == [None]
+    assert G.girvan_newman(G.mirrored(spark.createDataFrame([(1, 2)], "src long, dst long")), local_vertices=1).count() == 2
