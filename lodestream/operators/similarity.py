@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.lineage import cut
 
 RESULT = ("id_1", "id_2", "similarity")
+#: Joins that make more rows than this for each of their input are looked at again, with equal sets as one.
+HEAVY = 24
+#: Sets of a block; elements of a matrix at a time; elements that sets in blocks may have in all; products of
+#: matrices that cost as much as a row of a join.
+BLOCK, SLICE, MOST_ELEMENTS, PRODUCTS = 2_048, 4_096, 65_536, 1_000
 
 
 def members(rows: DataFrame, owner: str, element: str) -> DataFrame:
@@ -38,9 +48,110 @@ def _counted_join(sets: DataFrame, least: float) -> DataFrame:
     return out.where(F.col("similarity") >= least).select(*RESULT)
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("id_1", "id_2").alias("id_1"), F.greatest("id_1", "id_2").alias("id_2"), "similarity")
+
+
+def folded(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes (id, items), members (class, id)): equal sets as one, under the smallest of their ids."""
+    whole = cut(sets.groupBy("id").agg(F.array_sort(F.collect_list("element")).alias("items")))
+    classes = cut(whole.groupBy("items").agg(F.min("id").alias("class")))
+    members = cut(whole.join(classes, "items").select("class", "id"))
+    return classes.select(F.col("class").alias("id"), "items"), members
+
+
+def unfolded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs of all members of pairs of classes, and of members of one class."""
+    one, two = (members.select(F.col("class").alias(c), F.col("id").alias(m)) for c, m in (("id_1", "a"), ("id_2", "b")))
+    apart = pairs.join(one, "id_1").join(two, "id_2").select(F.col("a").alias("id_1"), F.col("b").alias("id_2"), "similarity")
+    same = members.select("class", F.col("id").alias("id_1")).join(members.select("class", F.col("id").alias("id_2")), "class").where("id_1 < id_2")
+    return _ordered(apart).unionByName(same.select("id_1", "id_2", F.lit(1.0).alias("similarity")))
+
+
+def _bits(elements: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks of sets as rows of bits."""
+        for frame in frames:
+            for at in range(0, len(frame), BLOCK):
+                own = frame.iloc[at : at + BLOCK]
+                n = own["numbers"].str.len().to_numpy(np.int64)
+                rows = np.zeros((len(own), elements), bool)
+                rows[np.repeat(np.arange(len(own)), n), np.concatenate(own["numbers"].tolist())] = True
+                yield pd.DataFrame({"ids": [own["id"].tolist()], "bits": [np.packbits(rows, axis=1).tobytes()], "low": [int(n.min())], "high": [int(n.max())]})
+
+    return run
+
+
+def _meet(elements: int, least: float):
+    def matrix(ids: np.ndarray, bits: bytes) -> np.ndarray:
+        return np.frombuffer(bits, np.uint8).reshape(len(ids), -1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The similar pairs of two blocks: what their sets have in common is a product of matrices of 0 and 1."""
+        for frame in frames:
+            for x in frame.itertuples(index=False):
+                one, two = matrix(x.ids_1, x.bits_1), matrix(x.ids_2, x.bits_2)
+                both = np.zeros((len(one), len(two)), np.float32)
+                for at in range(0, elements, SLICE):
+                    a, b = (np.unpackbits(m[:, at // 8 : (at + SLICE) // 8], axis=1).astype(np.float32) for m in (one, two))
+                    both += a @ b.T
+                n_1, n_2 = (np.bitwise_count(m).sum(1, dtype=np.int64) for m in (one, two))
+                for i, row in enumerate(both):
+                    shared = row[i + 1 :] if x.block_1 == x.block_2 else row
+                    first = len(row) - len(shared)
+                    similarity = shared.astype(np.float64) / (n_1[i] + n_2[first:] - shared.astype(np.int64))
+                    hit = np.flatnonzero((similarity >= least) & (shared > 0))
+                    if len(hit):
+                        yield pd.DataFrame({"id_1": [x.ids_1[i]] * len(hit), "id_2": [x.ids_2[j] for j in hit + first], "similarity": similarity[hit]})
+
+    return run
+
+
+def _blocked_join(classes: DataFrame, numbers: DataFrame, count: int, elements: int, least: float) -> DataFrame:
+    """Of sets (id, items) with few different elements: blocks of sets of like size meet as matrices of bits,
+    but those whose sizes rule out a pair."""
+    kind = classes.schema["id"].dataType
+    numbered_ = classes.select("id", F.explode("items").alias("element")).join(numbers, "element").groupBy("id").agg(F.collect_list("number").alias("numbers"))
+    ranged = numbered_.withColumn("n", F.size("numbers")).repartitionByRange(max(1, -(-count // BLOCK)), "n", "id").sortWithinPartitions("n", "id")
+    schema = f"ids array<{kind.simpleString()}>, bits binary, low int, high int"
+    blocks = cut(ranged.select("id", "numbers").mapInPandas(_bits(elements), schema).withColumn("block", F.monotonically_increasing_id()))
+    one, two = (blocks.select(*[F.col(c).alias(f"{c}_{i}") for c in ("block", "low", "high")]) for i in (1, 2))
+    fit = (F.col("high_1") + 1e-9 >= F.col("low_2") * F.lit(least)) & (F.col("high_2") + 1e-9 >= F.col("low_1") * F.lit(least))
+    pairs = one.crossJoin(two).where(F.col("block_1") <= F.col("block_2")).where(fit).select("block_1", "block_2")
+    for i in (1, 2):
+        pairs = pairs.join(blocks.select(*[F.col(c).alias(f"{c}_{i}") for c in ("block", "ids", "bits")]), f"block_{i}")
+    found = StructType([StructField("id_1", kind), StructField("id_2", kind), StructField("similarity", blocks.select(F.lit(1.0)).schema[0].dataType)])
+    return _ordered(pairs.select("block_1", "ids_1", "bits_1", "block_2", "ids_2", "bits_2").mapInPandas(_meet(elements, least), found))
+
+
+def _classes_join(classes: DataFrame, least: float) -> DataFrame:
+    """``jaccard_join`` of different sets (id, items): as blocks where their elements are few, so that products cost
+    less than rows."""
+    sets = classes.select("id", F.explode("items").alias("element"))
+    df = sets.groupBy("element").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    elements, meets = df.agg(F.count(F.lit(1)), F.sum(F.col("df") * (F.col("df") - 1) / 2)).first()
+    count = classes.count()
+    if elements <= MOST_ELEMENTS and count * count / 2 * elements <= PRODUCTS * (meets or 0.0):
+        return _blocked_join(classes, cut(numbered(sets, "element")), count, elements, least)
+    return _listed_or_counted(sets, least)[0]
+
+
 def jaccard_join(sets: DataFrame, least: float) -> DataFrame:
     """(id_1, id_2, similarity) of all pairs of sets (id, element) with Jaccard similarity ``least`` or
-    more; exact, by the cheaper of two plans.
+    more; exact, by the cheapest of three plans.
+
+    Where the two plans that join rows would make very many of each, equal sets are taken as one, to be expanded at
+    the end, and different sets with few elements in all meet as matrices of bits, in blocks.
+    """
+    plan, rows = _listed_or_counted(sets, least)
+    if rows <= HEAVY * sets.count():
+        return plan
+    classes, members = folded(sets)
+    return unfolded(_classes_join(classes, least), members)
+
+
+def _listed_or_counted(sets: DataFrame, least: float) -> tuple[DataFrame, float]:
+    """``jaccard_join`` by the cheaper of two plans, and the rows that its join makes.
 
     With frequent elements, a set is indexed by its rarest elements only: two sets that similar share
     one of each one's first n - ceil(least * n) + 1 elements in order of rarity, so frequent ones are
@@ -55,12 +166,13 @@ def jaccard_join(sets: DataFrame, least: float) -> DataFrame:
     meets = lambda of: F.sum(of.cast("double") * (of - 1) / 2)
     counted = df.agg(meets(F.col("df"))).first()[0] or 0.0
     first = prefix.groupBy("element").agg(F.count(F.lit(1)).alias("df"), F.avg("n").alias("n")).agg(meets(F.col("df")), F.avg("n")).first()
-    if counted <= (first[0] or 0.0) * (1 + (first[1] or 0.0)):
-        return _counted_join(sets, least)
+    listed = (first[0] or 0.0) * (1 + (first[1] or 0.0))
+    if counted <= listed:
+        return _counted_join(sets, least), counted
     other = prefix.select(F.col("id").alias("id_2"), "element", F.col("n").alias("n_2"))
     met = prefix.select(F.col("id").alias("id_1"), "element", F.col("n").alias("n_1")).join(other, "element").where("id_1 < id_2")
     fit = (F.least("n_1", "n_2") + 1e-9) >= F.greatest("n_1", "n_2") * F.lit(least)
-    return jaccard_pairs(sets, met.where(fit).select("id_1", "id_2").distinct(), least)
+    return jaccard_pairs(sets, met.where(fit).select("id_1", "id_2").distinct(), least), listed
 
 
 def numbered(rows: DataFrame, column: str) -> DataFrame:

@@ -32,6 +32,25 @@ def test_join_on_random_sets(spark):
     assert lsh.items() <= found.items() and len(lsh) >= 0.9 * len(found)
 
 
+@pytest.mark.parametrize("products", [0, 1e9])
+def test_frequent_elements_and_copies_make_few_rows(spark, monkeypatch, products):
+    """Copies of sets of frequent elements are one set in the join, and blocks and rows find the same pairs."""
+    monkeypatch.setattr(S, "PRODUCTS", products)
+    monkeypatch.setattr(S, "BLOCK", 7)
+    draw, joined = random.Random(6), []
+    kinds = [frozenset(draw.sample(range(20), draw.randint(6, 14))) for _ in range(25)]
+    sets = {f"s{i:03}": kinds[i % 25] for i in range(200)}
+    plain = S._classes_join
+    monkeypatch.setattr(S, "_classes_join", lambda classes, least: joined.append(classes.count()) or plain(classes, least))
+    found = [tuple(r) for r in S.jaccard_join(frame(spark, sets), 0.5).collect()]
+    assert joined == [len(set(kinds))]
+    assert {(a, b): s for a, b, s in found} == pytest.approx(brute(sets, 0.5)) and len(found) == len(brute(sets, 0.5))
+    if products:
+        lsh = [tuple(r) for r in S.lsh_join(frame(spark, sets), 0.5).collect()]
+        monkeypatch.setattr(S, "HEAVY", 1e9)
+        assert sorted(lsh) == sorted(tuple(r) for r in S.lsh_join(frame(spark, sets), 0.5).collect())
+
+
 def test_numbers_are_dense_and_in_order(spark):
     df = spark.createDataFrame([(x,) for x in ("b", "a", "d", "b", None)], "v string")
     assert sorted(tuple(r) for r in S.numbered(df, "v").collect()) == [("a", 0), ("b", 1), ("d", 2)]
