@@ -205,19 +205,40 @@ def minhash(sets: DataFrame, universe: int, count: int = 30, seed: int = 1) -> D
     return signed.select("id", F.posexplode("signature").alias("nth", "value"))
 
 
-def band_candidates(signatures: DataFrame, rows: int = 1, every: int = 2) -> DataFrame:
-    """(id_1, id_2) of sets that agree in a band: ``rows`` values in a row from each place that
-    ``every`` divides. The default, one value at every second place, is 15 bands of 30 values."""
+def _bands(signatures: DataFrame, rows: int, every: int) -> DataFrame:
+    """(id, band, key): ``rows`` values in a row from each place that ``every`` divides."""
     bands = signatures.withColumn("band", F.floor(F.col("nth") / every)).where(F.col("nth") % every < rows)
     keyed = bands.groupBy("id", "band").agg(F.array_sort(F.collect_list(F.struct("nth", "value"))).alias("key"))
-    keyed = keyed.withColumn("key", F.transform("key", lambda x: x["value"]))
+    return keyed.withColumn("key", F.transform("key", lambda x: x["value"]))
+
+
+def _met(keyed: DataFrame) -> DataFrame:
     left, right = keyed.withColumnRenamed("id", "id_1"), keyed.withColumnRenamed("id", "id_2")
     return left.join(right, ["band", "key"]).where("id_1 < id_2").select("id_1", "id_2").distinct()
 
 
+def band_candidates(signatures: DataFrame, rows: int = 1, every: int = 2) -> DataFrame:
+    """(id_1, id_2) of sets that agree in a band: ``rows`` values in a row from each place that
+    ``every`` divides. The default, one value at every second place, is 15 bands of 30 values."""
+    return _met(_bands(signatures, rows, every))
+
+
 def lsh_join(sets: DataFrame, least: float = 0.5, count: int = 30, rows: int = 1, every: int = 2, seed: int = 1) -> DataFrame:
     """(id_1, id_2, similarity) of candidate pairs with exact similarity ``least`` or more; a subset of
-    ``jaccard_join`` that misses a pair of similarity s with probability (1 - s^rows)^bands."""
-    numbers = numbered(sets, "element")
-    signed = minhash(sets.join(numbers, "element").select("id", "number"), max(1, numbers.count()), count, seed)
-    return jaccard_pairs(sets, band_candidates(signed, rows, every), least)
+    ``jaccard_join`` that misses a pair of similarity s with probability (1 - s^rows)^bands.
+
+    Where bands make very many candidates of each set, equal sets are taken as one, which agree in all bands, and
+    the similar pairs are got first and then asked for a band in common: the same pairs."""
+    numbers = cut(numbered(sets, "element"))
+    universe = max(1, numbers.count())
+    keyed = cut(_bands(minhash(sets.join(numbers, "element").select("id", "number"), universe, count, seed), rows, every))
+    met = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    if (met or 0.0) <= HEAVY * keyed.count():
+        return jaccard_pairs(sets, _met(keyed), least)
+    classes, members = folded(sets)
+    found = _classes_join(classes, least)
+    whole = cut(keyed.join(classes.select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("band", "key"))).alias("bands")))
+    for i in (1, 2):
+        found = found.join(whole.select(F.col("id").alias(f"id_{i}"), F.col("bands").alias(f"bands_{i}")), f"id_{i}")
+    agree = F.exists(F.zip_with("bands_1", "bands_2", lambda x, y: x == y), lambda x: x)
+    return unfolded(found.where(agree).select(*RESULT), members)
