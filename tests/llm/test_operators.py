@@ -290,6 +290,23 @@ def test_equal_passages_around_a_frequent_line_are_found(spark, shard_bytes):
     assert {(200 + i, 100 + i) for i in range(40)} <= {(r["doc_id"], r["other_id"]) for r in out}
 
 
+@pytest.mark.parametrize("shard_bytes", [10**7, 9000])
+def test_near_passages_around_a_frequent_line_are_found(spark, shard_bytes):
+    """A word is another in the middle of the line, so that no 25 shingles in a row are equal around any hash. Only
+    pairs all of whose shared hashes lie in the line can be missed: a tenth or so."""
+    line, rows = prose(40, 78).split(), []
+    for i in range(40):
+        rows.append((i, f"{prose(60, 13_000 + i)} {' '.join(line)} {prose(60, 14_000 + i)}"))
+    for i in range(40):
+        before, after = prose(7, 15_000 + i), prose(7, 16_000 + i)
+        for k, word in ((100, line[20]), (200, f"x{i}")):
+            passage = f"{before} {' '.join([*line[:20], word, *line[21:]])} {after}"
+            rows.append((k + i, f"{prose(60, 17_000 + k * 50 + i)} {passage} {prose(60, 40_000 + k * 50 + i)}"))
+    out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=shard_bytes).collect()
+    found = {(r["doc_id"], r["other_id"]) for r in out}
+    assert len({(200 + i, 100 + i) for i in range(40)} - found) <= 4
+
+
 def test_every_copy_in_a_document_is_found(spark):
     two, three, early = prose(60, 41), prose(55, 42), prose(80, 43)
     texts = {1: f"{prose(30, 44)} {two} {prose(20, 45)} {two} {prose(30, 46)}", 2: f"{three} {three} {three}", 3: f"{prose(30, 47)} {early}", 4: f"{' '.join(early.split()[30:50])} {prose(90, 48)} {early} {prose(9, 49)} {early}", 5: "w " * 300, 6: prose(300, 50)}
