@@ -876,3 +876,33 @@ def test_top_k_of_nothing_and_of_unusable_vectors(spark):
     assert topk.top_k(kept, kept).count() == topk.top_k(kept.limit(0), kept.limit(0)).count() == 0
     huge = spark.createDataFrame([(0, [2**28] * 4), (1, [2**28 - 1] * 4), (2, [2**28 - 2] * 4)], "vec_id long, vec array<long>")
     assert [tuple(r) for r in topk.top_k(huge, huge.where("vec_id = 0"), 1).collect()] == [(0, 1, 1, 4 * 2**28 * (2**28 - 1))]
+
+
+def test_parts_follow_cores_and_volume_and_not_rows(spark, monkeypatch):
+    draw = random.Random(5)
+    vectors = [(i, [draw.randint(-40, 40) for _ in range(4)]) for i in range(400)]
+    df, lasts, of = spark.createDataFrame(vectors, "vec_id long, vec array<long>"), [], topk.reach_of
+    monkeypatch.setattr(topk, "reach_of", lambda blocks, last, *more: lasts.append(last) or of(blocks, last, *more))
+    found = topk.top_k(df, df.where("vec_id % 50 = 0"), rows=1, query_rows=1)
+    assert {tuple(r) for r in found.collect()} == nearest(vectors)
+    assert lasts and lasts[0] < 8 * spark.sparkContext.defaultParallelism  # 399 when each block was a part
+    monkeypatch.setattr(topk, "TILE", 20)
+    found = topk.top_k(df, df.where("vec_id % 50 = 0"), rows=8, query_rows=1)
+    assert {tuple(r) for r in found.collect()} == nearest(vectors)
+    assert 40 < lasts[1] < 80
+
+
+@pytest.mark.parametrize(("size", "cost"), [(90, 512), (90, 0), (90, -9), (20_000, 512), (2**28, 0)])
+def test_blocks_have_the_best_by_length_and_by_coordinates(size, cost):
+    rng = np.random.default_rng(size)
+    p = rng.integers(-size, size + 1, (300, 8))
+    p[40:120] = p[40]
+    p = p[np.argsort(-(p.astype(float) ** 2).sum(1), kind="stable")]
+    ids, q = rng.permutation(300), np.concatenate((p[::30], rng.integers(-size, size + 1, (5, 8))))
+    scores = (q.astype(object) @ p.astype(object).T).astype(np.int64)
+    q_ids = np.concatenate((ids[::30], np.arange(1000, 1005)))
+    for bounds in (np.full(15, -np.inf), np.sort(scores, 1)[:, -9].astype(float)):
+        hits = topk.search_block(q_ids, q, bounds, ids, p, 5, cost=cost)
+        found = topk._k_best(hits, 5)[0]
+        expected = [(i, ids[j], scores[i, j]) for i in range(15) for j in topk.best(scores[i], ids, q_ids[i], 5, bounds[i])]
+        assert list(zip(*(x.tolist() for x in found), strict=True)) == expected
