@@ -14,6 +14,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lodestream.llm import dartminhash, iblt, mixing, packing, passages, secrets, suffixes, topk, toxicity, warc
@@ -878,6 +879,31 @@ def test_top_k_of_nothing_and_of_unusable_vectors(spark):
     assert [tuple(r) for r in topk.top_k(huge, huge.where("vec_id = 0"), 1).collect()] == [(0, 1, 1, 4 * 2**28 * (2**28 - 1))]
 
 
+def test_copies_are_one_suffix_and_repeated_whole(spark):
+    text, short = prose(60, 31), "x" * 49
+    rows = [(9, text), (4, text), (4, text), (None, text), (None, text), (7, prose(30, 32) + text[:80]), (1, short), (2, short), (3, short + "y"), (8, short + "y"), (5, None), (6, ""), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = []
+    for doc, own in rows:
+        raw = (own or "").encode()
+        mark = np.zeros(len(raw), bool)
+        smaller = [(t or "").encode() for d, t in rows if (2**63 if d is None else d) < (2**63 if doc is None else doc)]
+        for i in range(len(raw) - 49):
+            mark[i : i + 50] |= any(raw[i : i + 50] in t for t in smaller)
+        kept = bytes(b for b, m in zip(raw, mark, strict=True) if not m)
+        expected.append((doc, len(raw), int(mark.sum()), int((np.diff(mark.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    for shard_bytes in (100, 10**6):
+        found = suffixes.repeated_bytes(df, shard_bytes=shard_bytes, with_spans=True).collect()
+        assert Counter(tuple(r)[:5] for r in found) == Counter(expected)
+        assert {tuple(r["spans"]) for r in found if r["doc_id"] == 9} == {(0, len(text))}
+    # Of copies of one text no string is in two documents, so that no suffix is sent.
+    frame = pd.DataFrame({"doc": range(40), "text": [text] * 40, "shard": 0})
+    marks = [suffixes._array(zstandard.decompress(b), np.uint8, n, 8 * n) for b, n in suffixes.seen_grams(50, 20, 1)(frame)[["blob", "n"]].itertuples(index=False)]
+    assert max(m.max() for m in marks) < 128
+    pieces = pd.concat(suffixes.packed_pieces()(iter([frame])))
+    assert list(pieces["n"]) == [1] and list(pieces["ids"]) == [40] and len(pieces["blob"].iloc[0]) < 2 * len(text)
+
+
 def test_parts_follow_cores_and_volume_and_not_rows(spark, monkeypatch):
     draw = random.Random(5)
     vectors = [(i, [draw.randint(-40, 40) for _ in range(4)]) for i in range(400)]
