@@ -143,6 +143,7 @@ def jaccard_join(sets: DataFrame, least: float) -> DataFrame:
     Where the two plans that join rows would make very many of each, equal sets are taken as one, to be expanded at
     the end, and different sets with few elements in all meet as matrices of bits, in blocks.
     """
+    sets = cut(sets)  # asked several times, and reading them can cost more than joining them
     plan, rows = _listed_or_counted(sets, least)
     if rows <= HEAVY * sets.count():
         return plan
@@ -229,6 +230,7 @@ def lsh_join(sets: DataFrame, least: float = 0.5, count: int = 30, rows: int = 1
 
     Where bands make very many candidates of each set, equal sets are taken as one, which agree in all bands, and
     the similar pairs are got first and then asked for a band in common: the same pairs."""
+    sets = cut(sets)
     numbers = cut(numbered(sets, "element"))
     universe = max(1, numbers.count())
     keyed = cut(_bands(minhash(sets.join(numbers, "element").select("id", "number"), universe, count, seed), rows, every))

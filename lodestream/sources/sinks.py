@@ -72,16 +72,39 @@ def appender(path: str, transform: Callable[[DataFrame], DataFrame] = lambda df:
     return write
 
 
-def _one_file(df: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> None:
-    """Write ``df`` in its order as one file at ``path``, in whatever file system that names. Written beside
-    it and renamed at the end, so that a reader never sees half of it."""
+def _one_file(df: DataFrame, path: str, write: Callable[[DataFrame, str], None], head: Callable[[DataFrame, str], None] | None = None) -> None:
+    """Write ``df`` in its order as one file at ``path``, in whatever file system that names: its partitions side by side, then
+    one after another behind what ``head`` writes of no rows. Written beside it and renamed at the end, so that a reader never
+    sees half of it."""
     spark, trial = df.sparkSession, f"{path}.{uuid4().hex}"
-    write(df.coalesce(1), trial)
-    make = spark._jvm.org.apache.hadoop.fs.Path
-    files = make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = next(f.getPath() for f in files.listStatus(make(trial)) if f.getPath().getName().startswith("part-"))
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    make = jvm.org.apache.hadoop.fs.Path
+    files = make(path).getFileSystem(conf)
+
+    def parts(folder: str) -> list:
+        found = [f.getPath() for f in files.listStatus(make(folder)) if f.getPath().getName().startswith("part-")]
+        return sorted(found, key=lambda p: (int(p.getName().split("-")[1]), p.getName()))
+
+    write(df, f"{trial}/rows")
+    own = parts(f"{trial}/rows")
+    if head:
+        head(df.limit(0).coalesce(1), f"{trial}/head")
+        own = parts(f"{trial}/head") + own
+    whole = own[0]
+    if len(own) > 1:
+        whole = make(f"{trial}/whole")
+        out = files.create(whole)
+        try:
+            for part in own:
+                lines = files.open(part)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(lines, out, 1 << 20, False)
+                finally:
+                    lines.close()
+        finally:
+            out.close()
     files.delete(make(path), True)
-    files.rename(part, make(path))
+    files.rename(whole, make(path))
     files.delete(make(trial), True)
 
 
@@ -92,7 +115,7 @@ def text_file(lines: DataFrame, path: str) -> None:
 
 def csv_file(df: DataFrame, path: str) -> None:
     """One CSV file with a header."""
-    _one_file(df, path, lambda own, p: own.write.option("header", True).csv(p))
+    _one_file(df, path, lambda own, p: own.write.csv(p), lambda own, p: own.write.option("header", True).csv(p))
 
 
 def collated(spark: SparkSession, path: str, schema: str, order: str) -> DataFrame:

@@ -42,3 +42,17 @@ def test_appender_overwrites_a_replayed_batch(spark, tmp_path):
         write(spark.createDataFrame([(0, 0.5)], "tick int, fpr double"), 0)
     write(spark.createDataFrame([(1, 0.25)], "tick int, fpr double"), 1)
     assert spark.read.option("header", True).csv(f"{tmp_path}/log").count() == 2
+
+
+def test_one_file_is_written_by_several_tasks_and_in_order(spark, tmp_path):
+    rows, tasks = spark.range(3000).selectExpr("id * 7919 % 3000 AS a", "concat('x, ', id) AS `b c`"), []
+    sinks._one_file(rows.repartition(3), f"{tmp_path}/one", lambda own, p: tasks.append(own.rdd.getNumPartitions()) or own.write.csv(p))
+    assert tasks == [3]
+    for _ in range(2):
+        sinks.csv_file(rows.repartitionByRange(5, "a").sortWithinPartitions("a"), f"{tmp_path}/r.csv")
+        lines = (tmp_path / "r.csv").read_text().split("\n")
+        assert lines[:2] == ["a,b c", '0,"x, 0"'] and lines[-1] == "" and [int(x.split(",")[0]) for x in lines[1:-1]] == list(range(3000))
+    sinks.csv_file(rows.limit(0), f"{tmp_path}/none.csv")
+    sinks.text_file(rows.where("a < 0").select("b c"), f"{tmp_path}/none.txt")
+    assert (tmp_path / "none.csv").read_text() == "a,b c\n" and (tmp_path / "none.txt").read_text() == ""
+    assert sorted(p.name for p in tmp_path.iterdir() if p.name[0] != ".") == ["none.csv", "none.txt", "one", "r.csv"]

@@ -130,3 +130,20 @@ def test_blends(spark):
     model = cf.select("user", "item", F.lit(1.0).alias("model"))
     assert {(r[0], r[1]): r[2] for r in R.hybrid(cf, model).collect()} == pytest.approx({("u", "a"): 1.04, ("u", "b"): 1.8, ("v", "a"): 1.04, ("v", "b"): 1.04})
     assert {(r[0], r[1]): r[2] for r in R.tiered_hybrid(cf, model).collect()} == pytest.approx({("u", "a"): 3.0, ("u", "b"): 3.0, ("v", "a"): 1.4, ("v", "b"): 1.0})
+
+
+def test_set_joins_read_their_sets_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    rows = [(i, j) for i in range(40) for j in range(i % 7, i % 7 + 5)]
+    for join in (S.jaccard_join, S.lsh_join):
+        before = seen.value
+        sets = spark.createDataFrame(rows, "id long, element long").mapInPandas(counted, "id long, element long")
+        pairs = join(sets, 0.5).where(F.col("id_1") % 7 == F.col("id_2") % 7).count()
+        assert pairs == sum(1 for a in range(40) for b in range(a) if a % 7 == b % 7)
+        assert seen.value - before == len(rows)
