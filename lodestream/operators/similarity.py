@@ -19,6 +19,8 @@ HEAVY = 24
 #: Sets of a block; elements of a matrix at a time; elements that sets in blocks may have in all; products of
 #: matrices that cost as much as a row of a join.
 BLOCK, SLICE, MOST_ELEMENTS, PRODUCTS = 2_048, 4_096, 65_536, 1_000
+#: Rows of a product that are looked at and pairs that are handed on at a time; tasks that pairs of blocks go to at most.
+ROWS, MOST_HITS, TASKS = 256, 100_000, 10_000
 
 
 def members(rows: DataFrame, owner: str, element: str) -> DataFrame:
@@ -96,13 +98,24 @@ def _meet(elements: int, least: float):
                     a, b = (np.unpackbits(m[:, at // 8 : (at + SLICE) // 8], axis=1).astype(np.float32) for m in (one, two))
                     both += a @ b.T
                 n_1, n_2 = (np.bitwise_count(m).sum(1, dtype=np.int64) for m in (one, two))
-                for i, row in enumerate(both):
-                    shared = row[i + 1 :] if x.block_1 == x.block_2 else row
-                    first = len(row) - len(shared)
-                    similarity = shared.astype(np.float64) / (n_1[i] + n_2[first:] - shared.astype(np.int64))
-                    hit = np.flatnonzero((similarity >= least) & (shared > 0))
-                    if len(hit):
-                        yield pd.DataFrame({"id_1": [x.ids_1[i]] * len(hit), "id_2": [x.ids_2[j] for j in hit + first], "similarity": similarity[hit]})
+                # Roughly by rows first, as few pairs pass; then exactly, as each pair's sizes have it.
+                share = np.float32(max(0.0, least / (1 + least) - 1e-5))
+                rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for at in range(0, len(both), ROWS):
+                    part = both[at : at + ROWS]
+                    i, j = np.nonzero((part >= share * (n_1[at : at + ROWS, None] + n_2).astype(np.float32)) & (part > 0))
+                    rows.append(i + at)
+                    columns.append(j)
+                i, j = np.concatenate(rows), np.concatenate(columns)
+                if x.block_1 == x.block_2:
+                    i, j = i[i < j], j[i < j]
+                shared = both[i, j].astype(np.int64)
+                similarity = shared / (n_1[i] + n_2[j] - shared)
+                i, j, similarity = (v[similarity >= least] for v in (i, j, similarity))
+                ids_1, ids_2 = (np.array([*ids, None], object)[:-1] for ids in (x.ids_1, x.ids_2))
+                for at in range(0, len(i), MOST_HITS):
+                    k = slice(at, at + MOST_HITS)
+                    yield pd.DataFrame({"id_1": ids_1[i[k]].tolist(), "id_2": ids_2[j[k]].tolist(), "similarity": similarity[k]})
 
     return run
 
@@ -117,11 +130,14 @@ def _blocked_join(classes: DataFrame, numbers: DataFrame, count: int, elements:
     blocks = cut(ranged.select("id", "numbers").mapInPandas(_bits(elements), schema).withColumn("block", F.monotonically_increasing_id()))
     one, two = (blocks.select(*[F.col(c).alias(f"{c}_{i}") for c in ("block", "low", "high")]) for i in (1, 2))
     fit = (F.col("high_1") + 1e-9 >= F.col("low_2") * F.lit(least)) & (F.col("high_2") + 1e-9 >= F.col("low_1") * F.lit(least))
-    pairs = one.crossJoin(two).where(F.col("block_1") <= F.col("block_2")).where(fit).select("block_1", "block_2")
+    pairs = cut(one.crossJoin(two).where(F.col("block_1") <= F.col("block_2")).where(fit).select("block_1", "block_2"))
+    met = pairs.count()
     for i in (1, 2):
         pairs = pairs.join(blocks.select(*[F.col(c).alias(f"{c}_{i}") for c in ("block", "ids", "bits")]), f"block_{i}")
     found = StructType([StructField("id_1", kind), StructField("id_2", kind), StructField("similarity", blocks.select(F.lit(1.0)).schema[0].dataType)])
-    return _ordered(pairs.select("block_1", "ids_1", "bits_1", "block_2", "ids_2", "bits_2").mapInPandas(_meet(elements, least), found))
+    # So many tasks that pairs, which are small as bytes and large as work, don't come to lie together.
+    dealt = pairs.select("block_1", "ids_1", "bits_1", "block_2", "ids_2", "bits_2").repartition(max(1, min(met, TASKS)), "block_1", "block_2")
+    return _ordered(dealt.mapInPandas(_meet(elements, least), found))
 
 
 def _classes_join(classes: DataFrame, least: float) -> DataFrame:

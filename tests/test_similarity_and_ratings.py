@@ -147,3 +147,18 @@ def test_set_joins_read_their_sets_once(spark):
         pairs = join(sets, 0.5).where(F.col("id_1") % 7 == F.col("id_2") % 7).count()
         assert pairs == sum(1 for a in range(40) for b in range(a) if a % 7 == b % 7)
         assert seen.value - before == len(rows)
+
+
+@pytest.mark.parametrize("least", [0.1, 1 / 3, 0.5, 1.0])
+def test_pairs_of_blocks_are_dealt_out_and_exact(spark, monkeypatch, least):
+    draw = random.Random(7)
+    sets = {i: set(draw.sample(range(24), draw.randint(1, 20))) for i in range(150)}
+    sets = {i: s for i, s in sets.items() if all(s != t for j, t in sets.items() if j < i)}
+    for name, value in (("BLOCK", 16), ("ROWS", 5), ("MOST_HITS", 3)):
+        monkeypatch.setattr(S, name, value)
+    classes = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, items array<long>")
+    numbers = spark.createDataFrame([(e, e) for e in range(24)], "element long, number long")
+    found = S._blocked_join(classes, numbers, len(sets), 24, least)
+    expected = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert {(r[0], r[1]): r[2] for r in found.collect()} == {p: v for p, v in expected.items() if v >= least}
+    assert found.rdd.getNumPartitions() >= 4
