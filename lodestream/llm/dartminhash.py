@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batches, cut, join_heavy, mix64, numbered_down, read, small_batches
@@ -210,16 +210,16 @@ def block_links(outs: list[tuple], every: list[tuple], threshold: float, columns
 def _mixed(many: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``many`` (band, key, node) with their label and ``main``, the largest class of the band, of bands
     that hold several classes."""
-    now = many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    now = cut(many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     classes = now.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
     main = classes.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
     return now.join(main, ["band", "key"])
 
 
-def _stars(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b): the hub of each band among those ``rows`` (band, key, node, and whether a node may be its hub) with
-    all its other nodes. A hub shares most bands with others."""
-    hubs = rows.where("may").join(known, "node").groupBy("band", "key").agg(F.max_by("node", F.struct("known", -F.col("node"))).alias("hub"))
+def _stars(rows: DataFrame) -> DataFrame:
+    """(a, b): the hub of each band among those ``rows`` (band, key, node, known, and whether a node may be its hub)
+    with all its other nodes. A hub shares most bands with others (``known``)."""
+    hubs = rows.where("may").groupBy("band", "key").agg(F.max_by("node", F.struct("known", -F.col("node"))).alias("hub"))
     met = rows.join(hubs, ["band", "key"]).where("hub <> node")
     return met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
@@ -228,22 +228,28 @@ def _settled(mixed: DataFrame, cells: DataFrame, threshold: float, rows: int, si
     """Links of bands that hold several classes (``mixed``): their texts outside the largest class against all
     of the band. Texts as similar as that have weights within that ratio, so blocks hold texts of a level of weight (a
     power of the ratio) and meet the blocks of the same and of the next levels only. A pair of blocks is a row of
-    its own wherever it is joined, so that a band of very many texts is spread over all tasks."""
+    its own wherever it is joined, so that a band of very many texts is spread over all tasks. The texts are dealt
+    out by their weights alone; each side meets the cells once, when it is made into blocks."""
     level = F.floor(F.log(F.greatest("weight", F.lit(1))) / float(-np.log(threshold)) + 1e-9)
-    rated = mixed.join(cells, "node").where("weight > 0").withColumn("level", level.cast("int"))
     key = ["band", "key", "level"]
+    rated = mixed.join(cells.select("node", "weight"), "node").where("weight > 0").withColumn("level", level.cast("int"))
+    rated = cut(rated.select(*key, "node", "label", "weight", (F.col("label") != F.col("main")).alias("out")))
     item = F.struct("node", "label", "cells")
 
-    def blocks(own: DataFrame, name: str) -> DataFrame:
-        """(band, key, level, block, ``name``), of at most about so many rows and bytes of cells."""
-        parts = own.groupBy(*key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("weight") * 8 / size)).cast("int").alias("parts"))
-        dealt = own.join(parts, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        return dealt.groupBy(*key, "parts", "block").agg(F.collect_list(item).alias(name))
+    def parts(own: DataFrame) -> DataFrame:
+        """(band, key, level, parts): how many blocks of at most about so many rows and bytes of cells."""
+        return own.groupBy(*key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("weight") * 8 / size)).cast("int").alias("parts"))
 
-    outs, every = blocks(rated.where("label <> main"), "outs").drop("parts", "block"), blocks(rated, "every")
-    counts = every.select(*key, "parts").distinct()
+    def blocks(own: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+        """(band, key, level, block, ``name``)."""
+        dealt = own.join(counts, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        met = dealt.drop("weight").join(cells.select("node", "cells"), "node")
+        return met.groupBy(*key, "block").agg(F.collect_list(item).alias(name))
+
+    own, counts = rated.where("out"), parts(rated)
+    outs, every = blocks(own, parts(own), "outs").drop("block"), blocks(rated, counts, "every")
     asked = outs.withColumn("level", F.explode(F.array(*[F.col("level") + d for d in (-1, 0, 1)]))).join(counts, key)
-    sides = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").join(every.drop("parts"), [*key, "block"])
+    sides = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").join(every, [*key, "block"])
     return cut(sides.select("outs", "every").mapInPandas(_block_links(threshold), "a long, b long"))
 
 
@@ -271,17 +277,17 @@ def _classes(docs: DataFrame, threshold: float, size: int, bands: int, rows: int
     # Bands of few texts: their pairs, at most small * (small - 1) / 2 of each.
     few = banded.where(F.col("n") <= small)
     pairs = few.select("band", "key", F.col("node").alias("a")).join(few.select("band", "key", F.col("node").alias("b")), ["band", "key"]).where("a < b").select("a", "b")
-    many = cut(banded.where(F.col("n") > small))
-    known = cut(many.groupBy("node").agg(F.sum("n").alias("known")))
-    star = _stars(many.drop("n").withColumn("may", F.lit(True)), known)
+    # A node has a row for each of its bands at most, so its window is short.
+    many = cut(banded.where(F.col("n") > small).withColumn("known", F.sum("n").over(Window.partitionBy("node"))).drop("n"))
+    star = _stars(many.withColumn("may", F.lit(True)))
     links = cut(_checked(pairs.unionByName(star).distinct(), cells, threshold).distinct())
     labels = components(links)
-    mixed = cut(_mixed(many.drop("n"), labels))
+    mixed = cut(_mixed(many, labels))
     if not mixed.isEmpty():
-        second = _checked(_stars(mixed.withColumn("may", F.col("label") != F.col("main")), known), cells, threshold)
+        second = _checked(_stars(mixed.withColumn("may", F.col("label") != F.col("main"))), cells, threshold)
         links = cut(links.unionByName(second).distinct())
         labels = components(links)
-        mixed = cut(_mixed(many.drop("n"), labels))
+        mixed = cut(_mixed(many, labels))
     if not mixed.isEmpty():
         labels = components(links.unionByName(_settled(mixed, cells, threshold, block, block_bytes)))
     classes = members.drop("bands").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"), "copy_of", "rows")

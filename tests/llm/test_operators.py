@@ -439,6 +439,45 @@ def test_large_groups_of_copies_with_many_edits(spark, small):
     assert found == classes(rows)
 
 
+def rows_of_joins(spark, pattern, run):
+    """(what ``run`` gives, the rows that all joins made whose plan line has the pattern)."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    out = run()
+    bus.waitUntilEmpty()
+    listed, made = store.executionsList(), 0
+    for k in {listed.apply(i).executionId() for i in range(listed.size())} - before:
+        nodes, metrics = store.planGraph(k).allNodes(), store.executionMetrics(k)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.search(pattern, node.desc()):
+                own = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                said = [metrics.get(m.accumulatorId()) for m in own if m.name() == "number of output rows"]
+                made += sum(int(x.get().replace(",", "")) for x in said if x.isDefined())
+    return out, made
+
+
+def test_rows_of_bands_meet_the_cells_once_a_side(spark, monkeypatch):
+    """Texts of one template, in several classes until all of a band are compared: their weights, the cells of those
+    outside the largest class and the cells of all are each met once."""
+    head = prose(90, 8700)
+    family = f"{head} {prose(60, 8800)}"
+    rows = [(i, f"{head} {prose(24, 9000 + i)}") for i in range(60)] + [(100 + i, edited(family, 140, i)) for i in range(30)]
+    plain, seen = dartminhash._settled, []
+
+    def settled(mixed, *more):
+        sizes = mixed.count(), mixed.where("label <> main").count()
+        out, made = rows_of_joins(spark, r"Join \[node#\w+\], \[node#\w+\], Inner", lambda: plain(mixed, *more))
+        seen.append((*sizes, made))
+        return out
+
+    monkeypatch.setattr(dartminhash, "_settled", settled)
+    found = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == classes(rows) and len(seen) == 1
+    every, outs, made = seen[0]
+    assert outs and 0 < made <= 2 * every + outs
+
+
 def test_texts_of_one_id_are_documents_of_their_own(spark):
     base, other = prose(100, 8100), prose(100, 8200)
     rows = [(1, base, "a"), (1, other, "b"), (1, other, "c"), (2, edited(other, 90), "d"), (3, base, "e"), (4, prose(80, 8300), "f"), (4, prose(80, 8400), "g"), (None, base, "h"), (5, edited(base, 80), "i"), (5, prose(80, 8300), "j")]
